@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 Formatter = Callable[[Column, T.DataType], Column]
 
-_EXACT_INTEGERS = 2.0**53
+_ENOUGH_DIGITS = 2.0**40  # below, 17 digits hold the number and some decimals exactly
 _LONG_LIMIT = 2.0**63
 
 
@@ -33,20 +33,23 @@ def fixed_text(value: Column | str, digits: int = 2) -> Column:
     """``value`` with a fixed number of decimals, rounded on its exact binary value.
 
     ``format_number`` rounds the exact value half-even, unlike ``format_string``, so
-    0.125 gives 0.12 and 1.005 gives 1.00.  From 2**53 on a double is an integer and is
-    printed through BIGINT; from 2**63 on the text has the shortest digits that
-    identify the number, padded with zeros.
+    0.125 gives 0.12 and 1.005 gives 1.00.  It prints no more than 17 digits, though, so
+    large numbers are split into a BIGINT and the exact rest.  From 2**63 on the text
+    has the digits that identify the number, padded with zeros.
     """
     value = (F.col(value) if isinstance(value, str) else value).cast("double")
-    tail = "." + "0" * digits if digits else ""
+    pattern = "0." + "0" * digits if digits else "0"
     size = F.abs(value)
-    whole = F.concat(
-        F.when((size >= _EXACT_INTEGERS) & (size < _LONG_LIMIT), value)
-        .cast("bigint")
-        .cast("string"),
-        F.lit(tail),
-    )
-    return _special(value, F.coalesce(whole, _decimal_format(value, "0" + tail)))
+    in_long = (size >= _ENOUGH_DIGITS) & (size < _LONG_LIMIT)
+    sign = F.when(value < 0, "-").otherwise("")
+    if digits:
+        whole = F.when(in_long, size).cast("bigint")
+        rest = _decimal_format(size - whole, pattern)
+        carried = whole + F.when(rest.startswith("1"), 1).otherwise(0)
+        large = F.concat(sign, carried.cast("string"), F.substring(rest, 2, digits + 1))
+    else:
+        large = F.concat(sign, F.when(in_long, F.rint(size)).cast("bigint").cast("string"))
+    return _special(value, F.when(in_long, large).otherwise(_decimal_format(value, pattern)))
 
 
 def plain_text(value: Column | str, dtype: T.DataType) -> Column:
@@ -54,8 +57,10 @@ def plain_text(value: Column | str, dtype: T.DataType) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     if isinstance(dtype, T.BooleanType):
         text = F.when(value, "True").otherwise("False")
-    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+    elif isinstance(dtype, T.DoubleType):
         text = _float_text(value)
+    elif isinstance(dtype, T.FloatType):
+        text = _float_text(value.cast("string").cast("double"))
     else:
         text = value.cast("string")
     return F.when(value.isNull(), "None").otherwise(text)
@@ -63,18 +68,25 @@ def plain_text(value: Column | str, dtype: T.DataType) -> Column:
 
 def _float_text(value: Column) -> Column:
     """Shortest digits; positional from 1e-4 up to 1e16, exponent form elsewhere."""
-    size = F.abs(value)
     short = value.cast("string")
-    positional = _decimal_format(value.cast("double"), "0.0" + "#" * 20)
-    mantissa = F.regexp_replace(F.substring_index(short, "E", 1), r"\.0$", "")
-    power = F.substring_index(short, "E", -1).try_cast("int")
-    digits = F.abs(power).cast("string")
-    digits = F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
-    exponent = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), digits)
-    in_range = (size == 0) | ((size >= 1e-4) & (size < 1e16))
-    has_power = short.contains("E")
+    # up to 15 digits identify themselves; beyond, the JVM may print more than needed
+    settled = ~short.contains("E") & (F.length(short) <= 15)
+
+    def scientific(decimals: int) -> Column:
+        return F.format_string(f"%.{decimals}e", value)
+
+    best = scientific(16)
+    for decimals in (15, 14):
+        fewer = scientific(decimals)
+        best = F.when(fewer.cast("double") == value, fewer).otherwise(best)
+    positional = F.regexp_replace(
+        best.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1"
+    )
+    exponent = F.regexp_replace(best, r"\.?0*e", "e")
+    size = F.abs(value)
+    in_range = (size >= 1e-4) & (size < 1e16)
     return _special(
-        value, F.when(~has_power, short).when(in_range, positional).otherwise(exponent)
+        value, F.when(settled, short).when(in_range, positional).otherwise(exponent)
     )
 
 

@@ -46,7 +46,7 @@ def weighted_summary(value: Column | str, weight: Column | str | float = 1,
 def running_weighted_mean(df: DataFrame, value: Column | str, weight: Column | str | float,
                           keys: Sequence[str], order: Sequence[Column | str],
                           name: str = "avg",
-                          max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+                          max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Add the weighted mean of all rows of the key up to this one.
 
     Ordinary keys use one window.  A hot key is laid out over many range partitions:

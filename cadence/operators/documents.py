@@ -90,12 +90,13 @@ def flatten_json(df: DataFrame, key: str | Sequence[str], doc: str, sep: str = "
     """
     key = [key] if isinstance(key, str) else list(key)
     entries = flattened(columns(doc)[0], sep, keep, keep_empty)
-    rows = df.select(*columns(key), entries.alias("__entries"))
-    explode = F.explode_outer if keep_empty else F.explode
-    opened = rows.select(*columns(key), explode("__entries").alias("__e"))
+    # the plain explode would add a filter that parses every document a second time
+    opened = df.select(*columns(key), F.explode_outer(entries).alias("__e"))
     value = F.to_json("__e.value")
     if keep_empty:
         value = F.coalesce(value, F.lit("{}"))
+    else:
+        opened = opened.where("__e is not null")
     return opened.select(*columns(key), F.col("__e.path").alias("path"), value.alias("value"))
 
 

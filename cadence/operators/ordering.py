@@ -119,11 +119,14 @@ def batch_bounds(total: int, max_size: int) -> list[tuple[int, int]]:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str],
-              max_key_rows: int = MAX_KEY_ROWS) -> tuple[DataFrame, DataFrame | None]:
+              max_key_rows: int | None = MAX_KEY_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """Separate the rows of keys too large for one task: (ordinary rows, hot rows).
 
-    There are at most rows / ``max_key_rows`` hot keys, so their list is small.
+    There are at most rows / ``max_key_rows`` hot keys, so their list is small.  Counting
+    reads the key columns once more; ``max_key_rows=None`` says no key is hot.
     """
+    if max_key_rows is None:
+        return df, None
     counted = (
         df.groupBy(*columns(keys))
         .agg(F.count("*").alias("__rows"))
@@ -149,7 +152,7 @@ def hot_index(hot: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 
 def key_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-              name: str = "i", max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+              name: str = "i", max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Add the 0-based position of every row inside its key."""
     ordinary, hot = split_hot(df, keys, max_key_rows)
     window = Window.partitionBy(*columns(keys)).orderBy(*columns(order))

@@ -199,7 +199,7 @@ def _split_keys(hot: DataFrame, keys: Sequence[str], order: list[Column], rule:
 
 
 def _by_position(df: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule,
-                 max_key_rows: int) -> DataFrame:
+                 max_key_rows: int | None) -> DataFrame:
     placed = key_index(df, keys, order, "__pos", max_key_rows)
     fires = step_filter("__pos", rule.spec)
     if rule.iters is not None and rule.reset_index:
@@ -213,16 +213,17 @@ def _by_position(df: DataFrame, keys: Sequence[str], order: list[Column], rule:
 def throttle(df: DataFrame, keys: str | Sequence[str], time: str,
              ties: Sequence[str | Column] = (), step_spec: str = "::",
              seconds: float | None = None, iters: int | None = None,
-             reset_index: bool = True, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+             reset_index: bool = True, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Rows that fire, per key, in the order of ``time`` and ``ties``.
 
-    With ``seconds`` the first row of a key fires.  The position clock starts at -1, so
+    With ``seconds`` the first row of a key fires.  Rows without a time are left out.  The position clock starts at -1, so
     ``iters=7`` fires at positions 6, 13, ...  ``reset_index=False`` lets a firing reset
     the time clock only.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rule = make_rule(step_spec, seconds, iters, reset_index)
     order = [*columns(time), *columns(ties)]
+    df = df.where(order[0].isNotNull())
     if rule.micros is None:
         return _by_position(df, keys, order, rule, max_key_rows)
     timed = df.withColumn(_TIME, micros_of(df, time))

@@ -97,8 +97,9 @@ def _drops(spark, folder, run):
     events = table(spark, folder, "events").select(*EVENTS)
     drop = staging_path(spark, "drop")
     half_span = "timestampadd(SECOND, timestampdiff(SECOND, min(ts), max(ts)) div 2, min(ts))"
-    middle = events.agg(F.expr(half_span)).first()[0]
-    for half in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+    middle = events.agg(F.expr(half_span).cast("string")).first()[0]
+    middle = F.lit(middle).cast("timestamp_ntz")
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
         events.where(half).write.mode("append").parquet(drop)
         stream = spark.readStream.schema(events.schema).parquet(drop)
         run(stream).awaitTermination()

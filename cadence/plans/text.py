@@ -35,7 +35,7 @@ LEVEL_NO = "CAST([10, 20, 30, 40, 15][event_id % 5 + 1] AS INTEGER)"
 def _records(spark, folder):
     names = F.array(*(F.lit(n) for n in ("DEBUG", "INFO", "WARNING", "ERROR", "Level 15")))
     return table(spark, folder, "events").select(
-        "event_id", "event_type", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"),
+        "event_id", "event_type", F.substring(F.col("ts").cast("string"), 1, 19).cast("timestamp_ntz").alias("ts"),
         F.concat(F.lit("app."), "event_type").alias("logger"),
         F.lit("<module>").alias("func"),
         F.get(names, (F.col("event_id") % 5).cast("int")).alias("level"),
@@ -128,7 +128,7 @@ WITH t AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS a, s_name AS b,
            UNION ALL SELECT NULL, 'key', 'name', 'balance'),
      w AS (SELECT *, max(length(a)) OVER () AS wa, max(length(b)) OVER () AS wb,
                   max(length(c)) OVER () AS wc FROM t)
-SELECT s_suppkey, s_suppkey IS NULL AS is_header,
+SELECT coalesce(s_suppkey, -1) AS s_suppkey, s_suppkey IS NULL AS is_header,
        '|' || lpad(a, CAST(wa AS INTEGER), ' ') || ' |' ||
        repeat(' ', CAST((wb - length(b)) // 2 AS INTEGER)) || b ||
        repeat(' ', CAST(wb - length(b) - (wb - length(b)) // 2 AS INTEGER)) || ' |' ||
@@ -137,10 +137,11 @@ FROM w
 """)
 def text_table(spark, folder):
     suppliers = table(spark, folder, "supplier").withColumn("id", F.col("s_suppkey"))
-    return cd.format_table(
+    lines = cd.format_table(
         suppliers, ["id", "s_name", "s_acctbal"], ["key", "name", "balance"],
         ["{}", "{}", "{:.2f}"], [">", "^", "<"], pad=1, keep=["s_suppkey"],
     )
+    return lines.fillna(-1, ["s_suppkey"])
 
 
 @query("""
@@ -151,7 +152,7 @@ WITH t AS (SELECT n_nationkey, n_name AS a, CAST(count(c_custkey) AS VARCHAR) AS
      w AS (SELECT *, CAST(max(length(a)) OVER () AS INTEGER) AS wa,
                   CAST(max(length(b)) OVER () AS INTEGER) AS wb,
                   CAST(max(length(c)) OVER () AS INTEGER) AS wc FROM t)
-SELECT n_nationkey, n_nationkey IS NULL AS is_header,
+SELECT coalesce(n_nationkey, -1) AS n_nationkey, n_nationkey IS NULL AS is_header,
        '| ' || rpad(a, wa, ' ') || ' | ' || rpad(b, wb, ' ') || ' | ' || rpad(c, wc, ' ') || ' |' AS line
 FROM w
 """)
@@ -161,7 +162,8 @@ def dataframe_table(spark, folder):
     totals = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
         "n_nationkey", "n_name"
     ).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("total"))
-    return cd.format_dataframe(totals, index_cols=1, keep=["n_nationkey"])
+    lines = cd.format_dataframe(totals, index_cols=1, keep=["n_nationkey"])
+    return lines.fillna(-1, ["n_nationkey"])
 
 
 @query("""

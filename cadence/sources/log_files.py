@@ -21,7 +21,6 @@ _FIELD = {
     "level": r"(Level -?\d+|[^\s:]+)",
 }
 _MARK = "\x01"
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def parse_log_lines(lines: DataFrame, layout: str, line: str = "value") -> DataFrame:
@@ -50,7 +49,7 @@ def parse_log_lines(lines: DataFrame, layout: str, line: str = "value") -> DataF
         F.regexp_extract(level, r"^Level (-?\d+)$", 1).try_cast("int"),
     )
     return lines.select(
-        F.try_to_timestamp(part("ts"), F.lit(TIME_FORMAT)).cast("timestamp_ntz").alias("ts"),
+        part("ts").try_cast("timestamp_ntz").alias("ts"),
         part("logger").alias("logger"),
         part("func").alias("func"),
         level.alias("level"),
@@ -69,8 +68,11 @@ def stream_log_lines(spark: SparkSession, path: str, layout: str, **options) ->
 
 def log_line(layout: str) -> Column:
     """Text line of a record with columns ts, logger, func, level and message."""
-    shown = {"ts": F.date_format("ts", TIME_FORMAT)}
-    cells = [shown.get(f, F.col(f)) for f in LAYOUTS[layout]]
+    # to the second; the text of a timestamp needs no time zone, unlike date_format
+    cells = [
+        F.substring(F.col(f).cast("string"), 1, 19) if f == "ts" else F.col(f)
+        for f in LAYOUTS[layout]
+    ]
     return F.concat(F.concat_ws(" ", *cells), F.lit(": "), F.col("message")).alias("value")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadence.operators.averages import last_value, weighted_mean
@@ -40,10 +41,12 @@ def stream_throttle(stream: DataFrame, keys: str | Sequence[str], time: str,
             clock.last_micros = None if pd.isna(last) else int(last)
         kept = fire(rows[_TIME].to_numpy(), clock, rule)
         state.update((clock.position, clock.last_index, clock.last_micros))
-        yield rows.iloc[kept][out_schema.names]
+        if kept:
+            yield rows.iloc[kept][out_schema.names]
 
     return (
         stream.withColumn(_TIME, micros_of(stream, time))
+        .where(F.col(_TIME).isNotNull())
         .groupBy(*columns(keys))
         .applyInPandasWithState(advance, out_schema, _CLOCK, "append", GroupStateTimeout.NoTimeout)
     )
