@@ -36,7 +36,7 @@ from cadence.sources.states import (
 from cadence.sources.text_tables import sink_text_table
 from cadence.sources.yaml_files import parse_yaml, scan_yaml
 from cadence.streaming.incremental import cadence, incremental_job, on_batches
-from cadence.streaming.keyed import stream_throttle, stream_weighted_mean
+from cadence.streaming.keyed import stream_throttle, stream_weighted_mean, throttle_job
 from cadence.streaming.resume import per_item, read_batches, resumable_map
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OBJECT = "map<string,variant>"
+OBJECT = "map<string,variant>"
 
 
 def _col(c: Column | str) -> Column:
@@ -25,39 +26,44 @@ def variant_path(path: str, sep: str = ".") -> str:
     return "$" + "".join(f"['{p}']" for p in parts)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time however often it occurs."""
+    return F.transform(F.array(value), use)[0]
+
+
 def as_object(value: Column) -> Column:
     """Variant object as a map of its members; NULL for anything else."""
-    return F.try_variant_get(value, "$", _OBJECT)
+    return F.try_variant_get(value, "$", OBJECT)
 
 
 def json_get(doc: Column | str, path: str, dtype: str = "string", strict: bool = False,
              sep: str = ".") -> Column:
     """Value at ``path``.  A missing path gives NULL, or raises when ``strict``."""
-    variant = F.parse_json(_col(doc))
-    where = variant_path(path, sep)
-    value = F.try_variant_get(variant, where, dtype)
+    variant, where = F.parse_json(_col(doc)), variant_path(path, sep)
     if not strict:
-        return value
-    found = F.try_variant_get(variant, where, "variant").isNotNull()
-    missing = F.raise_error(F.lit(f"no value at {path}")).cast(dtype)
-    return F.when(variant.isNull() | found, F.variant_get(variant, where, dtype)).otherwise(missing)
+        return F.try_variant_get(variant, where, dtype)
+
+    def checked(value: Column) -> Column:
+        found = F.try_variant_get(value, where, "variant").isNotNull()
+        missing = F.raise_error(F.lit(f"no value at {path}")).cast(dtype)
+        return F.when(value.isNull() | found, F.variant_get(value, where, dtype)).otherwise(missing)
+
+    return once(variant, checked)
 
 
-def _with_member(parent: Column, parts: list[str], value: Column, soft: bool) -> Column:
-    """``parent`` is a map of variants; gives the variant object with the path set."""
+def _with_member(members: Column, parts: list[str], value: Column, soft: bool) -> Column:
+    """``members`` is a map of variants; gives the variant object with the path set."""
     name = F.lit(parts[0])
-    others = F.map_filter(parent, lambda k, _: k != name)
-    known = F.map_contains_key(parent, name)
+    known = F.map_contains_key(members, name)
+    current = F.element_at(members, name)
     if len(parts) == 1:
-        member = value
-        if soft:
-            member = F.when(known, F.element_at(parent, name)).otherwise(value)
+        member = F.when(known, current).otherwise(value) if soft else value
     else:
-        empty = F.from_json(F.lit("{}"), _OBJECT)
-        below = F.when(~known, empty).otherwise(as_object(F.element_at(parent, name)))
-        inner = _with_member(below, parts[1:], value, soft)
-        bad = F.raise_error(F.lit(f"parent of {parts[1]} is not an object")).cast("variant")
-        member = F.when(below.isNull(), bad).otherwise(inner)
+        bad = F.raise_error(F.lit(f"parent of {parts[1]} is not an object")).cast(OBJECT)
+        empty = F.from_json(F.lit("{}"), OBJECT)
+        below = F.when(known, F.coalesce(as_object(current), bad)).otherwise(empty)
+        member = once(below, lambda m: _with_member(m, parts[1:], value, soft))
+    others = F.map_filter(members, lambda k, _: k != name)
     return F.to_variant_object(F.map_concat(others, F.create_map(name, member)))
 
 
@@ -68,8 +74,8 @@ def json_set(doc: Column | str, path: str, value: Any, soft: bool = False,
     ``value`` is a Python value or a Column of JSON text; the result is JSON text.
     """
     text = value if isinstance(value, Column) else F.lit(json.dumps(value))
-    root = as_object(F.parse_json(_col(doc)))
-    return F.to_json(_with_member(root, path.split(sep), F.parse_json(text), soft))
+    root, parts, new = as_object(F.parse_json(_col(doc))), path.split(sep), F.parse_json(text)
+    return F.to_json(once(root, lambda m: _with_member(m, parts, new, soft)))
 
 
 def canonical_json(doc: Column | str) -> Column:
@@ -90,8 +96,11 @@ def pretty_json(doc: Column | str) -> Column:
 
 
 def _merged(user: Column, defaults: dict[str, Any]) -> Column:
-    members = as_object(user)
     nested = {k: v for k, v in defaults.items() if isinstance(v, dict) and v}
+    given = F.map_from_arrays(
+        F.array(*(F.lit(k) for k in defaults)),
+        F.array(*(F.parse_json(F.lit(json.dumps(v))) for v in defaults.values())),
+    )
 
     def merge_member(name: Column, value: Column) -> Column:
         out = value
@@ -99,15 +108,12 @@ def _merged(user: Column, defaults: dict[str, Any]) -> Column:
             out = F.when(name == key, _merged(value, below)).otherwise(out)
         return out
 
-    own = F.transform_values(members, merge_member) if nested else members
-    given = F.map_from_arrays(
-        F.array(*(F.lit(k) for k in defaults)),
-        F.array(*(F.parse_json(F.lit(json.dumps(v))) for v in defaults.values())),
-    )
-    missing = F.map_filter(given, lambda k, _: ~F.map_contains_key(members, k))
-    return F.when(members.isNull(), user).otherwise(
-        F.to_variant_object(F.map_concat(own, missing))
-    )
+    def fill(members: Column) -> Column:
+        own = F.transform_values(members, merge_member) if nested else members
+        missing = F.map_filter(given, lambda k, _: ~F.map_contains_key(members, k))
+        return F.to_variant_object(F.map_concat(own, missing))
+
+    return F.coalesce(once(as_object(user), fill), user)
 
 
 def merge_json_defaults(doc: Column | str, defaults: dict[str, Any]) -> Column:
@@ -118,4 +124,4 @@ def merge_json_defaults(doc: Column | str, defaults: dict[str, Any]) -> Column:
     """
     if not defaults:
         return canonical_json(doc)
-    return F.to_json(_merged(F.parse_json(_col(doc)), defaults))
+    return F.to_json(once(F.parse_json(_col(doc)), lambda d: _merged(d, defaults)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.functions.json_text import as_object
+from cadence.functions.json_text import OBJECT, as_object
 from cadence.functions.text import path_prefixes
 from cadence.operators.ordering import columns
 
@@ -19,40 +19,37 @@ _LEAF = "array<struct<path:string,value:variant>>"
 _NODE = "array<struct<path:string,value:variant,members:map<string,variant>>>"
 
 
-def _node(path: Column, value: Column, keep: Collection[str], keep_empty: bool) -> Column:
-    """Entry whose ``members`` are NULL exactly when it is a leaf."""
-    members = as_object(value)
-    if keep:
-        members = F.when(~path.isin(*keep), members)
-    if keep_empty:
-        members = F.when(F.size(members) > 0, members)
-    return F.struct(path.alias("path"), value.alias("value"), members.alias("members"))
-
-
 def flattened(doc: Column, sep: str = ".", keep: Collection[str] = (),
               keep_empty: bool = False) -> Column:
     """JSON text to an array of (path, value variant) leaves, any depth, one pass.
 
     Every round opens the objects found by the round before; a document has no more
     levels than opening braces, and rounds after the last level do nothing.
+
+    Lambdas take what is used twice as an argument, so that nothing is parsed twice.
     """
-    root = F.parse_json(doc)
-    bad = F.raise_error(F.lit("the document is not a JSON object")).cast("map<string,variant>")
-    top = F.when(as_object(root).isNull() & doc.isNotNull(), bad).otherwise(as_object(root))
-    first = F.array(F.struct(F.lit("").alias("path"), root.alias("value"), top.alias("members")))
-    levels = F.length(doc) - F.length(F.replace(doc, F.lit("{"), F.lit(""))) + 1
+    def node(path: Column, value: Column, members: Column) -> Column:
+        return F.struct(path.alias("path"), value.alias("value"), members.alias("members"))
+
+    def root(value: Column) -> Column:
+        bad = F.raise_error(F.lit("the document is not a JSON object"))
+        return node(F.lit(""), value, F.coalesce(as_object(value), bad.cast(OBJECT)))
 
     def opened(parent: Column) -> Column:
         def child(member: Column) -> Column:
             above, name = parent["path"], member["key"]
             # an empty parent name counts as no parent
             path = F.when(above == "", name).otherwise(F.concat(above, F.lit(sep), name))
-            return _node(path, member["value"], keep, keep_empty)
+            members = as_object(member["value"])
+            if keep:
+                members = F.when(~path.isin(*keep), members)
+            return node(path, member["value"], members)
 
         return F.transform(F.map_entries(parent["members"]), child)
 
-    def is_leaf(node: Column) -> Column:
-        return node["members"].isNull()
+    def is_leaf(entry: Column) -> Column:
+        members = entry["members"]
+        return members.isNull() | (F.size(members) == 0) if keep_empty else members.isNull()
 
     def one_level(state: Column, _: Column) -> Column:
         leaves = F.transform(
@@ -65,9 +62,20 @@ def flattened(doc: Column, sep: str = ".", keep: Collection[str] = (),
         )
         return F.when(F.size(state["open"]) == 0, state).otherwise(advanced)
 
-    start = F.struct(F.array().cast(_LEAF).alias("done"), first.cast(_NODE).alias("open"))
-    found = F.aggregate(F.sequence(F.lit(1), levels), start, one_level, lambda s: s["done"])
-    return _last_of_each_path(found)
+    def finish(state: Column) -> Column:
+        done = state["done"]
+        if not keep_empty:
+            return _last_of_each_path(done)
+        whole = (F.size(done) == 1) & (done[0]["path"] == "") & (F.to_json(done[0]["value"]) == "{}")
+        return F.when(whole, F.array().cast(_LEAF)).otherwise(_last_of_each_path(done))
+
+    start = F.struct(
+        F.array().cast(_LEAF).alias("done"),
+        F.transform(F.array(F.parse_json(doc)), root).cast(_NODE).alias("open"),
+    )
+    levels = F.length(doc) - F.length(F.replace(doc, F.lit("{"), F.lit(""))) + 1
+    found = F.aggregate(F.sequence(F.lit(1), levels), start, one_level, finish)
+    return F.when(doc.isNotNull(), found)
 
 
 def _last_of_each_path(entries: Column) -> Column:
@@ -77,8 +85,8 @@ def _last_of_each_path(entries: Column) -> Column:
         return ~F.exists(rest, lambda other: other["path"] == entry["path"])
 
     paths = F.transform(entries, lambda e: e["path"])
-    unique = F.size(F.array_distinct(paths)) == F.size(paths)
-    return F.when(entries.isNull() | unique, entries).otherwise(F.filter(entries, later))
+    unique = F.size(F.array_distinct(paths)) == F.size(entries)
+    return F.when(unique, entries).otherwise(F.filter(entries, later))
 
 
 def flatten_json(df: DataFrame, key: str | Sequence[str], doc: str, sep: str = ".",

@@ -28,7 +28,11 @@ from cadence.operators.ordering import (
 )
 from cadence.runtime import stage
 
-_TIME = "__micros"
+TIME = "__micros"
+POSITION = "__position"
+_LOCAL = "__pos"
+# Clock columns: rows counted, position of the last firing, time of the last firing.
+CLOCK = ("clock_position", "clock_last_index", "clock_last_micros")
 
 
 @dataclass(frozen=True)
@@ -58,11 +62,16 @@ def make_rule(step_text: str, seconds: float | None, iters: int | None, reset_in
 
 
 def micros_of(df: DataFrame, time: str) -> Column:
-    """Time column in microseconds; plain numbers are taken as seconds."""
+    """Time column in microseconds; plain numbers are taken as seconds.
+
+    Timestamps without a zone are counted on the wall clock, whatever the session's zone.
+    """
     dtype = df.schema[time].dataType
     column = columns(time)[0]
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), column)
+        since = column - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+        seconds = since.cast("interval second").cast("decimal(20,6)")
+        return (seconds * 1_000_000).cast("bigint")
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(column)
     return F.round(column * 1_000_000).cast("bigint")
@@ -107,64 +116,105 @@ def _run_starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _start(batch: pa.RecordBatch, at: int) -> Clock:
+    """Clock of the key whose rows begin at offset ``at``; fresh without clock columns."""
+    if CLOCK[0] not in batch.schema.names:
+        return Clock()
+    return Clock(*(batch.column(c)[at].as_py() for c in CLOCK))
+
+
 def _scanner(keys: Sequence[str], rule: Rule):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous, clock = None, Clock()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            times = batch.column(_TIME).to_numpy()
+            times = batch.column(TIME).to_numpy()
             starts = _run_starts(batch, keys)
             kept: list[int] = []
+            positions: list[int] = []
             for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
                 if begin > 0 or tuple(batch.column(k)[0].as_py() for k in keys) != previous:
-                    clock = Clock()
-                kept += [begin + f for f in fire(times[begin:end], clock, rule)]
+                    clock = _start(batch, int(begin))
+                first = clock.position
+                for f in fire(times[begin:end], clock, rule):
+                    kept.append(begin + f)
+                    positions.append(first + f)
             previous = tuple(batch.column(k)[-1].as_py() for k in keys)
             if kept:
-                yield batch.take(pa.array(kept, pa.int64())).drop_columns([_TIME])
+                fired = batch.take(pa.array(kept, pa.int64()))
+                fired = fired.drop_columns([c for c in CLOCK if c in fired.schema.names])
+                yield fired.append_column(POSITION, pa.array(positions, pa.int64()))
 
     return scan
 
 
 def _scan_keys(df: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule) -> DataFrame:
-    schema = T.StructType([f for f in df.schema if f.name != _TIME])
+    kept = [f for f in df.schema if f.name not in CLOCK]
     return (
         df.repartition(*columns(keys))
         .sortWithinPartitions(*columns(keys), *order)
-        .mapInArrow(_scanner(keys, rule), schema)
+        .mapInArrow(_scanner(keys, rule), T.StructType(kept).add(POSITION, T.LongType()))
     )
 
 
+def _due(step: Column, rule: Rule, position: Column, last_index: Column) -> list[Column]:
+    """Positions after ``step`` at which spec or ``iters`` fire, counted inside the batch.
+
+    ``position`` is what the key's clock had counted before; ``last_index`` is the last
+    firing, counted from the key's beginning.
+    """
+    found = []
+    if rule.iters is not None:
+        since = last_index if rule.reset_index else F.lit(-1).cast("bigint")
+        found.append(F.greatest(step + 1, since + rule.iters - position))
+    if not rule.spec.never:
+        found.append(next_step(step + position, rule.spec) - position)
+    return found
+
+
+def _earliest(choices: list[Column]) -> Column:
+    return F.least(*choices) if len(choices) > 1 else choices[0]
+
+
 def _link(nodes: DataFrame, rule: Rule) -> DataFrame:
     """(key, position, position that fires next if this one does)."""
     # Merge each row with its due time into one order: a due time's position there,
     # less the due times before it (as many as its row's position), counts the rows
     # before it, which is the position of the first row not earlier.
-    rows = nodes.select(KEY, "__pos", F.col(_TIME).alias("__at"), F.lit(1).alias("__kind"))
+    rows = nodes.select(KEY, _LOCAL, F.col(TIME).alias("__at"), F.lit(1).alias("__kind"), CLOCK[0])
     due = nodes.select(
-        KEY, "__pos", (F.col(_TIME) + rule.micros).alias("__at"), F.lit(0).alias("__kind")
+        KEY, _LOCAL, (F.col(TIME) + rule.micros).alias("__at"), F.lit(0).alias("__kind"), CLOCK[0]
     )
-    merged = dense_index(rows.unionByName(due), [KEY, "__at", "__kind", "__pos"], "__merged")
+    merged = dense_index(rows.unionByName(due), [KEY, "__at", "__kind", _LOCAL], "__merged")
     firsts = merged.groupBy(F.col(KEY).alias("__k")).agg(
         F.min("__merged").alias("__first"), F.sum("__kind").alias("__n")
     )
-    by_time = F.col("__merged") - F.col("__first") - F.col("__pos")
-    choices = [by_time]
-    if rule.iters is not None:
-        ahead = F.col("__pos") + rule.iters
-        if not rule.reset_index:
-            ahead = F.greatest(F.col("__pos") + 1, F.lit(rule.iters - 1).cast("bigint"))
-        choices.append(ahead)
-    if not rule.spec.never:
-        choices.append(next_step("__pos", rule.spec))
-    following = F.least(*choices) if len(choices) > 1 else by_time
+    step, position = F.col(_LOCAL), F.col(CLOCK[0])
+    by_time = F.col("__merged") - F.col("__first") - step
     return (
         merged.where("__kind = 0")
         .join(F.broadcast(firsts), F.col(KEY) == F.col("__k"))
-        .withColumn("__next", following)
+        .withColumn("__next", _earliest([by_time, *_due(step, rule, position, step + position)]))
         .where(F.col("__next") < F.col("__n"))
-        .select(KEY, "__pos", "__next")
+        .select(KEY, _LOCAL, "__next")
+    )
+
+
+def _first_firing(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(key, position) of the first row of the batch that fires, given the clocks."""
+    last = F.col(CLOCK[2])
+    in_time = last.isNull() | (F.col(TIME) >= last + rule.micros)
+    per_key = nodes.groupBy(KEY).agg(
+        F.min(F.when(in_time, F.col(_LOCAL))).alias("__by_time"), F.count("*").alias("__n"),
+        *(F.max(c).alias(c) for c in CLOCK),
+    )
+    none = F.lit(-1).cast("bigint")
+    others = _due(none, rule, F.col(CLOCK[0]), F.col(CLOCK[1]))
+    return (
+        per_key.withColumn(_LOCAL, _earliest([F.col("__by_time"), *others]))
+        .where(F.col(_LOCAL) < F.col("__n"))
+        .select(KEY, _LOCAL)
     )
 
 
@@ -173,41 +223,99 @@ def _reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
     reached = starts
     while True:
         ahead = stage(
-            reached.join(links, [KEY, "__pos"]).select(KEY, F.col("__next").alias("__pos")), "reached"
+            reached.join(links, [KEY, _LOCAL]).select(KEY, F.col("__next").alias(_LOCAL)), "reached"
         )
         if ahead.isEmpty():
             return reached
         reached = reached.unionByName(ahead)
         onward = links.select(
-            F.col(KEY).alias("__k"), F.col("__pos").alias("__mid"), F.col("__next").alias("__far")
+            F.col(KEY).alias("__k"), F.col(_LOCAL).alias("__mid"), F.col("__next").alias("__far")
         )
         links = stage(
             links.join(onward, (F.col(KEY) == F.col("__k")) & (F.col("__next") == F.col("__mid")))
-            .select(KEY, "__pos", F.col("__far").alias("__next")),
+            .select(KEY, _LOCAL, F.col("__far").alias("__next")),
             "links",
         )
 
 
 def _split_keys(hot: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule) -> DataFrame:
     placed = stage(
-        hot_index(hot, keys, order, "__pos").withColumn(KEY, key_struct(keys)), "placed"
+        hot_index(hot, keys, order, _LOCAL).withColumn(KEY, key_struct(keys)), "placed"
     )
-    nodes = placed.select(KEY, "__pos", _TIME)
-    starts = nodes.where("__pos = 0").select(KEY, "__pos")
+    nodes = placed.select(KEY, _LOCAL, TIME, *CLOCK)
+    starts = stage(_first_firing(nodes, rule), "reached")
     fired = _reachable(stage(_link(nodes, rule), "links"), starts)
-    return placed.join(fired, [KEY, "__pos"], "left_semi").drop(KEY, "__pos", _TIME)
+    return (
+        placed.join(fired, [KEY, _LOCAL], "left_semi")
+        .withColumn(POSITION, F.col(_LOCAL) + F.col(CLOCK[0]))
+        .drop(KEY, _LOCAL, *CLOCK)
+    )
 
 
 def _by_position(df: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule,
                  max_key_rows: int | None) -> DataFrame:
-    placed = key_index(df, keys, order, "__pos", max_key_rows)
-    fires = step_filter("__pos", rule.spec)
+    placed = key_index(df, keys, order, _LOCAL, max_key_rows).withColumn(
+        POSITION, F.col(_LOCAL) + F.col(CLOCK[0])
+    )
+    fires = step_filter(POSITION, rule.spec)
     if rule.iters is not None and rule.reset_index:
-        restart = F.coalesce(previous_step("__pos", rule.spec), F.lit(-1).cast("bigint"))
-        fires = fires | ((F.col("__pos") - restart) % rule.iters == 0)
+        restart = F.greatest(previous_step(POSITION, rule.spec), F.col(CLOCK[1]))
+        fires = fires | ((F.col(POSITION) - restart) % rule.iters == 0)
     elif rule.iters is not None:
-        fires = fires | (F.col("__pos") + 1 >= rule.iters)
-    return placed.where(fires).drop("__pos")
+        fires = fires | (F.col(POSITION) + 1 >= rule.iters)
+    return placed.where(fires).drop(_LOCAL, *CLOCK)
+
+
+def _with_clocks(df: DataFrame, keys: Sequence[str], clocks: DataFrame | None) -> DataFrame:
+    """Rows with the clock of their key from before; a fresh one where there is none."""
+    fresh = dict(zip(CLOCK, (F.lit(0), F.lit(-1), F.lit(None))))
+    if clocks is None:
+        return df.withColumns({c: v.cast("bigint") for c, v in fresh.items()})
+    known = clocks.select(key_struct(keys).alias(KEY), *(F.col(c).alias(f"k{c}") for c in CLOCK))
+    joined = df.join(known, key_struct(keys) == F.col(KEY), "left")
+    return joined.select(
+        *columns(df.columns), *(F.coalesce(F.col(f"k{c}"), v).cast("bigint").alias(c) for c, v in fresh.items())
+    )
+
+
+def fired_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str | Column],
+               rule: Rule, max_key_rows: int | None, clocks: DataFrame | None = None) -> DataFrame:
+    """Rows that fire, with their time in microseconds and position in the key."""
+    order = [*columns(time), *columns(ties)]
+    timed = df.withColumn(TIME, micros_of(df, time)).where(order[0].isNotNull())
+    timed = _with_clocks(timed, keys, clocks)
+    if rule.micros is None:
+        return _by_position(timed, keys, order, rule, max_key_rows)
+    ordinary, hot = split_hot(timed, keys, max_key_rows)
+    if clocks is None:
+        ordinary = ordinary.drop(*CLOCK)  # constants need not travel to Python
+    fired = _scan_keys(ordinary, keys, order, rule)
+    if hot is None:
+        return fired
+    return fired.unionByName(_split_keys(hot, keys, order, rule))
+
+
+def advanced_clocks(rows: DataFrame, fired: DataFrame, keys: Sequence[str], time: str, rule: Rule,
+                    clocks: DataFrame | None) -> DataFrame:
+    """Clocks (keys..., position, last index, last time) after ``rows``."""
+    none = F.lit(None).cast("bigint")
+    counted = rows.where(columns(time)[0].isNotNull()).select(
+        *columns(keys), F.lit(1).cast("bigint").alias(CLOCK[0]), none.alias(CLOCK[1]), none.alias(CLOCK[2])
+    )
+    last = F.col(POSITION) if rule.reset_index else none
+    latest = fired.select(
+        *columns(keys), F.lit(0).cast("bigint").alias(CLOCK[0]), last.alias(CLOCK[1]),
+        F.col(TIME).alias(CLOCK[2]),
+    )
+    changes = counted.unionByName(latest)
+    if clocks is not None:
+        changes = changes.unionByName(clocks)
+    # positions and times only grow, so the newest of each is the largest
+    return changes.groupBy(*columns(keys)).agg(
+        F.sum(CLOCK[0]).alias(CLOCK[0]),
+        F.coalesce(F.max(CLOCK[1]), F.lit(-1)).cast("bigint").alias(CLOCK[1]),
+        F.max(CLOCK[2]).alias(CLOCK[2]),
+    )
 
 
 def throttle(df: DataFrame, keys: str | Sequence[str], time: str,
@@ -216,19 +324,10 @@ def throttle(df: DataFrame, keys: str | Sequence[str], time: str,
              reset_index: bool = True, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Rows that fire, per key, in the order of ``time`` and ``ties``.
 
-    With ``seconds`` the first row of a key fires.  Rows without a time are left out.  The position clock starts at -1, so
-    ``iters=7`` fires at positions 6, 13, ...  ``reset_index=False`` lets a firing reset
-    the time clock only.
+    With ``seconds`` the first row of a key fires.  Rows without a time are left out.
+    The position clock starts at -1, so ``iters=7`` fires at positions 6, 13, ...
+    ``reset_index=False`` lets a firing reset the time clock only.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rule = make_rule(step_spec, seconds, iters, reset_index)
-    order = [*columns(time), *columns(ties)]
-    df = df.where(order[0].isNotNull())
-    if rule.micros is None:
-        return _by_position(df, keys, order, rule, max_key_rows)
-    timed = df.withColumn(_TIME, micros_of(df, time))
-    ordinary, hot = split_hot(timed, keys, max_key_rows)
-    fired = _scan_keys(ordinary, keys, order, rule)
-    if hot is None:
-        return fired
-    return fired.unionByName(_split_keys(hot, keys, order, rule))
+    return fired_rows(df, keys, time, ties, rule, max_key_rows).drop(TIME, POSITION)

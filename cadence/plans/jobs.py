@@ -151,3 +151,19 @@ def stream_throttle(spark, folder):
 
     _drops(spark, folder, run)
     return cd.read_batches(spark, out).select("event_id", "user_id", "ts", "value")
+
+
+@query(SIX_HOURS)
+def throttle_job(spark, folder):
+    """Keys above 30 rows in a micro-batch count as hot, so most users take the split path."""
+    out, checkpoint = staging_path(spark, "out"), staging_path(spark, "checkpoint")
+    states = staging_path(spark, "states")
+
+    def run(stream):
+        return cd.throttle_job(
+            stream.select("event_id", "user_id", "ts", "value"), "user_id", "ts", checkpoint, out,
+            states, ["event_id"], seconds=6 * 3600, max_key_rows=30,
+        )
+
+    _drops(spark, folder, run)
+    return cd.read_batches(spark, out)

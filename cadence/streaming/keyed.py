@@ -7,13 +7,17 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadence.operators.averages import last_value, weighted_mean
-from cadence.operators.ordering import columns
-from cadence.operators.throttling import Clock, fire, make_rule, micros_of
+from cadence.operators.ordering import MAX_KEY_ROWS, columns
+from cadence.operators.throttling import (
+    POSITION, TIME, Clock, advanced_clocks, fire, fired_rows, make_rule, micros_of,
+)
+from cadence.runtime import stage
+from cadence.sources.states import commit_state, committed_numbers, prune_states, version_path
 
-_TIME = "__micros"
 _CLOCK = "position bigint, last_index bigint, last_micros bigint"
 
 
@@ -24,13 +28,14 @@ def stream_throttle(stream: DataFrame, keys: str | Sequence[str], time: str,
     """Streaming form of ``throttle``; append mode.
 
     A key's rows are put in order within a micro-batch and taken as they come across
-    micro-batches, so bound those at the source (``maxFilesPerTrigger`` and the like).
-    The state is one clock per key and stays for good.
+    micro-batches.  The state is one clock per key and stays for good.  One task takes
+    a key's share of a micro-batch, so bound those at the source; for large backlogs or
+    keys with a large share use ``throttle_job``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rule = make_rule(step_spec, seconds, iters, reset_index)
     out_schema = stream.schema
-    order = [_TIME, *ties]
+    order = [TIME, *ties]
 
     def advance(_key: tuple, frames: Iterator[pd.DataFrame],
                 state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,19 +44,50 @@ def stream_throttle(stream: DataFrame, keys: str | Sequence[str], time: str,
         if state.exists:
             clock.position, clock.last_index, last = state.get
             clock.last_micros = None if pd.isna(last) else int(last)
-        kept = fire(rows[_TIME].to_numpy(), clock, rule)
+        kept = fire(rows[TIME].to_numpy(), clock, rule)
         state.update((clock.position, clock.last_index, clock.last_micros))
         if kept:
             yield rows.iloc[kept][out_schema.names]
 
     return (
-        stream.withColumn(_TIME, micros_of(stream, time))
-        .where(F.col(_TIME).isNotNull())
+        stream.withColumn(TIME, micros_of(stream, time))
+        .where(F.col(TIME).isNotNull())
         .groupBy(*columns(keys))
         .applyInPandasWithState(advance, out_schema, _CLOCK, "append", GroupStateTimeout.NoTimeout)
     )
 
 
+def throttle_job(stream: DataFrame, keys: str | Sequence[str], time: str, checkpoint: str,
+                 out: str, states: str, ties: Sequence[str] = (), step_spec: str = "::",
+                 seconds: float | None = None, iters: int | None = None,
+                 reset_index: bool = True, max_key_rows: int | None = MAX_KEY_ROWS,
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Throttle a stream with the batch operator, hot keys spread over many tasks.
+
+    Fired rows go to ``out`` (see ``read_batches``), the clocks of all keys to a state
+    table under ``states`` per micro-batch, of which the last few are kept.  A
+    micro-batch that is delivered again starts from the same clocks and overwrites both.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rule = make_rule(step_spec, seconds, iters, reset_index)
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in committed_numbers(spark, states, "version") if n < number]
+        clocks = spark.read.parquet(version_path(states, before[-1])) if before else None
+        fired = stage(fired_rows(batch, keys, time, ties, rule, max_key_rows, clocks), "fired")
+        fired.drop(TIME, POSITION).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        commit_state(advanced_clocks(batch, fired, keys, time, rule, clocks), states, number)
+        prune_states(spark, states)
+
+    return (
+        stream.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def stream_weighted_mean(stream: DataFrame, keys: str | Sequence[str], value: str,
                          weight: Column | str | float = 1,
                          order: Sequence[str] = ()) -> DataFrame:

@@ -56,6 +56,27 @@ def test_throttle_equals_the_batch_form(spark, tmp_path, drops, rule):
     assert sorted(cd.read_batches(spark, out).collect()) == sorted(want.collect())
 
 
+@pytest.mark.parametrize("limit", [None, 40])
+@pytest.mark.parametrize("rule", [
+    dict(seconds=60.0), dict(iters=7), dict(step_spec="2::11", iters=4),
+    dict(seconds=100.0, iters=20, step_spec="3::50"),
+    dict(seconds=40.0, iters=30, reset_index=False), dict(iters=300, step_spec="::90", reset_index=False),
+], ids=str)
+def test_throttle_job_equals_the_batch_form(spark, tmp_path, drops, rule, limit):
+    rows, out, states = sample(), str(tmp_path / "out"), str(tmp_path / "states")
+    for part in (rows[:150], rows[150:320], rows[320:]):
+        cd.throttle_job(
+            drops(part), "k", "t", str(tmp_path / "ck"), out, states, ["id"],
+            max_key_rows=limit, **rule,
+        ).awaitTermination()
+    want = cd.throttle(spark.createDataFrame(rows, SCHEMA), "k", "t", ["id"], **rule)
+    assert sorted(cd.read_batches(spark, out).collect()) == sorted(want.collect())
+    version, clocks = cd.read_latest_state(spark, states)
+    assert version == 2
+    counted = {r.k: r.clock_position for r in clocks.collect()}
+    assert counted == {k: sum(r[0] == k for r in rows) for k in (1, 2, 3)}
+
+
 def test_mean_equals_the_batch_form(spark, tmp_path, drops):
     rows, latest = sample(), {}
 

@@ -80,6 +80,17 @@ def test_rows_without_a_time_never_fire(spark):
     assert [r.id for r in cd.throttle(df, "k", "t", seconds=1).collect()] == [2]
 
 
+def test_wall_clock_times_ignore_the_session_zone(spark):
+    hours = [datetime(2024, 3, 10, h, 30) for h in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(1, h) for h in hours], "k int, t timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted(r.t for r in cd.throttle(df, "k", "t", seconds=7200).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [hours[0], hours[2]]
+
+
 def test_bad_settings(spark):
     df = spark.createDataFrame([(1, 5.0)], "k int, t double")
     for bad in (dict(seconds=0), dict(iters=0), dict(step_spec="::0")):
