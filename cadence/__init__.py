@@ -19,7 +19,7 @@ from cadence.operators.logs import level_filter, logger_threshold_filter
 from cadence.operators.nesting import (
     flatten_struct, get_path, merge_defaults, set_path, unflatten_struct,
 )
-from cadence.operators.ordering import balanced_batches, dense_index, key_index
+from cadence.operators.ordering import balanced_batches, dense_index, key_batches, key_index
 from cadence.operators.tables import column_widths, format_dataframe, format_table
 from cadence.operators.throttling import throttle
 from cadence.runtime import clear_staging

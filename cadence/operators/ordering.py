@@ -160,3 +160,21 @@ def key_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     if hot is None:
         return out
     return out.unionByName(hot_index(hot, keys, order, name))
+
+
+def key_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], max_size: int,
+                name: str = "batch_id", max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+    """``balanced_batches`` inside each key: batch numbers start at 0 for every key."""
+    if max_size < 1:
+        raise ValueError("max_size must be positive")
+    ordinary, hot = split_hot(df, keys, max_key_rows)
+    whole = Window.partitionBy(*columns(keys))
+    index = (F.row_number().over(whole.orderBy(*columns(order))) - 1).cast("bigint")
+    placed = ordinary.withColumn("__idx", index).withColumn(TOTAL, F.count("*").over(whole))
+    if hot is not None:
+        split = hot_index(hot, keys, order, "__idx").withColumn(KEY, key_struct(keys))
+        totals = split.groupBy(F.col(KEY).alias("__k")).agg(F.count("*").alias(TOTAL))
+        split = split.join(F.broadcast(totals), F.col(KEY) == F.col("__k")).drop(KEY, "__k")
+        placed = placed.unionByName(split)
+    batch = batch_of(F.col("__idx"), F.col(TOTAL), max_size)
+    return placed.withColumn(name, batch).drop("__idx", TOTAL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import cadence as cd
 from cadence.plans.registry import query, table
@@ -245,32 +246,53 @@ def json_lines(spark, folder):
     return spark.read.schema(orders.schema).json(path)
 
 
-def _one_file_each(df, label):
-    """Write a text column with one row per file."""
-    path = staging_path(df.sparkSession, label)
-    df.write.option("maxRecordsPerFile", 1).text(path)
-    return path
+CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+FILE_ROWS = 100  # customers per document file
 
 
-SUPPLIERS = "SELECT s_suppkey, s_name, s_acctbal FROM supplier"
+def _customer_files(spark, folder, options=None):
+    """Folder of JSON documents, one per file, each holding up to FILE_ROWS customers."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    # c_custkey is unique, so a group holds at most FILE_ROWS rows
+    docs = customers.groupBy(F.expr(f"c_custkey div {FILE_ROWS}").alias("part")).agg(
+        F.collect_list(F.struct(*customers.columns)).alias("rows")
+    )
+    path = staging_path(spark, "json")
+    text = docs.select(F.to_json(F.struct("*"), options or {}))
+    text.write.option("maxRecordsPerFile", 1).text(path)
+    return path, customers.schema
 
 
-@query(SUPPLIERS)
+@query(CUSTOMERS)
 def json_scan(spark, folder):
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    path = _one_file_each(suppliers.select(F.to_json(F.struct("*"), {"pretty": "true"})), "json")
-    return cd.scan_json(spark, path, suppliers.schema)
+    path, row = _customer_files(spark, folder, {"pretty": "true"})
+    schema = T.StructType().add("part", T.LongType()).add("rows", T.ArrayType(row))
+    return cd.scan_json(spark, path, schema).select(F.inline("rows"))
 
 
-@query(SUPPLIERS)
+@query(CUSTOMERS)
 def json_scan_variant(spark, folder):
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    path = _one_file_each(suppliers.select(F.to_json(F.struct("*"))), "json")
+    path, row = _customer_files(spark, folder)
     docs = cd.scan_json(spark, path)
-    return docs.select(
-        cd.get_path(docs, "doc.s_suppkey", dtype="bigint").alias("s_suppkey"),
-        cd.get_path(docs, "doc.s_name").alias("s_name"),
-        cd.get_path(docs, "doc.s_acctbal", dtype="double").alias("s_acctbal"),
+    rows = cd.get_path(docs, "doc.rows", dtype=f"array<{row.simpleString()}>")
+    return docs.select(F.inline(rows))
+
+
+@query(CUSTOMERS)
+def yaml_scan(spark, folder):
+    """Each file is one YAML mapping from customer to record, a line per customer."""
+    line = F.concat(
+        F.col("c_custkey").cast("string"), F.lit(': {name: "'), F.col("c_name"),
+        F.lit('", balances: ['), F.col("c_acctbal").cast("string"), F.lit(", null]}"),
+    )
+    path = staging_path(spark, "yaml")
+    customers = table(spark, folder, "customer").select(line)
+    customers.write.option("maxRecordsPerFile", FILE_ROWS).text(path)
+    docs = cd.scan_yaml(spark, path)
+    records = F.from_json("doc", "map<string,struct<name:string,balances:array<double>>>")
+    return docs.select(F.explode(records).alias("key", "r")).select(
+        F.col("key").cast("bigint").alias("c_custkey"), F.col("r.name").alias("c_name"),
+        F.get("r.balances", F.lit(0)).alias("c_acctbal"),
     )
 
 
@@ -281,18 +303,6 @@ def _yaml_text(key, name, balance):
     )
 
 
-@query("SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier")
-def yaml_scan(spark, folder):
-    suppliers = table(spark, folder, "supplier")
-    path = _one_file_each(suppliers.select(_yaml_text("s_suppkey", "s_name", "s_acctbal")), "yaml")
-    docs = cd.scan_yaml(spark, path)
-    return docs.select(
-        cd.json_get("doc", "key", "bigint").alias("key"),
-        cd.json_get("doc", "who.name").alias("name"),
-        F.expr("variant_get(parse_json(doc), '$.balances[0]', 'double')").alias("balance"),
-    )
-
-
 @query("""
 SELECT c_custkey, c_name AS name, c_acctbal AS balance, c_custkey % 4 = 0 AS repeated
 FROM customer

@@ -153,6 +153,31 @@ def batch_sizes(spark, folder):
     return _batches(spark, folder).groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
+KEY_BATCHES = """
+WITH p AS (SELECT o_orderkey, o_orderpriority AS p,
+                  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i,
+                  count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+     k AS (SELECT *, (n - 1) // 150 + 1 AS k FROM p),
+     q AS (SELECT *, n // k AS q, n % k AS r FROM k)
+SELECT o_orderkey, p AS o_orderpriority,
+       CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS batch_id
+FROM q
+"""
+
+
+@query(KEY_BATCHES)
+def key_batches(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return cd.key_batches(orders, ["o_orderpriority"], ["o_orderkey"], 150)
+
+
+@query(KEY_BATCHES)
+def key_batches_split(spark, folder):
+    """Every priority holds a fifth of the rows and counts as hot."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return cd.key_batches(orders, ["o_orderpriority"], ["o_orderkey"], 150, max_key_rows=200)
+
+
 @query("""
 SELECT event_id, user_id, ts, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3

@@ -122,7 +122,9 @@ def scan_yaml(spark: SparkSession, path: str, strict: bool = True, on_error: str
     here, hence ``wholeTextFiles``.
     """
     _check(on_error)
-    files = spark.sparkContext.wholeTextFiles(path, min_partitions).toDF("path string, text string")
+    context = spark.sparkContext
+    tasks = min_partitions or context.defaultParallelism
+    files = context.wholeTextFiles(path, tasks).toDF("path string, text string")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

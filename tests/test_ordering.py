@@ -63,3 +63,15 @@ def test_key_index_with_hot_and_null_keys(spark, limit):
         want[i] = seen[k, s]
         seen[k, s] += 1
     assert {r.i: r.pos for r in got} == want
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_batches_inside_each_key(spark, limit):
+    sizes = {"a": 10, "b": 9, "c": 1, None: 11}
+    rows = [(k, i) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long").repartition(3)
+    counted = {}
+    for r in cd.key_batches(df, ["k"], ["i"], 3, max_key_rows=limit).orderBy("i").collect():
+        counted.setdefault(r.k, Counter())[r.batch_id] += 1
+    want = {"a": [3, 3, 2, 2], "b": [3, 3, 3], "c": [1], None: [3, 3, 3, 2]}
+    assert {k: list(c.values()) for k, c in counted.items()} == want
