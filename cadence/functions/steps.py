@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +22,6 @@ class Clause:
     high: int | None = None
     period: int | None = None
 
-    def first_from(self, step: int) -> int | None:
-        """Smallest step >= ``step`` at which this clause fires."""
-        hits = [i for i in self.indices if i >= step]
-        if self.period:
-            start = step if self.low is None else max(step, self.low)
-            multiple = -(-start // self.period) * self.period
-            if self.high is None or multiple <= self.high:
-                hits.append(multiple)
-        return min(hits, default=None)
-
 
 @dataclass(frozen=True)
 class StepSpec:
@@ -40,9 +31,17 @@ class StepSpec:
     def never(self) -> bool:
         return not any(c.indices or c.period for c in self.clauses)
 
-    def first_from(self, step: int) -> int | None:
-        found = (c.first_from(step) for c in self.clauses)
-        return min((s for s in found if s is not None), default=None)
+    def fires_at(self, steps: np.ndarray) -> np.ndarray:
+        """The spec over an array of steps; the DataFrame form is ``step_filter``."""
+        steps = np.asarray(steps)
+        fires = np.zeros(steps.shape, dtype=bool)
+        for c in self.clauses:
+            fires |= np.isin(steps, c.indices)
+            if c.period:
+                low = -np.inf if c.low is None else c.low
+                high = np.inf if c.high is None else c.high
+                fires |= (steps % c.period == 0) & (steps >= low) & (steps <= high)
+        return fires
 
 
 def _number(text: str, spec: str) -> int:

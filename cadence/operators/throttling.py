@@ -6,8 +6,9 @@ or ``seconds`` have passed since the last firing.  Three ways compute it:
 * without ``seconds`` the answer follows from the position alone;
 * ordinary keys are scanned in sorted partitions, the state being one pair of numbers;
 * a hot key is spread over many tasks: every row gets a link to the row that would fire
-  next if it fired, and the rows reachable from the start are found by doubling the
-  links, in a number of joins logarithmic in the number of firings.
+  next if it fired.  Blocks of rows are followed each in its task, from wherever a
+  firing can enter; the true entries are then found by doubling the hops between blocks,
+  in a number of joins logarithmic in the number of blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from cadence.runtime import stage
 TIME = "__micros"
 POSITION = "__position"
 _LOCAL = "__pos"
+# Consecutive rows of a hot key that one task follows.
+BLOCK_ROWS = 1 << 18
 # Clock columns: rows counted, position of the last firing, time of the last firing.
 CLOCK = ("clock_position", "clock_last_index", "clock_last_micros")
 
@@ -78,27 +81,36 @@ def micros_of(df: DataFrame, time: str) -> Column:
 
 
 def fire(times: np.ndarray, clock: Clock, rule: Rule) -> list[int]:
-    """Offsets that fire among the next rows of a key; moves the clock past them."""
-    start, size, at, fired = clock.position, len(times), 0, []
-    while at < size:
-        target = size
-        if rule.micros is not None:
-            due = at
-            if clock.last_micros is not None:
-                due = at + int(np.searchsorted(times[at:], clock.last_micros + rule.micros))
-            target = min(target, due)
-        if rule.iters is not None:
-            target = min(target, max(at, clock.last_index + rule.iters - start))
-        matched = rule.spec.first_from(start + at)
-        if matched is not None:
-            target = min(target, matched - start)
-        if target >= size:
-            break
-        fired.append(target)
-        clock.last_micros = int(times[target])
+    """Offsets that fire among the next rows of a key; moves the clock past them.
+
+    Every row is linked to the one that fires next if it does, then the links are followed.
+    """
+    size, start = len(times), clock.position
+    offsets = np.arange(size)
+    first, links = size, np.full(size, size)
+    if rule.micros is not None:
+        links = np.searchsorted(times, times + rule.micros)
+        first = 0
+        if clock.last_micros is not None:
+            first = int(np.searchsorted(times, clock.last_micros + rule.micros))
+    if rule.iters is not None:
+        free = clock.last_index + rule.iters - start
+        first = min(first, max(free, 0))
+        onward = offsets + rule.iters if rule.reset_index else np.maximum(offsets + 1, free)
+        links = np.minimum(links, onward)
+    if not rule.spec.never:
+        hits = np.where(rule.spec.fires_at(start + offsets), offsets, size)
+        upcoming = np.minimum.accumulate(np.append(hits, size)[::-1])[::-1]
+        first, links = min(first, int(upcoming[0])), np.minimum(links, upcoming[1:])
+    fired = []
+    step = links.tolist()
+    while first < size:
+        fired.append(first)
+        first = step[first]
+    if fired:
+        clock.last_micros = int(times[fired[-1]])
         if rule.reset_index:
-            clock.last_index = start + target
-        at = target + 1
+            clock.last_index = start + fired[-1]
     clock.position += size
     return fired
 
@@ -130,21 +142,21 @@ def _scanner(keys: Sequence[str], rule: Rule):
             if batch.num_rows == 0:
                 continue
             times = batch.column(TIME).to_numpy()
-            starts = _run_starts(batch, keys)
+            starts = _run_starts(batch, keys).tolist()
             kept: list[int] = []
             positions: list[int] = []
             for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
                 if begin > 0 or tuple(batch.column(k)[0].as_py() for k in keys) != previous:
-                    clock = _start(batch, int(begin))
+                    clock = _start(batch, begin)
                 first = clock.position
-                for f in fire(times[begin:end], clock, rule):
-                    kept.append(begin + f)
-                    positions.append(first + f)
+                fired = fire(times[begin:end], clock, rule)
+                kept += [begin + f for f in fired]
+                positions += [first + f for f in fired]
             previous = tuple(batch.column(k)[-1].as_py() for k in keys)
             if kept:
-                fired = batch.take(pa.array(kept, pa.int64()))
-                fired = fired.drop_columns([c for c in CLOCK if c in fired.schema.names])
-                yield fired.append_column(POSITION, pa.array(positions, pa.int64()))
+                rows = batch.take(pa.array(kept, pa.int64()))
+                rows = rows.drop_columns([c for c in CLOCK if c in rows.schema.names])
+                yield rows.append_column(POSITION, pa.array(positions, pa.int64()))
 
     return scan
 
@@ -238,13 +250,79 @@ def _reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
         )
 
 
+def _exits(block_rows: int):
+    """From where a firing can enter a block to where it is once it left the block."""
+
+    def exits(block: pa.Table) -> pa.Table:
+        block = block.sort_by(_LOCAL)
+        position, following = (block.column(c).to_numpy() for c in (_LOCAL, "__next"))
+        base = block.column("__block")[0].as_py() * block_rows
+        if position[0] >= base:
+            return block.slice(0, 0).select([KEY, _LOCAL, "__next"])
+        # The first row is the one before the block.  Links never cross, so a firing
+        # enters no later than that row's link leads to.
+        target = following[1:] - base
+        entered = min(len(target), int(following[0]) - base + 1)
+        inside = target < len(target)
+        while inside.any():
+            target[inside] = target[target[inside]]
+            inside = target < len(target)
+        found = block.slice(1, entered).select([KEY, _LOCAL])
+        return found.append_column("__next", pa.array(target[:entered] + base))
+
+    return exits
+
+
+def _walk(block_rows: int):
+    """Rows of a block that fire; the rows with a negative link are its entries."""
+
+    def walk(block: pa.Table) -> pa.Table:
+        position, following = (block.column(c).to_numpy() for c in (_LOCAL, "__next"))
+        links = following >= 0
+        step = dict(zip(position[links].tolist(), following[links].tolist()))
+        end = (block.column("__block")[0].as_py() + 1) * block_rows
+        fired: set[int] = set()
+        for at in position[~links].tolist():
+            while at is not None and at < end and at not in fired:
+                fired.add(at)
+                at = step.get(at)
+        key = block.column(KEY).take(pa.array([0] * len(fired), pa.int64()))
+        return pa.table({KEY: key, _LOCAL: pa.array(sorted(fired), pa.int64())})
+
+    return walk
+
+
+def _fired_positions(links: DataFrame, starts: DataFrame, block_rows: int) -> DataFrame:
+    """(key, position) of all firings, in blocks of consecutive rows of a key.
+
+    Inside a block the links are followed at once; only the hops from block to block
+    need joins.  A block is bounded, so no task holds more than one block of a key.
+    """
+    linked = T.StructType([f for f in links.schema if f.name in (KEY, _LOCAL, "__next")])
+    size, none = F.lit(block_rows), F.lit(-1).cast("bigint")
+    block = F.call_function("div", F.col(_LOCAL), size)
+    before = starts.select(KEY, none.alias(_LOCAL), F.col(_LOCAL).alias("__next"))
+    own = links.withColumn("__block", block)
+    lead = (
+        links.unionByName(before).where((F.col(_LOCAL) + 1) % size == 0)
+        .withColumn("__block", F.call_function("div", F.col(_LOCAL) + 1, size))
+    )
+    hops = own.unionByName(lead).groupBy(KEY, "__block").applyInArrow(_exits(block_rows), linked)
+    entries = _reachable(stage(hops, "hops"), starts)
+    marked = entries.withColumn("__next", none).withColumn("__block", block)
+    return (
+        own.unionByName(marked).groupBy(KEY, "__block")
+        .applyInArrow(_walk(block_rows), T.StructType(linked.fields[:2]))
+    )
+
+
 def _split_keys(hot: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule) -> DataFrame:
     placed = stage(
         hot_index(hot, keys, order, _LOCAL).withColumn(KEY, key_struct(keys)), "placed"
     )
     nodes = placed.select(KEY, _LOCAL, TIME, *CLOCK)
-    starts = stage(_first_firing(nodes, rule), "reached")
-    fired = _reachable(stage(_link(nodes, rule), "links"), starts)
+    starts = stage(_first_firing(nodes, rule), "starts")
+    fired = _fired_positions(stage(_link(nodes, rule), "links"), starts, BLOCK_ROWS)
     return (
         placed.join(fired, [KEY, _LOCAL], "left_semi")
         .withColumn(POSITION, F.col(_LOCAL) + F.col(CLOCK[0]))

@@ -35,7 +35,7 @@ def on_batches(spec: str, action: Callable[[DataFrame, int], None]) -> Callable[
     parsed = step_spec(spec)
 
     def act(batch: DataFrame, number: int) -> None:
-        if parsed.first_from(number) == number:
+        if parsed.fires_at(number):
             action(batch, number)
 
     return act
