@@ -15,67 +15,58 @@ from cadence.operators.ordering import columns
 # Defaults handled by one expression; a longer configuration takes several.
 CONFIG_CHUNK = 200
 
-_LEAF = "array<struct<path:string,value:variant>>"
-_NODE = "array<struct<path:string,value:variant,members:map<string,variant>>>"
-
 
 def flattened(doc: Column, sep: str = ".", keep: Collection[str] = (),
               keep_empty: bool = False) -> Column:
     """JSON text to an array of (path, value variant) leaves, any depth, one pass.
 
-    Every round opens the objects found by the round before; a document has no more
-    levels than opening braces, and rounds after the last level do nothing.
-
-    Lambdas take what is used twice as an argument, so that nothing is parsed twice.
+    After the top level it goes on in rounds, each opening the objects the round before
+    found.  A document has no more levels than opening braces, and rounds after its last
+    level do nothing.
     """
-    def node(path: Column, value: Column, members: Column) -> Column:
+    def node(path: Column, value: Column) -> Column:
+        """Entry with the members to open; they are NULL for a leaf."""
+        members = as_object(value)
+        if keep:
+            members = F.when(~path.isin(*keep), members)
         return F.struct(path.alias("path"), value.alias("value"), members.alias("members"))
 
-    def root(value: Column) -> Column:
-        bad = F.raise_error(F.lit("the document is not a JSON object"))
-        return node(F.lit(""), value, F.coalesce(as_object(value), bad.cast(OBJECT)))
+    def leaf(path: Column, value: Column) -> Column:
+        return F.struct(path.alias("path"), value.alias("value"))
+
+    def is_leaf(entry: Column) -> Column:
+        members = entry["members"]
+        return members.isNull() | (F.size(members) == 0) if keep_empty else members.isNull()
 
     def opened(parent: Column) -> Column:
         def child(member: Column) -> Column:
             above, name = parent["path"], member["key"]
             # an empty parent name counts as no parent
             path = F.when(above == "", name).otherwise(F.concat(above, F.lit(sep), name))
-            members = as_object(member["value"])
-            if keep:
-                members = F.when(~path.isin(*keep), members)
-            return node(path, member["value"], members)
+            return node(path, member["value"])
 
         return F.transform(F.map_entries(parent["members"]), child)
 
-    def is_leaf(entry: Column) -> Column:
-        members = entry["members"]
-        return members.isNull() | (F.size(members) == 0) if keep_empty else members.isNull()
-
     def one_level(state: Column, _: Column) -> Column:
         leaves = F.transform(
-            F.filter(state["open"], is_leaf),
-            lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value")),
+            F.filter(state["open"], is_leaf), lambda n: leaf(n["path"], n["value"])
         )
         deeper = F.flatten(F.transform(F.filter(state["open"], lambda n: ~is_leaf(n)), opened))
-        advanced = F.struct(
-            F.concat(state["done"], leaves).alias("done"), deeper.cast(_NODE).alias("open")
-        )
+        advanced = F.struct(F.concat(state["done"], leaves).alias("done"), deeper.alias("open"))
         return F.when(F.size(state["open"]) == 0, state).otherwise(advanced)
 
-    def finish(state: Column) -> Column:
-        done = state["done"]
-        if not keep_empty:
-            return _last_of_each_path(done)
-        whole = (F.size(done) == 1) & (done[0]["path"] == "") & (F.to_json(done[0]["value"]) == "{}")
-        return F.when(whole, F.array().cast(_LEAF)).otherwise(_last_of_each_path(done))
-
+    bad = F.raise_error(F.lit("the document is not a JSON object")).cast(OBJECT)
+    top = F.map_entries(F.coalesce(as_object(F.parse_json(doc)), bad))
     start = F.struct(
-        F.array().cast(_LEAF).alias("done"),
-        F.transform(F.array(F.parse_json(doc)), root).cast(_NODE).alias("open"),
+        F.array().cast("array<struct<path:string,value:variant>>").alias("done"),
+        F.transform(top, lambda m: node(m["key"], m["value"])).alias("open"),
     )
-    levels = F.length(doc) - F.length(F.replace(doc, F.lit("{"), F.lit(""))) + 1
-    found = F.aggregate(F.sequence(F.lit(1), levels), start, one_level, finish)
-    return F.when(doc.isNotNull(), found)
+    braces = F.length(doc) - F.length(F.replace(doc, F.lit("{"), F.lit("")))
+    nested = F.aggregate(
+        F.sequence(F.lit(1), braces), start, one_level, lambda s: _last_of_each_path(s["done"])
+    )
+    flat = F.transform(top, lambda m: leaf(m["key"], m["value"]))
+    return F.when(braces == 1, flat).when(doc.isNotNull(), nested)
 
 
 def _last_of_each_path(entries: Column) -> Column:
@@ -163,24 +154,27 @@ def _merge_config(user_rows: DataFrame, defaults: DataFrame, row_id: list[str],
 
 def _merge_own_defaults(user_rows: DataFrame, defaults: DataFrame, row_id: list[str],
                         sep: str) -> DataFrame:
-    at = [*row_id, "path"]
-    user_rows = user_rows.select(*columns([*at, "value"])).where("path is not null")
-    defaults = defaults.select(*columns([*at, "value"])).where("path is not null")
-    prefixes = path_prefixes("path", sep)
-
-    def parents(rows: DataFrame) -> DataFrame:
-        """(row_id..., path of the row, one of its proper prefixes)."""
-        every = F.slice(prefixes, F.lit(1), F.size(prefixes) - 1)
-        return rows.select(*columns(at), F.explode(every).alias("__above"))
-
-    nodes = user_rows.select(*columns(row_id), F.explode(prefixes).alias("path")).distinct()
-    leaves = user_rows.where("value <> '{}'").select(*columns(row_id), F.col("path").alias("__above"))
-    untouched = defaults.join(nodes, at, "left_anti")
-    under_leaf = parents(untouched).join(leaves, [*row_id, "__above"], "left_semi")
-    added = untouched.join(under_leaf.select(*columns(at)), at, "left_anti")
-    filled = parents(added).select(*columns(row_id), F.col("__above").alias("path"))
-    is_node = F.col("value") == "{}"
-    kept = user_rows.where(~is_node).unionByName(
-        user_rows.where(is_node).join(filled, at, "left_anti")
+    at = columns([*row_id, "path"])
+    prefixes, is_node = path_prefixes("path", sep), F.col("value") == "{}"
+    user_rows = user_rows.select(*at, "value").where("path is not null")
+    defaults = defaults.select(*at, "value").where("path is not null")
+
+    # every path the document has something at or below, and whether a leaf ends there
+    nodes = (
+        user_rows.select(*columns(row_id), "path", is_node.alias("__node"), F.explode(prefixes).alias("__at"))
+        .groupBy(*columns(row_id), "__at")
+        .agg(F.max((F.col("path") == F.col("__at")) & ~F.col("__node")).alias("__leaf"))
+    )
+    probes = defaults.select(*at, F.explode(prefixes).alias("__at"))
+    blocked = (
+        probes.join(nodes, [*row_id, "__at"])
+        .where(F.col("__leaf") | (F.col("path") == F.col("__at")))
+        .select(*at)
+    )
+    added = defaults.join(blocked, [*row_id, "path"], "left_anti")
+    # a document with a {} has nothing around it that could block a default below it
+    filled = probes.where(F.col("path") != F.col("__at")).select(
+        *columns(row_id), F.col("__at").alias("path")
     )
-    return kept.unionByName(added)
+    empty = user_rows.where(is_node).join(filled, [*row_id, "path"], "left_anti")
+    return user_rows.where(~is_node).unionByName(empty).unionByName(added)

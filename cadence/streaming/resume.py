@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from cadence.operators.keysets import assert_complete, assert_unique, remaining_items
 from cadence.operators.ordering import (
-    PART, SLOT, TOTAL, batch_bounds, columns, lay_out, part_offsets,
+    PART, SLOT, batch_bounds, columns, lay_out, part_offsets,
 )
 from cadence.sources.states import committed_numbers
 
@@ -53,15 +54,17 @@ def _slices(remaining: DataFrame, keys: list[str], batch_rows: int | None,
         return
     laid_out = lay_out(remaining, keys, "items")
     # one row per partition
-    parts = part_offsets(laid_out).drop(TOTAL).collect()
+    parts = sorted(part_offsets(laid_out).select("__before", PART).collect())
+    before = [p["__before"] for p in parts]
     for start, end in bounds:
-        touched = [p for p in parts if p["__before"] < end and p["__before"] + p["__rows"] > start]
-        first, last = touched[0], touched[-1]
+        lowest, highest = bisect_right(before, start) - 1, bisect_left(before, end) - 1
+        first, last = parts[lowest][PART], parts[highest][PART]
         # a staged file holds one partition, so these bounds skip the other files
-        inside = F.col(PART).between(first[PART], last[PART])
-        inside &= (F.col(PART) > first[PART]) | (F.col(SLOT) >= start - first["__before"])
-        inside &= (F.col(PART) < last[PART]) | (F.col(SLOT) < end - last["__before"])
-        tasks = parallelism or max(len(touched), laid_out.sparkSession.sparkContext.defaultParallelism)
+        inside = F.col(PART).between(first, last)
+        inside &= (F.col(PART) > first) | (F.col(SLOT) >= start - before[lowest])
+        inside &= (F.col(PART) < last) | (F.col(SLOT) < end - before[highest])
+        cores = laid_out.sparkSession.sparkContext.defaultParallelism
+        tasks = parallelism or max(highest - lowest + 1, cores)
         yield laid_out.where(inside).select(*columns(names)).repartition(tasks, *columns(keys))
 
 

@@ -33,6 +33,12 @@ def test_upsert_and_latest(spark, items):
     assert {tuple(r) for r in cd.latest_by_key(log, "k", ["i"]).collect()} == {(1, 8), (2, 5)}
 
 
+def test_keep_latest_of_many(spark):
+    log = spark.range(5000).selectExpr("id % 2 AS k", "id AS i")
+    got = cd.keep_latest(log, "k", "i", 1500).collect()
+    assert sorted(r.i for r in got) == list(range(2000, 5000))
+
+
 def test_keep_latest_limits_before_the_shuffle(spark):
     log = spark.range(1000).selectExpr("id % 3 AS k", "id AS i")
     plan = cd.keep_latest(log, "k", "i")._jdf.queryExecution().executedPlan().toString()
