@@ -61,6 +61,10 @@ def plain_text(value: Column | str, dtype: T.DataType) -> Column:
         text = _float_text(value)
     elif isinstance(dtype, T.FloatType):
         text = _float_text(value.cast("string").cast("double"))
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        text = value.cast("string")
+        # a fraction always shows six digits
+        text = F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
     else:
         text = value.cast("string")
     return F.when(value.isNull(), "None").otherwise(text)

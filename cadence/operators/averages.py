@@ -27,8 +27,12 @@ def weighted_mean(value: Column | str, weight: Column | str | float = 1) -> Colu
 
 
 def last_value(value: Column | str, *order: Column | str) -> Column:
-    """Aggregate: value of the last row in ``order`` (add ties to make it total)."""
-    return F.max_by(columns(value)[0], F.struct(*columns(order)))
+    """Aggregate: value of the last row in ``order`` (add ties to make it total).
+
+    With one numeric order column and value it stays a hash aggregate.
+    """
+    by = columns(order)
+    return F.max_by(columns(value)[0], by[0] if len(by) == 1 else F.struct(*by))
 
 
 def weighted_summary(value: Column | str, weight: Column | str | float = 1,

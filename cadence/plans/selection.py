@@ -211,16 +211,18 @@ def remaining_items(spark, folder):
 @query("""
 SELECT event_id, user_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type
-                           ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) = 1
+                           ORDER BY value >= 20 DESC, ts DESC, event_id DESC) = 1
 """)
 def upsert_latest(spark, folder):
+    """Large events replace small ones, whichever came last."""
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
     keys = ["user_id", "event_type"]
 
-    def newest(half):
-        return cd.latest_by_key(events.where(F.col("event_id") % 2 == half), keys, ["ts", "event_id"])
+    def newest(rows):
+        return cd.latest_by_key(rows, keys, ["ts", "event_id"])
 
-    return cd.upsert_results(newest(0), newest(1), keys).drop("ts")
+    large = F.col("value") >= 20
+    return cd.upsert_results(newest(events.where(~large)), newest(events.where(large)), keys).drop("ts")
 
 
 @query("""

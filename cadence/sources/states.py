@@ -38,8 +38,8 @@ def _states(spark: SparkSession, root: str) -> list[tuple[int, int | None, bool]
     plain = _numbered(names, "version")
     if len(totals) + bool(plain) > 1:
         raise ValueError(
-            f"States of different totals under {root}: {totals}. They are probably left "
-            "from another run; remove them."
+            f"States of different totals under {root}: {totals or ''}{' and none' if plain else ''}. "
+            "Use one folder per run."
         )
     total = totals[0] if totals else None
     versions = _numbered(subfolders(spark, f"{root}/total={total}"), "version") if totals else plain

@@ -69,7 +69,7 @@ def yaml_to_json(text: str, strict: bool) -> str:
         if strict:
             name = _repeated_key(loader, root)
             if name is not None:
-                raise ValueError(f'Duplicate key ("{name}") in YAML')
+                raise ValueError(f"key {name!r} is given twice")
         value = None if root is None else loader.construct_document(root)
     finally:
         loader.dispose()
@@ -86,7 +86,7 @@ def _parse_all(texts: pd.Series, strict: bool, on_error: str, paths: pd.Series)
             doc = None if text is None else yaml_to_json(text, strict)
         except Exception as problem:  # any parser failure is the document's error
             if on_error == "fail":
-                raise ValueError(f"Could not load YAML at {path}: {problem}") from problem
+                raise ValueError(f"YAML document {path}: {problem}") from problem
             error = str(problem)
         docs.append(doc)
         errors.append(error)

@@ -38,9 +38,9 @@ def test_yaml_strict(spark, yaml_folder):
         "merge.yml": {"base": {"x": 1, "y": 2}, "use": {"x": 5, "y": 2}},
         "odd.yml": {"d": "2024-01-02", "n": "nan", "1": "one", "null": "nothing", "s": ["u", "v"]},
     }
-    assert 'Duplicate key ("a")' in got["twice.yml"].error
-    assert 'Duplicate key ("a")' in got["nested.yml"].error
-    assert 'Duplicate key ("b")' in got["listed.yml"].error
+    assert got["twice.yml"].error == "key 'a' is given twice"
+    assert got["nested.yml"].error == "key 'a' is given twice"
+    assert got["listed.yml"].error == "key 'b' is given twice"
     assert got["broken.yml"].error and got["broken.yml"].doc is None
 
 
@@ -52,7 +52,7 @@ def test_yaml_lax(spark, yaml_folder):
 
 
 def test_yaml_failure_names_the_file(spark, yaml_folder):
-    with pytest.raises(Exception, match="Could not load YAML at .*twice.yml"):
+    with pytest.raises(Exception, match="YAML document .*twice.yml: key 'a' is given twice"):
         cd.scan_yaml(spark, yaml_folder + "/twice.yml").collect()
     with pytest.raises(ValueError):
         cd.scan_yaml(spark, yaml_folder, on_error="ignore")
@@ -61,7 +61,7 @@ def test_yaml_failure_names_the_file(spark, yaml_folder):
 def test_yaml_column(spark):
     df = spark.createDataFrame([("a: 1",), ("a: 1\na: 2",), (None,)], "t string")
     rows = [r.y for r in df.select(cd.parse_yaml(F.col("t"), on_error="row").alias("y")).collect()]
-    assert rows[0].doc == '{"a": 1}' and rows[1].doc is None and "Duplicate" in rows[1].error
+    assert rows[0].doc == '{"a": 1}' and rows[1].doc is None and "twice" in rows[1].error
     assert rows[2].doc is None and rows[2].error is None
 
 

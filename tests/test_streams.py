@@ -62,7 +62,8 @@ def test_throttle_equals_the_batch_form(spark, tmp_path, drops, rule):
     dict(seconds=100.0, iters=20, step_spec="3::50"),
     dict(seconds=40.0, iters=30, reset_index=False), dict(iters=300, step_spec="::90", reset_index=False),
 ], ids=str)
-def test_throttle_job_equals_the_batch_form(spark, tmp_path, drops, rule, limit):
+def test_throttle_job_equals_the_batch_form(spark, tmp_path, drops, rule, limit, monkeypatch):
+    monkeypatch.setattr("cadence.operators.throttling.BLOCK_ROWS", 16)
     rows, out, states = sample(), str(tmp_path / "out"), str(tmp_path / "states")
     for part in (rows[:150], rows[150:320], rows[320:]):
         cd.throttle_job(

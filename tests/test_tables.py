@@ -1,4 +1,6 @@
 import random
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,14 @@ def test_numbers_print_as_in_python(spark):
         assert r.two == f"{r.x:.2f}" or abs(r.x) >= 2.0**63
 
 
+def test_other_types_print_as_in_python(spark):
+    rows = [(datetime(2024, 1, 2, 3, 4, 5), date(2024, 1, 2), Decimal("1.50"), 7),
+            (datetime(2024, 1, 2, 3, 4, 5, 120000), None, None, None)]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b date, c decimal(5,2), d long")
+    got = df.select(*(cd.plain_text(f.name, f.dataType).alias(f.name) for f in df.schema)).collect()
+    assert [tuple(r) for r in got] == [tuple(str(v) for v in row) for row in rows]
+
+
 def test_sink(spark, rows, tmp_path):
     path = str(tmp_path / "table")
     cd.sink_text_table(rows, path, ["v"], header=["k", "v"], formats=["{}", "{:.2f}"])
