@@ -112,6 +112,29 @@ def incremental_job(spark, folder):
     return cd.read_batches(spark, out)
 
 
+@query("""
+WITH span AS (SELECT min(ts) AS lo, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events)
+SELECT event_id, user_id FROM events, span
+WHERE ts >= lo + to_seconds(us // 1000000 // 2)
+""")
+def batch_cadence(spark, folder):
+    """Only the second micro-batch is selected by the spec, and acted upon."""
+    out, checkpoint = staging_path(spark, "out"), staging_path(spark, "checkpoint")
+
+    def store(batch, number):
+        batch.select("event_id", "user_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def run(stream):
+        return (
+            stream.writeStream.foreachBatch(cd.on_batches("1::", store))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**cd.cadence()["trigger"]).start()
+        )
+
+    _drops(spark, folder, run)
+    return cd.read_batches(spark, out)
+
+
 @query("""
 SELECT user_id, avg(round(value * 100)) AS avg, arg_max(round(value * 100), event_id) AS last
 FROM events GROUP BY user_id

@@ -236,6 +236,18 @@ def canonical_json(spark, folder):
     return table(spark, folder, "events").select("event_id", cd.canonical_json(doc).alias("doc"))
 
 
+@query("""
+SELECT o_orderkey, '{' || chr(10) || '    "a": {' || chr(10) || '        "key": ' || o_orderkey || ',' ||
+       chr(10) || '        "status": "' || o_orderstatus || '"' || chr(10) || '    },' || chr(10) ||
+       '    "z": ' || o_custkey || chr(10) || '}' AS doc
+FROM orders
+""")
+def pretty_json(spark, folder):
+    inner = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("key"))
+    doc = F.to_json(F.struct(F.col("o_custkey").alias("z"), inner.alias("a")))
+    return table(spark, folder, "orders").select("o_orderkey", cd.pretty_json(doc).alias("doc"))
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
 def json_lines(spark, folder):
     orders = table(spark, folder, "orders").select(

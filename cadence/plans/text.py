@@ -55,6 +55,33 @@ def log_scan(spark, folder):
     return cd.scan_log_lines(spark, path, "extended").where(cd.level_filter("level_no", "INFO"))
 
 
+@query(f"""
+SELECT 'app.' || event_type AS logger, {LEVEL} AS level, count(*) AS n
+FROM events GROUP BY ALL
+""")
+def log_stream(spark, folder):
+    """The lines read as a stream of text files."""
+    path, out = staging_path(spark, "log"), staging_path(spark, "out")
+    cd.sink_log_lines(_records(spark, folder), path, "short")
+    lines = cd.stream_log_lines(spark, path, "short")
+    cd.incremental_job(lines, lambda b: b, staging_path(spark, "checkpoint"), out).awaitTermination()
+    return cd.read_batches(spark, out).groupBy("logger", "level").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT event_type AS a, event_type || '/' || user_id AS b,
+                  event_type || '/' || user_id || '/' || event_id AS c FROM events)
+SELECT prefix, count(*) AS n
+FROM (SELECT unnest([a, b, c]) AS prefix FROM p) GROUP BY prefix
+""")
+def path_prefixes(spark, folder):
+    path = F.concat_ws("/", "event_type", "user_id", "event_id")
+    prefixes = table(spark, folder, "events").select(
+        F.explode(cd.path_prefixes(path, "/")).alias("prefix")
+    )
+    return prefixes.groupBy("prefix").agg(F.count("*").alias("n"))
+
+
 @query(f"""
 WITH lines AS (
   SELECT {LEVEL} AS level FROM events

@@ -45,15 +45,15 @@ def cadence(seconds: float | None = None, files: int | None = None,
             rows: int | None = None) -> dict[str, dict]:
     """When to commit: ``trigger`` arguments, source ``options``, ``resume`` arguments.
 
-    Time sets the trigger of a stream, files limit its micro-batches, and rows set the
-    batches of ``resumable_map``.
+    Time sets the trigger of a stream and the pace of ``resumable_map``, files limit the
+    micro-batches of a stream, and rows the batches of ``resumable_map``.
     """
-    if seconds is None:
-        trigger: dict = {"availableNow": True}
-    else:
+    trigger: dict = {"availableNow": True}
+    resume: dict = {}
+    if seconds is not None:
         trigger = {"processingTime": f"{round(seconds * 1000)} milliseconds"}
-    return {
-        "trigger": trigger,
-        "options": {} if files is None else {"maxFilesPerTrigger": str(files)},
-        "resume": {} if rows is None else {"batch_rows": rows},
-    }
+        resume["commit_seconds"] = seconds
+    if rows is not None:
+        resume["batch_rows"] = rows
+    options = {} if files is None else {"maxFilesPerTrigger": str(files)}
+    return {"trigger": trigger, "options": options, "resume": resume}

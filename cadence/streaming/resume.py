@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
@@ -41,16 +42,31 @@ def read_batches(spark: SparkSession, root: str, schema: T.StructType | str | No
     return reader.parquet(*paths)
 
 
+def _timed_bounds(total: int, batch_rows: int | None,
+                  seconds: float) -> Iterator[tuple[int, int]]:
+    """Position ranges which, by the pace of the one before, take about ``seconds`` each."""
+    most = batch_rows or total
+    start, size = 0, min(most, max(1, total // 100))
+    while start < total:
+        end, began = min(start + size, total), time.monotonic()
+        yield start, end
+        pace = (end - start) / max(time.monotonic() - began, 1e-3)
+        start, size = end, max(1, min(most, int(pace * seconds)))
+
+
 def _slices(remaining: DataFrame, keys: list[str], batch_rows: int | None,
-            parallelism: int | None) -> Iterator[DataFrame]:
+            commit_seconds: float | None, parallelism: int | None) -> Iterator[DataFrame]:
     """Cut what is left into batches; one batch is used as it is, without staging."""
     names = remaining.columns
     total = remaining.count()
-    bounds = batch_bounds(total, batch_rows or max(total, 1))
-    if len(bounds) <= 1:
-        if parallelism:
-            remaining = remaining.repartition(parallelism, *columns(keys))
-        yield from [remaining] * len(bounds)
+    if total == 0:
+        return
+    if commit_seconds is not None:
+        bounds = _timed_bounds(total, batch_rows, commit_seconds)
+    elif total > (batch_rows or total):
+        bounds = batch_bounds(total, batch_rows)
+    else:
+        yield remaining.repartition(parallelism, *columns(keys)) if parallelism else remaining
         return
     laid_out = lay_out(remaining, keys, "items")
     # one row per partition
@@ -70,13 +86,14 @@ def _slices(remaining: DataFrame, keys: list[str], batch_rows: int | None,
 
 def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,
                   out_schema: T.StructType | str, root: str | None,
-                  batch_rows: int | None = None, strict: bool = False,
-                  parallelism: int | None = None) -> DataFrame:
+                  batch_rows: int | None = None, commit_seconds: float | None = None,
+                  strict: bool = False, parallelism: int | None = None) -> DataFrame:
     """Results of ``fn`` for all items, computing only those not stored under ``root``.
 
     ``fn`` maps Arrow batches of items to frames of ``out_schema``, which holds the key.
     Each batch of at most ``batch_rows`` items is one Parquet commit; a batch that fails
-    stores nothing and the earlier ones stay.  ``strict`` checks that item keys are
+    stores nothing and the earlier ones stay.  ``commit_seconds`` sizes the batches, by
+    the pace so far, to commit about that often.  ``strict`` checks that item keys are
     unique and that no stored key is unknown.  Without a root nothing is stored.
     """
     spark = items.sparkSession
@@ -99,7 +116,7 @@ def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,
             raise ValueError(f"stored results of unknown items, for example: {unknown}")
     remaining = remaining_items(items, done, keys) if stored else items
     number = max(stored, default=-1)
-    for batch in _slices(remaining, keys, batch_rows, parallelism):
+    for batch in _slices(remaining, keys, batch_rows, commit_seconds, parallelism):
         number += 1
         results = batch.mapInPandas(fn, out_schema)
         results.write.mode("overwrite").parquet(f"{root}/batch={number}")

@@ -73,6 +73,17 @@ def test_batches_are_balanced_and_in_key_order(spark, tmp_path, log):
     assert sizes == [250] * 4
 
 
+def test_commits_by_time(spark, tmp_path, log):
+    root = str(tmp_path / "out")
+    got = cd.resumable_map(
+        spark.range(400), "id", doubling(log), SCHEMA, root, batch_rows=150, commit_seconds=2.0
+    )
+    assert sorted(r.id for r in got.collect()) == list(range(400))
+    assert calls(log) == {i: 1 for i in range(400)}
+    sizes = [spark.read.parquet(str(p)).count() for p in (tmp_path / "out").iterdir()]
+    assert len(sizes) >= 4 and max(sizes) <= 150 and min(sizes) <= 4
+
+
 def test_no_root_is_a_plain_map(spark, log, tmp_path):
     got = cd.resumable_map(spark.range(5), "id", doubling(log), SCHEMA, None)
     assert sorted(r.twice for r in got.collect()) == [0, 2, 4, 6, 8]

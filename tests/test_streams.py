@@ -110,7 +110,7 @@ def test_when_to_commit():
     assert cd.cadence() == {"trigger": {"availableNow": True}, "options": {}, "resume": {}}
     assert cd.cadence(seconds=120, files=3, rows=9) == {
         "trigger": {"processingTime": "120000 milliseconds"},
-        "options": {"maxFilesPerTrigger": "3"}, "resume": {"batch_rows": 9},
+        "options": {"maxFilesPerTrigger": "3"}, "resume": {"commit_seconds": 120, "batch_rows": 9},
     }
     acted = []
     act = cd.on_batches("1::3", lambda batch, number: acted.append(number))
