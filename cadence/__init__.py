@@ -28,7 +28,7 @@ from cadence.sources.log_files import (
     parse_log_lines, scan_log_lines, sink_log_lines, stream_log_lines,
 )
 from cadence.sources.snapshots import (
-    compute_or_load, read_first_available, read_snapshot, stash, write_snapshot,
+    append_results, compute_or_load, read_first_available, read_snapshot, stash, write_snapshot,
 )
 from cadence.sources.states import (
     commit_state, latest_index, list_states, prune_states, read_latest_state,

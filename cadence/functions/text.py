@@ -95,7 +95,10 @@ def _float_text(value: Column) -> Column:
 
 
 def formatter(spec: str | Formatter) -> Formatter:
-    """``{}`` and ``{:.Nf}`` as in Python, or a function (column, type) -> column."""
+    """``{}`` and ``{:.Nf}`` as in Python, or a function (column, type) -> column.
+
+    A missing value prints as ``None``, in a column with decimals as ``nan``.
+    """
     if callable(spec):
         return spec
     if spec == "{}":
@@ -104,7 +107,7 @@ def formatter(spec: str | Formatter) -> Formatter:
     if fixed is None:
         raise ValueError(f"Unsupported cell format {spec!r}; pass a function instead")
     digits = int(fixed.group(1))
-    return lambda value, _dtype: fixed_text(value, digits)
+    return lambda value, _dtype: F.coalesce(fixed_text(value, digits), F.lit("nan"))
 
 
 def aligned(text: Column, width: Column, alignment: str = "<") -> Column:

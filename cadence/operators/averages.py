@@ -35,8 +35,8 @@ def last_value(value: Column | str, *order: Column | str) -> Column:
     return F.max_by(columns(value)[0], by[0] if len(by) == 1 else F.struct(*by))
 
 
-def weighted_summary(value: Column | str, weight: Column | str | float = 1,
-                     order: Sequence[Column | str] = ()) -> Column:
+def weighted_summary(value: Column | str, weight: Column | str | float,
+                     order: Sequence[Column | str]) -> Column:
     """Aggregate: struct of last, avg, sum and count (count is the total weight)."""
     product, weight_used = _pair(value, weight)
     return F.struct(

@@ -24,8 +24,10 @@ def _per_column(given: Sequence | None, default, names: Sequence[str], what: str
 
 
 def _cells(df: DataFrame, names: Sequence[str], formats: Sequence[str | Formatter]) -> list[Column]:
+    # a NULL cell would make the whole line NULL
     return [
-        formatter(f)(columns(n)[0], df.schema[n].dataType) for n, f in zip(names, formats)
+        F.coalesce(formatter(f)(columns(n)[0], df.schema[n].dataType), F.lit("None"))
+        for n, f in zip(names, formats)
     ]
 
 

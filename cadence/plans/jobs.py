@@ -100,7 +100,7 @@ def _drops(spark, folder, run):
     middle = events.agg(F.expr(half_span).cast("string")).first()[0]
     middle = F.lit(middle).cast("timestamp_ntz")
     for half in (F.col("ts") < middle, F.col("ts") >= middle):
-        events.where(half).write.mode("append").parquet(drop)
+        cd.append_results(events.where(half), drop)
         stream = spark.readStream.schema(events.schema).parquet(drop)
         run(stream).awaitTermination()
 
@@ -144,7 +144,7 @@ def stream_mean(spark, folder):
 
     def run(stream):
         cents = stream.withColumn("cents", F.round(F.col("value") * 100))
-        means = cd.stream_weighted_mean(cents, "user_id", "cents", order=["event_id"])
+        means = cd.stream_weighted_mean(cents, "user_id", "cents", 1, ["event_id"])
 
         def store(batch, number):
             batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(

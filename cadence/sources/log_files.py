@@ -67,13 +67,17 @@ def stream_log_lines(spark: SparkSession, path: str, layout: str, **options) ->
 
 
 def log_line(layout: str) -> Column:
-    """Text line of a record with columns ts, logger, func, level and message."""
-    # to the second; the text of a timestamp needs no time zone, unlike date_format
-    cells = [
-        F.substring(F.col(f).cast("string"), 1, 19) if f == "ts" else F.col(f)
-        for f in LAYOUTS[layout]
-    ]
-    return F.concat(F.concat_ws(" ", *cells), F.lit(": "), F.col("message")).alias("value")
+    """Text line of a record with columns ts, logger, func, level and message.
+
+    A record without a time continues the one before it, so its message is the line.
+    """
+    def shown(field: str) -> Column:
+        text = F.col(field).cast("string")
+        # to the second; the text of a timestamp needs no time zone, unlike date_format
+        return F.substring(text, 1, 19) if field == "ts" else F.coalesce(text, F.lit("None"))
+
+    line = F.concat(F.concat_ws(" ", *map(shown, LAYOUTS[layout])), F.lit(": "), shown("message"))
+    return F.when(F.col("ts").isNull(), F.col("message")).otherwise(line).alias("value")
 
 
 def sink_log_lines(records: DataFrame, path: str, layout: str = "extended",

@@ -21,6 +21,11 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def append_results(df: DataFrame, path: str) -> None:
+    """Add a chunk of results to those at ``path``."""
+    df.write.mode("append").parquet(path)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

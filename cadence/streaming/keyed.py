@@ -89,8 +89,7 @@ def throttle_job(stream: DataFrame, keys: str | Sequence[str], time: str, checkp
 
 
 def stream_weighted_mean(stream: DataFrame, keys: str | Sequence[str], value: str,
-                         weight: Column | str | float = 1,
-                         order: Sequence[str] = ()) -> DataFrame:
+                         weight: Column | str | float, order: Sequence[str]) -> DataFrame:
     """Running mean and last value per key over all input so far; update mode."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     return stream.groupBy(*columns(keys)).agg(

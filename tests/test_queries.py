@@ -33,3 +33,14 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "step_filter", "weighted_mean", "running_mean", "dense_index", "keep_latest", "json_get",
+    "json_set", "json_flatten_nested", "json_defaults", "json_merge", "struct_flatten",
+    "set_path", "canonical_json", "level_map", "log_scan", "log_thresholds", "text_table",
+])
+def test_no_python_on_the_way(spark, name):
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        contract.queries()[name](spark, FOLDER).explain()
+    assert not any(word in plan.getvalue() for word in ("Python", "Arrow", "Pandas"))

@@ -114,6 +114,13 @@ def test_snapshots(spark, tmp_path):
     assert not (tmp_path / "new").exists()
 
 
+def test_append(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    for n in (3, 4):
+        cd.append_results(spark.range(n), path)
+    assert cd.read_snapshot(spark, path).count() == 7
+
+
 def test_first_available(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     (tmp_path / "bad").mkdir()

@@ -29,6 +29,12 @@ def test_golden(rows):
     assert lines(odd, "o") == ["| k  |    v |", "| a  | 1.50 |", "|bbb |22.25 |"]
 
 
+def test_missing_values(spark):
+    df = spark.createDataFrame([(None, None), ("b", 1.0)], "k string, v double")
+    table = cd.format_table(df, formats=["{}", "{:.1f}"], header=["k", "v"])
+    assert lines(table, "line") == ["|k   |v  |", "|None|nan|", "|b   |1.0|"]
+
+
 def test_no_header_and_no_rows(rows):
     assert lines(cd.format_table(rows), "line") == ["|a  |1.5  |", "|bbb|22.25|"]
     assert lines(cd.format_table(rows.where("false"))) == []
