@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()  # a streaming job stores its batches on a thread of its own
+
 
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
@@ -38,10 +43,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the staging folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = staging_path(spark, label)
+    open_scopes = getattr(_scopes, "paths", None)
+    if open_scopes:
+        open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Drop what is staged inside the block at its end, for jobs that store their result."""
+    if not hasattr(_scopes, "paths"):
+        _scopes.paths = []
+    _scopes.paths.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.paths.pop():
+            remove(spark, path)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Drop what this application staged; call it once its results are stored."""
     app = spark.sparkContext.applicationId

@@ -15,7 +15,7 @@ from cadence.operators.ordering import MAX_KEY_ROWS, columns
 from cadence.operators.throttling import (
     POSITION, TIME, Clock, advanced_clocks, fire, fired_rows, make_rule, micros_of,
 )
-from cadence.runtime import stage
+from cadence.runtime import stage, temporary_stages
 from cadence.sources.states import commit_state, committed_numbers, prune_states, version_path
 
 _CLOCK = "position bigint, last_index bigint, last_micros bigint"
@@ -75,9 +75,10 @@ def throttle_job(stream: DataFrame, keys: str | Sequence[str], time: str, checkp
         spark = batch.sparkSession
         before = [n for n in committed_numbers(spark, states, "version") if n < number]
         clocks = spark.read.parquet(version_path(states, before[-1])) if before else None
-        fired = stage(fired_rows(batch, keys, time, ties, rule, max_key_rows, clocks), "fired")
-        fired.drop(TIME, POSITION).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        commit_state(advanced_clocks(batch, fired, keys, time, rule, clocks), states, number)
+        with temporary_stages(spark):
+            fired = stage(fired_rows(batch, keys, time, ties, rule, max_key_rows, clocks), "fired")
+            fired.drop(TIME, POSITION).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            commit_state(advanced_clocks(batch, fired, keys, time, rule, clocks), states, number)
         prune_states(spark, states)
 
     return (

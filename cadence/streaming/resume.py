@@ -15,6 +15,7 @@ from cadence.operators.keysets import assert_complete, assert_unique, remaining_
 from cadence.operators.ordering import (
     PART, SLOT, batch_bounds, columns, lay_out, part_offsets,
 )
+from cadence.runtime import temporary_stages
 from cadence.sources.states import committed_numbers
 
 BatchFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -95,6 +96,8 @@ def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,
     stores nothing and the earlier ones stay.  ``commit_seconds`` sizes the batches, by
     the pace so far, to commit about that often.  ``strict`` checks that item keys are
     unique and that no stored key is unknown.  Without a root nothing is stored.
+    ``items`` is read for counting, for the work and for the final check, so it should be
+    a stored table.
     """
     spark = items.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
@@ -116,10 +119,11 @@ def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,
             raise ValueError(f"stored results of unknown items, for example: {unknown}")
     remaining = remaining_items(items, done, keys) if stored else items
     number = max(stored, default=-1)
-    for batch in _slices(remaining, keys, batch_rows, commit_seconds, parallelism):
-        number += 1
-        results = batch.mapInPandas(fn, out_schema)
-        results.write.mode("overwrite").parquet(f"{root}/batch={number}")
+    with temporary_stages(spark):
+        for batch in _slices(remaining, keys, batch_rows, commit_seconds, parallelism):
+            number += 1
+            results = batch.mapInPandas(fn, out_schema)
+            results.write.mode("overwrite").parquet(f"{root}/batch={number}")
     finished = read_batches(spark, root, out_schema)
     assert_complete(items, finished, keys)
     return finished

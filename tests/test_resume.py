@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cadence as cd
+from cadence.runtime import staging_root, subfolders
 
 SCHEMA = "id long, twice long"
 
@@ -61,9 +62,15 @@ def test_unfinished_batches_do_not_count(spark, tmp_path, log):
     assert calls(again) == {i: 1 for i in range(15, 20)}
 
 
+def staged(spark):
+    app = f"{staging_root(spark)}/cadence-{spark.sparkContext.applicationId}"
+    return set(subfolders(spark, app))
+
+
 def test_batches_are_balanced_and_in_key_order(spark, tmp_path, log):
     root = str(tmp_path / "out")
     items = spark.range(1000).repartition(7)
+    before = staged(spark)
     cd.resumable_map(items, "id", doubling(log), SCHEMA, root, batch_rows=333)
     sizes = []
     for n in range(4):
@@ -71,6 +78,7 @@ def test_batches_are_balanced_and_in_key_order(spark, tmp_path, log):
         assert ids == list(range(250 * n, 250 * n + 250))
         sizes.append(len(ids))
     assert sizes == [250] * 4
+    assert staged(spark) == before
 
 
 def test_commits_by_time(spark, tmp_path, log):

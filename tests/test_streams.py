@@ -3,6 +3,7 @@ import random
 import pytest
 
 import cadence as cd
+from tests.test_resume import staged
 
 
 def sample(seed=4, size=600):
@@ -65,11 +66,13 @@ def test_throttle_equals_the_batch_form(spark, tmp_path, drops, rule):
 def test_throttle_job_equals_the_batch_form(spark, tmp_path, drops, rule, limit, monkeypatch):
     monkeypatch.setattr("cadence.operators.throttling.BLOCK_ROWS", 16)
     rows, out, states = sample(), str(tmp_path / "out"), str(tmp_path / "states")
+    before = staged(spark)
     for part in (rows[:150], rows[150:320], rows[320:]):
         cd.throttle_job(
             drops(part), "k", "t", str(tmp_path / "ck"), out, states, ["id"],
             max_key_rows=limit, **rule,
         ).awaitTermination()
+    assert staged(spark) == before
     want = cd.throttle(spark.createDataFrame(rows, SCHEMA), "k", "t", ["id"], **rule)
     assert sorted(cd.read_batches(spark, out).collect()) == sorted(want.collect())
     version, clocks = cd.read_latest_state(spark, states)
