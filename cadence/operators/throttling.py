@@ -351,9 +351,8 @@ def _with_clocks(df: DataFrame, keys: Sequence[str], clocks: DataFrame | None) -
         return df.withColumns({c: v.cast("bigint") for c, v in fresh.items()})
     known = clocks.select(key_struct(keys).alias(KEY), *(F.col(c).alias(f"k{c}") for c in CLOCK))
     joined = df.join(known, key_struct(keys) == F.col(KEY), "left")
-    return joined.select(
-        *columns(df.columns), *(F.coalesce(F.col(f"k{c}"), v).cast("bigint").alias(c) for c, v in fresh.items())
-    )
+    found = (F.coalesce(F.col(f"k{c}"), v).cast("bigint").alias(c) for c, v in fresh.items())
+    return joined.select(*columns(df.columns), *found)
 
 
 def fired_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str | Column],

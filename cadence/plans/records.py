@@ -259,7 +259,7 @@ def json_lines(spark, folder):
 
 
 CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal FROM customer"
-FILE_ROWS = 100  # customers per document file
+FILE_ROWS = 5_000  # customers per document file
 
 
 def _customer_files(spark, folder, options=None):

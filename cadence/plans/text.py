@@ -39,7 +39,9 @@ def _records(spark, folder):
         F.concat(F.lit("app."), "event_type").alias("logger"),
         F.lit("<module>").alias("func"),
         F.get(names, (F.col("event_id") % 5).cast("int")).alias("level"),
-        F.concat(F.lit("event: "), F.col("event_id").cast("string"), F.lit(" "), "props").alias("message"),
+        F.concat(
+            F.lit("event: "), F.col("event_id").cast("string"), F.lit(" "), "props"
+        ).alias("message"),
     )
 
 
