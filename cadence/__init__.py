@@ -1,6 +1,10 @@
 """Restartable data jobs on Spark: step specs, resumable maps, throttles, snapshots,
 nested records, log and YAML scans, and text tables."""
 
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
 from cadence.functions.json_text import (
     canonical_json, json_get, json_set, merge_json_defaults, pretty_json,
 )
@@ -39,4 +43,7 @@ from cadence.streaming.incremental import cadence, incremental_job, on_batches
 from cadence.streaming.keyed import stream_throttle, stream_weighted_mean, throttle_job
 from cadence.streaming.resume import per_item, read_batches, resumable_map
 
+# Functions sent to executors carry their code along, so those need no copy of this package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 __all__ = [name for name in dir() if not name.startswith("_")]
