@@ -20,10 +20,13 @@ def _col(c: Column | str) -> Column:
 
 def variant_path(path: str, sep: str = ".") -> str:
     """Dotted path to the bracket form variant functions take."""
-    parts = path.split(sep)
-    if any("'" in p for p in parts):
-        raise ValueError(f"quotes are not supported in a path: {path!r}")
-    return "$" + "".join(f"['{p}']" for p in parts)
+    def step(name: str) -> str:
+        quote = '"' if "'" in name else "'"
+        if quote in name:
+            raise ValueError(f"both kinds of quotes in {name!r}")
+        return f"[{quote}{name}{quote}]"
+
+    return "$" + "".join(map(step, path.split(sep)))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

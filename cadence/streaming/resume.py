@@ -67,7 +67,7 @@ def _slices(remaining: DataFrame, keys: list[str], batch_rows: int | None,
     elif total > (batch_rows or total):
         bounds = batch_bounds(total, batch_rows)
     else:
-        yield remaining.repartition(parallelism, *columns(keys)) if parallelism else remaining
+        yield remaining.repartition(parallelism) if parallelism else remaining
         return
     laid_out = lay_out(remaining, keys, "items")
     # one row per partition
@@ -82,7 +82,7 @@ def _slices(remaining: DataFrame, keys: list[str], batch_rows: int | None,
         inside &= (F.col(PART) < last) | (F.col(SLOT) < end - before[highest])
         cores = laid_out.sparkSession.sparkContext.defaultParallelism
         tasks = parallelism or max(highest - lowest + 1, cores)
-        yield laid_out.where(inside).select(*columns(names)).repartition(tasks, *columns(keys))
+        yield laid_out.where(inside).select(*columns(names)).repartition(tasks)
 
 
 def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,

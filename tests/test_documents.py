@@ -134,6 +134,7 @@ def test_json_get_and_set(spark):
     doc = F.lit('{"a":{"b":1}}')
     assert text(spark, cd.json_get(doc, "a.b", "int")) == 1
     assert text(spark, cd.json_get(doc, "a.z", "int")) is None
+    assert text(spark, cd.json_get(F.lit('{"it\'s":{"a.b":2}}'), "it's/a.b", "int", sep="/")) == 2
     with pytest.raises(PySparkException, match="no value at a.z"):
         text(spark, cd.json_get(doc, "a.z", "int", strict=True))
     assert json.loads(text(spark, cd.json_set(doc, "a.b", 9))) == {"a": {"b": 9}}

@@ -81,6 +81,23 @@ def test_throttle_job_equals_the_batch_form(spark, tmp_path, drops, rule, limit,
     assert counted == {k: sum(r[0] == k for r in rows) for k in (1, 2, 3)}
 
 
+def test_a_batch_delivered_again_changes_nothing(spark, tmp_path, drops):
+    rows, out, states = sample(), str(tmp_path / "out"), str(tmp_path / "states")
+
+    def run(part):
+        cd.throttle_job(
+            drops(part), "k", "t", str(tmp_path / "ck"), out, states, ["id"], seconds=60.0, iters=9
+        ).awaitTermination()
+        clocks = cd.read_latest_state(spark, states)[1]
+        return sorted(cd.read_batches(spark, out).collect()), sorted(clocks.collect())
+
+    run(rows[:300])
+    once = run(rows[300:])
+    for name in ("1", ".1.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink()  # as if the driver died before this
+    assert run(rows[:0]) == once
+
+
 def test_mean_equals_the_batch_form(spark, tmp_path, drops):
     rows, latest = sample(), {}
 
