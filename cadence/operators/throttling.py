@@ -71,6 +71,8 @@ def micros_of(df: DataFrame, time: str) -> Column:
     """
     dtype = df.schema[time].dataType
     column = columns(time)[0]
+    if isinstance(dtype, T.DateType):
+        dtype, column = T.TimestampNTZType(), column.cast("timestamp_ntz")
     if isinstance(dtype, T.TimestampNTZType):
         since = column - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
         seconds = since.cast("interval second").cast("decimal(20,6)")

@@ -82,6 +82,16 @@ def test_rows_without_a_time_never_fire(spark):
     assert [r.id for r in cd.throttle(df, "k", "t", seconds=1).collect()] == [2]
 
 
+def test_other_kinds_of_time(spark):
+    days = spark.range(9).selectExpr(
+        "1 AS k", "date_add(DATE'2024-01-01', cast(id AS int)) AS d",
+        "timestamp_seconds(id * 86400) AS z", "id * 86400 AS n", "id"
+    )
+    for time in ("d", "z", "n"):
+        got = cd.throttle(days, "k", time, seconds=3 * 86400).collect()
+        assert sorted(r.id for r in got) == [0, 3, 6], time
+
+
 def test_wall_clock_times_ignore_the_session_zone(spark):
     hours = [datetime(2024, 3, 10, h, 30) for h in (1, 2, 3, 4)]
     df = spark.createDataFrame([(1, h) for h in hours], "k int, t timestamp_ntz")
