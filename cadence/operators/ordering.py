@@ -127,14 +127,15 @@ def split_hot(df: DataFrame, keys: Sequence[str],
     """
     if max_key_rows is None:
         return df, None
-    counted = (
-        df.groupBy(*columns(keys))
-        .agg(F.count("*").alias("__rows"))
+    hot_keys = stage(
+        df.groupBy(*columns(keys)).agg(F.count("*").alias("__rows"))
         .where(F.col("__rows") > max_key_rows)
+        .select(key_struct(keys).alias(KEY)),
+        "hot-keys",
     )
-    if counted.isEmpty():
+    if hot_keys.isEmpty():
         return df, None
-    hot_keys = F.broadcast(stage(counted.select(key_struct(keys).alias(KEY)), "hot-keys"))
+    hot_keys = F.broadcast(hot_keys)
     match = key_struct(keys) == F.col(KEY)
     return df.join(hot_keys, match, "left_anti"), df.join(hot_keys, match, "left_semi")
 
