@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadence.llm.decontamination import contamination
+from cadence.llm.fingerprints import fingerprint, likeness
+from cadence.llm.neighbours import map_with_next
 from cadence.llm.packing import pack
+from cadence.llm.simhash import hex_digits, near_duplicate_groups
 from cadence.llm.storage import shared_folder
 from cadence.llm.token_counts import context_totals, length_histogram
 from cadence.llm.token_files import read_token_files, write_token_files
@@ -34,11 +39,92 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _edited_half(pairs: Iterator[tuple[tuple, tuple]]) -> Iterator[tuple]:
+    """Fingerprint each text, its text with a half from the next document, and compare."""
+    known: tuple[str, str] | None = None  # the next text was fingerprinted a step before
+    for (doc_id, text), (_, following) in pairs:
+        text, following = text or "", following or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        own = known[1] if known and known[0] == text else fingerprint(text)
+        known = (following, fingerprint(following))
+        changed = own if edited == text else fingerprint(edited)
+        yield (
+            doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed,
+            likeness(own, changed), likeness(own, known[1]),
+        )
+
+
+@query()
+def op1_phrase_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return map_with_next(
+        docs, "doc_id", _edited_half,
+        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
+        "edited_fingerprint string, near_edited double, near_next double",
+    )
+
+
+@query(r"""
+    WITH doc_words AS (
+      SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    item_words AS (
+      SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+    item_windows AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS n,
+        array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win
+      FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k
+            FROM item_words WHERE len(w) > 0)),
+    doc_windows AS (
+      SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k
+            FROM doc_words, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+    hits AS (SELECT r, k, d.n, item_id FROM doc_windows d JOIN item_windows i USING (win)),
+    words_hit AS (
+      SELECT r, count(DISTINCT p) AS n_hit
+      FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+    items_hit AS (
+      SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ','
+        ORDER BY item_id::VARCHAR) AS ids
+      FROM hits GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+      coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc_words LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
+""")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        table(spark, folder, "benchmark"),
+    )
+    ids = F.array_sort(F.transform("found.items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, folder, "documents"), TOKENIZER))
 
 
+@query()
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicate_groups(table(spark, folder, "documents"))
+    return groups.select(
+        F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), TOKENIZER, capacity=2048, end_id=0)
