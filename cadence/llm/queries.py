@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from cadence.llm.decontamination import contamination
 from cadence.llm.fingerprints import fingerprint, likeness
+from cadence.llm.language_id import held_out, identify
 from cadence.llm.neighbours import map_with_next
 from cadence.llm.packing import pack
 from cadence.llm.simhash import hex_digits, near_duplicate_groups
 from cadence.llm.storage import shared_folder
 from cadence.llm.token_counts import context_totals, length_histogram
 from cadence.llm.token_files import read_token_files, write_token_files
+from cadence.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +118,15 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, folder, "documents"), TOKENIZER))
 
 
+@query()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out("doc_id", 4, 2)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return identify(docs, ~out).select(
+        "doc_id", out.alias("held_out"), "language.lang_pred", "language.score"
+    )
+
+
 @query()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, folder, "documents"))
@@ -125,6 +136,17 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out("doc_id", 3, 1)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, folder, "labels"), ~out, "score")
+    return scored.select(
+        "doc_id", out.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), TOKENIZER, capacity=2048, end_id=0)
