@@ -19,6 +19,7 @@ from cadence.llm.storage import shared_folder
 from cadence.llm.token_counts import context_totals, length_histogram
 from cadence.llm.token_files import read_token_files, write_token_files
 from cadence.llm.toxicity import score_toxicity
+from cadence.llm.warc import mark_revisits, page_number, page_urn, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,6 +137,50 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(r"""
+    WITH p AS (
+      SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload),
+    b AS (
+      SELECT page_id, payload, first_id,
+        sha1(payload) AS hex
+      FROM p JOIN f USING (payload)),
+    bits AS (
+      SELECT page_id, payload, first_id, array_to_string([
+        lpad(bin(instr('0123456789abcdef', substr(hex, k + 1, 1)) - 1), 4, '0')
+        for k in range(0, 40)], '') AS bit
+      FROM b)
+    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+        + 16 * substr(bit, 5 * k + 1, 1)::INT + 8 * substr(bit, 5 * k + 2, 1)::INT
+        + 4 * substr(bit, 5 * k + 3, 1)::INT + 2 * substr(bit, 5 * k + 4, 1)::INT
+        + substr(bit, 5 * k + 5, 1)::INT, 1) for k in range(0, 32)], '') AS payload_digest,
+      CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM bits
+""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    pages = mark_revisits(table(spark, folder, "pages"), "page_id", "html", least_bytes=0)
+    write_warc(
+        pages.select(
+            page_urn(F.col("page_id")).alias("record_id"), "record_type",
+            F.col("url").alias("target_uri"),
+            F.when(F.col("record_type") == "revisit", page_urn(F.col("refers_to")))
+            .alias("refers_to"),
+            F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
+        ), path,
+    )
+    responses = read_warc(spark, path).where("record_type = 'response'")
+    revisits = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return responses.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).drop(
+        "payload"
+    ).unionByName(revisits.drop("payload")).select(
+        page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 @query()
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     out = held_out("doc_id", 3, 1)

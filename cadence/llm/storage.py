@@ -40,7 +40,7 @@ class Folder:
 
     def create(self, name: str):
         self.fs.create_dir(self.path, recursive=True)
-        return self.fs.open_output_stream(f"{self.path}/{name}")
+        return self.fs.open_output_stream(f"{self.path}/{name}", compression=None)
 
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.path}/{name}")
