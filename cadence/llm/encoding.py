@@ -42,6 +42,8 @@ class _Words(dict):
         if self.letters and word.isalpha() and max(word) <= "ÿ":
             # only letters of Latin-1: normal form, one piece; the model alone is enough
             piece = word.lower()
+            if piece != word:
+                return self[piece]
             if not piece.isascii():
                 piece = "".join(map(self.byte_letters.__getitem__, piece.encode()))
             return _bytes([t.id for t in self.model.tokenize(piece)])

@@ -18,6 +18,7 @@ from cadence.llm.simhash import hex_digits, near_duplicate_groups
 from cadence.llm.storage import shared_folder
 from cadence.llm.token_counts import context_totals, length_histogram
 from cadence.llm.token_files import read_token_files, write_token_files
+from cadence.llm.tool_calls import link_tool_calls
 from cadence.llm.toxicity import score_toxicity
 from cadence.llm.warc import mark_revisits, page_number, page_urn, read_warc, write_warc
 
@@ -119,6 +120,101 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, folder, "documents"), TOKENIZER))
 
 
+TOOLS = {
+    "search": {"query": "string", "limit": "integer"},
+    "summarize": {"text": "string", "words": "integer"},
+    "translate": {"text": "string", "target": "string"},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read off a conversation: an assistant's turn is a call, the user's
+    turn after it the result.  The text's length decides the tool and what is wrong with it."""
+    length, text = F.length("text"), F.col("text")
+
+    def call_id(turn):
+        return F.concat_ws("-", F.lit("call"), "conv_id", turn)
+
+    search = F.to_json(F.struct(
+        F.when(length % 7 == 0, F.to_json(F.array(text))).otherwise(text).alias("query"),
+        F.when(length % 7 != 0, length % 50).alias("limit"),
+    ))
+    translate = F.to_json(F.struct(
+        text.alias("text"), F.when(length % 5 != 0, F.lit("de")).alias("target"),
+    ))
+    summarize = F.to_json(F.struct(
+        (length % 100).alias("words"), text.alias("text"),
+        F.when(length % 11 == 0, F.lit("short")).alias("style"),
+    ))
+    kind = length % 3
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", call_id(F.col("turn")).alias("call_id"), "turn",
+        F.when(kind == 0, "search").when(kind == 1, "translate").otherwise("summarize")
+        .alias("tool"),
+        F.when(kind == 0, search).when(kind == 1, translate).otherwise(summarize)
+        .alias("arguments"),
+        F.when(F.col("turn") > 1, F.array(call_id(F.floor(F.col("turn") / 2))))
+        .alias("after"),
+    )
+    results = turns.where("role = 'user' AND turn > 0").select(
+        "conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", text.alias("content")
+    )
+    return calls, results
+
+
+@query(r"""
+    WITH RECURSIVE first_calls AS (
+      SELECT conv_id, turn, min(text) AS text FROM conversations
+      WHERE role = 'assistant' GROUP BY conv_id, turn),
+    calls AS (
+      SELECT conv_id, turn, text, length(text) AS n, length(text) % 3 AS kind,
+        'call-' || conv_id || '-' || turn AS call_id,
+        CASE WHEN turn > 1 THEN turn // 2 END AS parent
+      FROM first_calls),
+    levels AS (
+      SELECT conv_id, turn, 0 AS level FROM calls c
+      WHERE parent IS NULL OR NOT EXISTS (
+        SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.parent)
+      UNION ALL
+      SELECT c.conv_id, c.turn, level + 1 FROM levels l
+      JOIN calls c ON c.conv_id = l.conv_id AND c.parent = l.turn),
+    answers AS (
+      SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min(text) AS content,
+        count(*) AS n_results
+      FROM conversations WHERE role = 'user' AND turn > 0 GROUP BY conv_id, turn),
+    checked AS (
+      SELECT c.*, level, CASE kind WHEN 0 THEN 'search' WHEN 1 THEN 'translate'
+          ELSE 'summarize' END AS tool,
+        CASE WHEN kind = 0 AND n % 7 = 0 THEN ['missing limit']
+          WHEN kind = 1 AND n % 5 = 0 THEN ['missing target']
+          WHEN kind = 2 AND n % 11 = 0 THEN ['unexpected style'] ELSE [] END
+        || CASE WHEN parent IS NOT NULL AND level = 0
+          THEN ['unknown call call-' || conv_id || '-' || parent] ELSE [] END AS errors,
+        CASE WHEN kind = 0 AND n % 7 = 0
+            THEN '{"query":' || to_json(to_json([text])::VARCHAR) || '}'
+          WHEN kind = 0 THEN '{"limit":' || (n % 50) || ',"query":' || to_json(text) || '}'
+          WHEN kind = 1 THEN '{' || CASE WHEN n % 5 <> 0 THEN '"target":"de",' ELSE '' END
+            || '"text":' || to_json(text) || '}'
+          ELSE '{' || CASE WHEN n % 11 = 0 THEN '"style":"short",' ELSE '' END
+            || '"text":' || to_json(text) || ',"words":' || (n % 100) || '}' END AS arguments
+      FROM calls c JOIN levels USING (conv_id, turn))
+    SELECT conv_id, call_id,
+      CASE WHEN tool IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered'
+        ELSE 'linked' END AS status,
+      level, tool,
+      CASE WHEN tool IS NULL THEN 'no call' ELSE array_to_string(errors, '; ') END AS errors,
+      tool IS NOT NULL AND len(errors) = 0 AS valid, coalesce(n_results, 0) AS n_results,
+      '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)
+        || ',"name":' || coalesce(to_json(tool)::VARCHAR, 'null')
+        || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
+    FROM checked FULL JOIN answers USING (conv_id, call_id)
+""")
+def op4_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = conversation_calls(table(spark, folder, "conversations"))
+    linked = link_tool_calls(calls, results, TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
 @query()
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     out = held_out("doc_id", 4, 2)

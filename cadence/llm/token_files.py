@@ -43,6 +43,8 @@ BLOCK_IDS = 1 << 20
 """A block is closed at so many ids; one longer document makes a block of its own."""
 FILE_BLOCKS = 64
 ROUNDS = 5
+SLOTS = 1 << 18
+"""Pairs are first counted by a hash, so that only those that may be frequent are sorted."""
 LEAST_COUNT = 8
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
@@ -60,7 +62,7 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) ->
     """Replace frequent pairs by rules, most frequent first.
 
     Each round counts all neighbouring pairs and replaces, from left to right, those that
-    occur at least a quarter as often as the most frequent one (and ``LEAST_COUNT`` times).
+    occur at least a quarter as often as the fullest slot of pairs (and ``LEAST_COUNT`` times).
     """
     symbols, first_rule = ids.astype(np.int64), int(ids.max(initial=0)) + 1
     opens = np.zeros(len(ids) + 1, dtype=bool)
@@ -69,21 +71,25 @@ def build_grammar(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) ->
     rules, lengths = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
     for _ in range(rounds):
         pairs = (symbols[:-1] << 32) | symbols[1:]
-        inside = ~opens[1:]
-        found, counts = np.unique(pairs[inside], return_counts=True)
-        if not len(found) or counts.max() < LEAST_COUNT:
+        slot = (symbols[:-1] * 0x9E3779B1 + symbols[1:]) & (SLOTS - 1)
+        slot[opens[1:]] = SLOTS  # not a pair: the second symbol opens a document
+        slots = np.bincount(slot, minlength=SLOTS + 1)
+        slots[SLOTS] = 0
+        least = max(LEAST_COUNT, int(slots.max()) // 4)
+        at = np.flatnonzero(slots[slot] >= least)  # no pair occurs more often than its slot
+        found, which, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
+        frequent = counts >= least
+        if not frequent.any():
             break
-        chosen = found[counts >= max(LEAST_COUNT, counts.max() // 4)]
-        place = np.searchsorted(chosen, pairs)
-        place[place == len(chosen)] = 0
-        hit = (chosen[place] == pairs) & inside
+        chosen, number = found[frequent], np.cumsum(frequent) - 1
+        hit = frequent[which]
+        at, place = at[hit], number[which[hit]]
         # of hits that overlap, every other one from the left
-        at = np.flatnonzero(hit)
         new_run = np.diff(at, prepend=-2) != 1
         run_start = at[new_run][np.cumsum(new_run) - 1]
-        at = at[(at - run_start) % 2 == 0]
-        base = first_rule + len(lengths)
-        symbols[at] = base + place[at]
+        even = (at - run_start) % 2 == 0
+        at, place = at[even], place[even]
+        symbols[at] = first_rule + len(lengths) + place
         kept = np.ones(len(symbols), dtype=bool)
         kept[at + 1] = False
         symbols, opens = symbols[kept], opens[kept]
