@@ -1,7 +1,13 @@
-"""Near-duplicates by 64-bit SimHash and multi-index hashing."""
+"""Near-duplicates by SimHash and multi-index hashing.
+
+:func:`near_duplicate_groups` links 64-bit fingerprints at up to 4 differing bits, exactly.
+:func:`similar_groups` links longer fingerprints at a similarity of shingle sets, which takes
+more differing bits than any guarantee could enumerate; its balls flip the least certain bits.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +25,15 @@ SEGMENT_BITS = 32
 CROWD = 1024
 """Buckets with more fingerprints are linked by whole-fingerprint balls, not pair by pair."""
 
+WIDE_WORDS = 3
+"""64-bit words of the longer fingerprint."""
+WIDE_SEGMENT_BITS = 24
+"""Bits of its segments: about the logarithm of the number of texts keeps buckets small."""
+UNCERTAIN_BITS = 4
+"""Bits of a segment that are flipped in all combinations, those set nearest to half the time."""
+# additive constants that give one hash several independent words (fixed values)
+_WORD_SALTS = (0x0, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -202,7 +217,12 @@ def near_duplicate_groups(
         "fingerprints",
     )
     prints = stage(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    found = stage(connected_components(similar_links(prints)), "components")
+    return _grouped(marked, prints, similar_links(prints))
+
+
+def _grouped(marked: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the smallest id of their fingerprint's component."""
+    found = stage(connected_components(links), "components")
     nodes = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )
@@ -210,3 +230,121 @@ def near_duplicate_groups(
     return marked.join(nodes.join(roots, "root").select("fp", "component"), "fp").select(
         "id", "fp", "component"
     )
+
+
+def wide_fingerprint(text: bytes | None, words_per_shingle: int) -> tuple[bytes, list[int]]:
+    """The longer fingerprint and the keys it is entered under in the segments' tables."""
+    hashes = shingle_hashes(text or b"", words_per_shingle)
+    ones = np.zeros(BITS * WIDE_WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at:at + (1 << 12)]
+        words = np.empty((len(part), WIDE_WORDS), "<u8")
+        for k, salt in enumerate(_WORD_SALTS):
+            mixed = (part + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+            words[:, k] = part if not k else mixed ^ (mixed >> np.uint64(29))
+        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    margin = 2 * ones - len(hashes)
+    bits = margin > 0
+    segments = bits.reshape(-1, WIDE_SEGMENT_BITS)
+    values = segments @ (1 << np.arange(WIDE_SEGMENT_BITS))
+    order = np.argsort(np.abs(margin).reshape(segments.shape), axis=1, kind="stable")
+    flips = (1 << order[:, :UNCERTAIN_BITS]) @ (
+        (np.arange(1 << UNCERTAIN_BITS)[None, :] >> np.arange(UNCERTAIN_BITS)[:, None]) & 1
+    )
+    tables = np.arange(len(segments))[:, None] << WIDE_SEGMENT_BITS
+    keys = (values[:, None] ^ flips) | tables
+    return np.packbits(bits, bitorder="little").tobytes(), keys.ravel().tolist()
+
+
+def wide_distance(similarity: float) -> int:
+    """Differing bits expected of two shingle sets with this Jaccard similarity, and one
+    standard deviation more."""
+    bits, share = BITS * WIDE_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _wide_forest(prints: np.ndarray, distance: int) -> tuple[list, list]:
+    """Like :func:`_forest`, for rows of several words; returns row numbers."""
+    left, a, b = np.arange(len(prints)), [], []
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            node = reached.pop()
+            near = np.bitwise_count(prints[left] ^ prints[node]).sum(axis=1) <= distance
+            found = left[near].tolist()
+            a += [node] * len(found)
+            b += found
+            reached += found
+            left = left[~near]
+    return a, b
+
+
+def _wide_verified(distance: int):
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(keys))
+            two = starts[ends - starts == 2]
+            near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= distance
+            a, b = two[near].tolist(), (two[near] + 1).tolist()
+            more = ends - starts > 2
+            for start, end in zip(starts[more].tolist(), ends[more].tolist()):
+                one, other = _wide_forest(prints[start:end], distance)
+                a += [start + k for k in one]
+                b += [start + k for k in other]
+            pairs = {(prints[x].tobytes(), prints[y].tobytes()) for x, y in zip(a, b)}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"]
+            )
+
+        kept_keys, kept = np.empty(0, np.int64), np.empty((0, WIDE_WORDS), "<u8")
+        for batch in batches:
+            data = b"".join(batch.column(1).to_pylist())
+            keys = np.concatenate([kept_keys, batch.column(0).to_numpy()])
+            prints = np.concatenate([kept, np.frombuffer(data, "<u8").reshape(-1, WIDE_WORDS)])
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if last:
+                yield links(keys[:last], prints[:last])
+            kept_keys, kept = keys[last:], prints[last:]
+        if len(kept):
+            yield links(kept_keys, kept)
+
+    return verified
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """``id, fp, component`` as :func:`near_duplicate_groups`, for a similarity of shingle sets.
+
+    Fingerprints of 192 bits are linked at the distance expected of that Jaccard similarity.
+    Each of eight segments is entered under the 16 values that differ in its four least certain
+    bits, where near copies differ first; entries with one key are compared.  A bucket links
+    what its members connect: as soon as one of them is reached it is not compared again, so a
+    crowd of near copies costs about its size.  Texts without words form a group.
+    """
+    kind = pa.struct([("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<fp:binary,keys:array<bigint>>")
+    def prints_of(texts: pa.Array) -> pa.Array:
+        found = [wide_fingerprint(t.as_py(), words_per_shingle) for t in texts]
+        return pa.array([{"fp": fp, "keys": keys} for fp, keys in found], kind)
+
+    marked = stage(
+        docs.select(F.col(id_col).alias("id"),
+                    prints_of(F.col(text_col).cast("binary")).alias("p")).select("id", "p.*"),
+        "fingerprints",
+    )
+    prints = stage(
+        marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.any_value("keys").alias("keys")),
+        "distinct",
+    )
+    links = stage(
+        prints.select(F.explode("keys").alias("key"), "fp")
+        .repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_wide_verified(wide_distance(similarity)), "a binary, b binary").distinct(),
+        "similar",
+    )
+    return _grouped(marked.select("id", "fp"), prints.drop("keys"), links)
