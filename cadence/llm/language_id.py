@@ -131,7 +131,7 @@ def learn(
     share = max(1, rows // len(counts))
     wanted = F.lit(False)
     for lang, n in counts.items():
-        bound = -(1 << 63) + int(((1 << 64) - 1) * min(1.0, 2 * share / n))
+        bound = min(-(1 << 63) + int((1 << 64) * min(1.0, 2 * share / n)), (1 << 63) - 1)
         wanted |= (F.col("lang") == lang) & (F.col("rank") <= bound)
     found = rated.where(wanted & F.col("text").rlike(r"\p{L}"))
     taken: dict[str, list] = {lang: [] for lang in counts}
