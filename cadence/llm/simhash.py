@@ -265,15 +265,19 @@ def wide_distance(similarity: float) -> int:
 
 
 def _wide_forest(prints: np.ndarray, distance: int) -> tuple[list, list]:
-    """Like :func:`_forest`, for rows of several words; returns row numbers."""
+    """Like :func:`_forest`, for rows of several words; returns row numbers.
+
+    What is connected is linked with its first row; buckets are in order of the fingerprint, so
+    those of one crowd often agree on their links."""
     left, a, b = np.arange(len(prints)), [], []
     while len(left):
-        reached, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        reached = [first]
         while reached and len(left):
             node = reached.pop()
             near = np.bitwise_count(prints[left] ^ prints[node]).sum(axis=1) <= distance
             found = left[near].tolist()
-            a += [node] * len(found)
+            a += [first] * len(found)
             b += found
             reached += found
             left = left[~near]
@@ -341,10 +345,15 @@ def similar_groups(
         marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.any_value("keys").alias("keys")),
         "distinct",
     )
-    links = stage(
+    found = (
         prints.select(F.explode("keys").alias("key"), "fp")
-        .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_wide_verified(wide_distance(similarity)), "a binary, b binary").distinct(),
-        "similar",
+        .repartition("key").sortWithinPartitions("key", "fp")
+        .mapInArrow(_wide_verified(wide_distance(similarity)), "a binary, b binary")
+    )
+    # a member has one link per key at most; all its partners are linked with the smallest
+    stars = found.groupBy("b").agg(F.collect_set("a").alias("partners")).select(
+        F.explode(F.array_append("partners", F.col("b"))).alias("a"),
+        F.array_min("partners").alias("b"),
     )
+    links = stage(stars.where("a <> b").distinct(), "similar")
     return _grouped(marked.select("id", "fp"), prints.drop("keys"), links)
