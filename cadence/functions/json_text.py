@@ -74,10 +74,13 @@ def json_set(doc: Column | str, path: str, value: Any, soft: bool = False,
              sep: str = ".") -> Column:
     """Set ``path``, creating missing parents; ``soft`` leaves an existing value alone.
 
-    ``value`` is a Python value or a Column of JSON text; the result is JSON text.
+    ``value`` is a Python value or a Column of JSON text; the result is JSON text.  A NULL
+    document stays NULL; one that is not an object is an error.
     """
     text = value if isinstance(value, Column) else F.lit(json.dumps(value))
-    root, parts, new = as_object(F.parse_json(_col(doc))), path.split(sep), F.parse_json(text)
+    parsed, parts, new = F.parse_json(_col(doc)), path.split(sep), F.parse_json(text)
+    bad = F.raise_error(F.lit("the document is not an object")).cast(OBJECT)
+    root = F.when(parsed.isNotNull(), F.coalesce(as_object(parsed), bad))
     return F.to_json(once(root, lambda m: _with_member(m, parts, new, soft)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.operators.ordering import columns, key_index
+from cadence.operators.ordering import columns
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -57,14 +57,11 @@ def keep_latest(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[
     """The ``n`` last rows of each key.
 
     Spark plans this as a group limit before and after the shuffle, so a hot key sends
-    at most ``n`` rows per input partition.  It does so up to a limit on ``n``; above,
-    positions in the key are taken the way that splits hot keys.
+    at most ``n`` rows per input partition, up to a limit on ``n`` of its own; a larger ``n``
+    sorts the key's rows in one task, spilling if need be.
     """
     order = [order] if isinstance(order, (str, Column)) else order
     newest = [c.desc() for c in columns(order)]
-    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        placed = key_index(df, _names(keys), newest, "__rank")
-        return placed.where(F.col("__rank") < n).drop("__rank")
     window = Window.partitionBy(*columns(_names(keys))).orderBy(*newest)
     return df.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= n).drop("__rank")
 

@@ -88,6 +88,12 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is directly under ``path``; none when it does not exist."""
+    fs, where = _locate(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _locate(spark, path)
     fs.delete(where, True)

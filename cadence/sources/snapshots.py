@@ -6,18 +6,33 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.runtime import is_committed
+from cadence.runtime import children, is_committed
 
 log = logging.getLogger(__name__)
 
-# Spark's error classes for "there is no table at this path".
-_NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+_MARKS = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+
+
+def is_ready(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table is at ``path``; false if nothing or an unfinished write is.
+
+    Spark marks a finished write with ``_SUCCESS`` and keeps ``_temporary`` until then.  Files
+    with neither, as other writers leave them, may be a whole table or a part: that raises.
+    """
+    if is_committed(spark, path):
+        return True
+    names = children(spark, path)
+    if "_temporary" in names or all(n.startswith(("_", ".")) for n in names):
+        return False
+    raise ValueError(f"{path} holds files without {'_SUCCESS'!r}: not known to be whole")
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
+    marks = df.sparkSession._jsc.hadoopConfiguration().get(_MARKS)
+    if marks is not None and marks.lower() == "false":
+        raise RuntimeError(f"snapshots need success markers; {_MARKS} is false")
     df.write.mode("overwrite").parquet(path)
 
 
@@ -31,14 +46,11 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_first_available(spark: SparkSession, *paths: str) -> DataFrame:
-    """The first path that holds a table; one that is damaged raises."""
+    """The first path with a finished table; see :func:`is_ready` for the others."""
     for path in paths:
-        try:
+        if is_ready(spark, path):
             return read_snapshot(spark, path)
-        except AnalysisException as problem:
-            if problem.getCondition() not in _NOT_THERE:
-                raise
-            log.debug("Skipping %s: %s", path, problem.getCondition())
+        log.debug("Skipping %s: no finished table", path)
     raise FileNotFoundError("Failed to load a table from any of", list(paths))
 
 
@@ -46,11 +58,12 @@ def compute_or_load(spark: SparkSession, path: str, build: Callable[..., DataFra
                     *args, silent: bool = False, **kwargs) -> DataFrame:
     """Read the table at ``path``, or build it, store it there and read it back.
 
-    A folder without ``_SUCCESS`` is an unfinished write and is built again.  The
-    arguments are not part of the cache key, the path alone is.
+    It is built if the path is missing, empty or an unfinished write; other content is never
+    overwritten (see :func:`is_ready`).  The arguments are not part of the cache key, the path
+    alone is.
     """
     start = time.monotonic()
-    if is_committed(spark, path):
+    if is_ready(spark, path):
         outcome = "Found"
     else:
         write_snapshot(build(*args, **kwargs), path)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cadence.functions.steps import step_spec
+from cadence.runtime import remove
+from cadence.sources.states import committed_numbers
 
 
 def incremental_job(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], checkpoint: str,
@@ -30,15 +32,46 @@ def incremental_job(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], che
     )
 
 
-def on_batches(spec: str, action: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that acts only on batch numbers the step spec selects."""
-    parsed = step_spec(spec)
+class PendingBatches:
+    """``foreachBatch`` function that collects micro-batches and hands them on together.
 
-    def act(batch: DataFrame, number: int) -> None:
-        if parsed.fires_at(number):
-            action(batch, number)
+    Every micro-batch is written under ``pending``.  At numbers that the step spec selects,
+    ``action(rows, number)`` gets all rows since the last time; ``flush`` at the end of a run
+    hands on the rest, so nothing is lost whatever the spec.  A micro-batch that is delivered
+    again brings the same rows to the same number: what was handed on stays until the next
+    time.  ``action`` should overwrite what it stored under the same number.
+    """
 
-    return act
+    def __init__(self, spec: str, action: Callable[[DataFrame, int], None], pending: str):
+        self.spec, self.action, self.pending = step_spec(spec), action, pending
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.pending}/batch={number}")
+        if self.spec.fires_at(number):
+            self._hand_on(batch.sparkSession, number)
+
+    def flush(self, spark: SparkSession) -> None:
+        """Hand on what is still pending; call it when the run has ended."""
+        numbers = committed_numbers(spark, self.pending, "batch")
+        done = committed_numbers(spark, self.pending, "handed")
+        if numbers and max(numbers) > max(done, default=-1):
+            self._hand_on(spark, max(numbers))
+
+    def _hand_on(self, spark: SparkSession, number: int) -> None:
+        handed = committed_numbers(spark, self.pending, "handed")
+        last = max((n for n in handed if n < number), default=-1)
+        stored = committed_numbers(spark, self.pending, "batch")
+        paths = [f"{self.pending}/batch={n}" for n in stored if last < n <= number]
+        self.action(spark.read.parquet(*paths), number)
+        spark.range(0).write.mode("overwrite").parquet(f"{self.pending}/handed={number}")
+        for n in stored:
+            if n <= last:
+                remove(spark, f"{self.pending}/batch={n}")
+
+
+def on_batches(spec: str, action: Callable[[DataFrame, int], None], pending: str) -> PendingBatches:
+    """Let ``action`` have what has piled up at batch numbers the step spec selects."""
+    return PendingBatches(spec, action, pending)
 
 
 def cadence(seconds: float | None = None, files: int | None = None,

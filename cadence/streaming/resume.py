@@ -18,6 +18,7 @@ from cadence.operators.ordering import (
 from cadence.runtime import temporary_stages
 from cadence.sources.states import committed_numbers
 
+COMMIT_SECONDS = 120.0  # the usual pace of commits
 BatchFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -57,18 +58,15 @@ def _timed_bounds(total: int, batch_rows: int | None,
 
 def _slices(remaining: DataFrame, keys: list[str], batch_rows: int | None,
             commit_seconds: float | None, parallelism: int | None) -> Iterator[DataFrame]:
-    """Cut what is left into batches; one batch is used as it is, without staging."""
+    """Cut what is left into batches, in key order."""
     names = remaining.columns
     total = remaining.count()
     if total == 0:
         return
     if commit_seconds is not None:
         bounds = _timed_bounds(total, batch_rows, commit_seconds)
-    elif total > (batch_rows or total):
-        bounds = batch_bounds(total, batch_rows)
     else:
-        yield remaining.repartition(parallelism) if parallelism else remaining
-        return
+        bounds = batch_bounds(total, batch_rows)
     laid_out = lay_out(remaining, keys, "items")
     # one row per partition
     parts = sorted(part_offsets(laid_out).select("__before", PART).collect())
@@ -94,7 +92,7 @@ def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,
     ``fn`` maps Arrow batches of items to frames of ``out_schema``, which holds the key.
     Each batch of at most ``batch_rows`` items is one Parquet commit; a batch that fails
     stores nothing and the earlier ones stay.  ``commit_seconds`` sizes the batches, by
-    the pace so far, to commit about that often.  ``strict`` checks that item keys are
+    the pace so far, to commit about that often; it is 120 unless one of the two is given.  ``strict`` checks that item keys are
     unique and that no stored key is unknown.  Without a root nothing is stored.
     ``items`` is read for counting, for the work and for the final check, so it should be
     a stored table.
@@ -110,6 +108,8 @@ def resumable_map(items: DataFrame, key: str | Sequence[str], fn: BatchFunction,
         assert_unique(items, *keys)
     if root is None:
         return items.mapInPandas(fn, out_schema)
+    if batch_rows is None and commit_seconds is None:
+        commit_seconds = COMMIT_SECONDS
 
     stored = committed_numbers(spark, root, "batch")
     done = read_batches(spark, root, out_schema)

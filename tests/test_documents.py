@@ -151,3 +151,11 @@ def test_canonical_and_pretty(spark):
     assert text(spark, cd.canonical_json(F.lit(json.dumps(value)))) == json.dumps(
         value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert text(spark, cd.pretty_json(F.lit(json.dumps(value)))) == json.dumps(value, indent=4, sort_keys=True)
+
+
+@pytest.mark.parametrize("doc", ["[1,2]", "5", "null"])
+def test_json_set_needs_an_object(spark, doc):
+    rows = spark.createDataFrame([(doc,)], "doc string")
+    with pytest.raises(Exception, match="not an object"):
+        rows.select(cd.json_set("doc", "a", 1)).collect()
+    assert spark.createDataFrame([(None,)], "doc string").select(cd.json_set("doc", "a", 1)).first()[0] is None

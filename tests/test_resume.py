@@ -51,6 +51,18 @@ def test_crash_and_resume(spark, tmp_path, log):
     assert grown.count() == 210
 
 
+def test_default_commits_keep_what_was_done(spark, tmp_path, log):
+    items, root = spark.range(100), str(tmp_path / "out")
+    with pytest.raises(Exception, match="item is broken"):
+        cd.resumable_map(items, "id", doubling(log, broken=99), SCHEMA, root)
+    kept = cd.read_batches(spark, root).count()
+    assert 0 < kept < 100
+    again = tmp_path / "again"
+    again.mkdir()
+    assert cd.resumable_map(items, "id", doubling(again), SCHEMA, root).count() == 100
+    assert len(calls(again)) == 100 - kept
+
+
 def test_unfinished_batches_do_not_count(spark, tmp_path, log):
     items, root = spark.range(20), str(tmp_path / "out")
     cd.resumable_map(items, "id", doubling(log), SCHEMA, root, batch_rows=5)

@@ -102,6 +102,12 @@ def test_snapshots(spark, tmp_path):
     assert cd.compute_or_load(spark, path, build, 9, silent=True).count() == 3
     assert calls == [3]
     (tmp_path / "s" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="not known to be whole"):  # never overwritten
+        cd.compute_or_load(spark, path, build, 5)
+    with pytest.raises(ValueError, match="not known to be whole"):
+        cd.read_first_available(spark, path)
+    assert spark.read.parquet(path).count() == 3 and calls == [3]
+    (tmp_path / "s" / "_temporary").mkdir()
     assert cd.stash(spark, path)(build, 5).count() == 5
     assert cd.stash(spark, path, active=False)(build, 7).count() == 7
     assert calls == [3, 5, 7]

@@ -132,8 +132,21 @@ def test_when_to_commit():
         "trigger": {"processingTime": "120000 milliseconds"},
         "options": {"maxFilesPerTrigger": "3"}, "resume": {"commit_seconds": 120, "batch_rows": 9},
     }
-    acted = []
-    act = cd.on_batches("1::3", lambda batch, number: acted.append(number))
+
+
+@pytest.mark.parametrize(("spec", "commits"), [
+    ("1::3", {0: [0], 1: [1], 3: [2, 3], 6: [4, 5, 6], 7: [7]}), ("99::", {7: list(range(8))}),
+])
+def test_batches_pile_up_until_a_commit(spark, tmp_path, spec, commits):
+    got = {}
+
+    def act(rows, number):
+        got[number] = sorted(r.id for r in rows.collect())
+
+    pending = cd.on_batches(spec, act, str(tmp_path / "pending"))
     for number in range(8):
-        act(None, number)
-    assert acted == [0, 1, 3, 6]
+        for _ in range(1 + number % 2):  # odd ones are delivered twice
+            pending(spark.range(number, number + 1), number)
+    pending.flush(spark)
+    pending.flush(spark)
+    assert got == commits
