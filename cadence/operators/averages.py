@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.operators.ordering import (
-    KEY, MAX_KEY_ROWS, PART, SLOT, columns, key_struct, lay_out, split_hot,
-)
+from cadence.operators.ordering import PART, SLOT, columns, inside_key, lay_out, with_carries
 
 
 def _pair(value: Column | str, weight: Column | str | float) -> tuple[Column, Column]:
@@ -49,48 +47,26 @@ def weighted_summary(value: Column | str, weight: Column | str | float,
 
 def running_weighted_mean(df: DataFrame, value: Column | str, weight: Column | str | float,
                           keys: Sequence[str], order: Sequence[Column | str],
-                          name: str = "avg",
-                          max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+                          name: str = "avg") -> DataFrame:
     """Add the weighted mean of all rows of the key up to this one.
 
-    Ordinary keys use one window.  A hot key is laid out over many range partitions:
-    each sums its own part, and the sums of the parts before it are added.
+    Rows are laid out by key over range partitions: each sums its own part, and what the
+    key sums up to in the partitions before it is added.  Sums of doubles may differ in
+    their last digits between layouts.
     """
     product, weight_used = _pair(value, weight)
-    df = df.withColumn("__vw", product).withColumn("__w", weight_used)
-    ordinary, hot = split_hot(df, keys, max_key_rows)
+    laid_out = lay_out(
+        df.withColumn("__vw", product).withColumn("__w", weight_used),
+        [*columns(keys), *columns(order)], "running",
+    )
+    carried = with_carries(laid_out, keys, c__vw=F.sum("__vw"), c__w=F.sum("__w"))
+    so_far = inside_key(keys).rowsBetween(Window.unboundedPreceding, 0)
 
-    def running(over: Window, carried=lambda c: F.lit(0.0)) -> Column:
-        sums = [F.coalesce(F.sum(c).over(over), F.lit(0.0)) + carried(c) for c in ("__vw", "__w")]
-        return F.try_divide(*sums)
+    def running(c: str) -> Column:
+        zero = F.lit(0.0)
+        return F.coalesce(F.sum(c).over(so_far), zero) + F.coalesce(F.col(f"c{c}_before"), zero)
 
     # the group mean is NULL while no value has been seen; 0/0 gives the same NULL
-    window = (
-        Window.partitionBy(*columns(keys)).orderBy(*columns(order))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    out = ordinary.withColumn(name, running(window)).drop("__vw", "__w")
-    if hot is None:
-        return out
-    laid_out = lay_out(hot, [*columns(keys), *columns(order)], "running")
-    key = key_struct(keys).alias(KEY)
-    earlier = Window.partitionBy(KEY).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    # a row per (partition, hot key): no more than partitions plus hot keys
-    carry = (
-        laid_out.groupBy(F.col(PART).alias("__p"), key)
-        .agg(F.sum("__vw").alias("s__vw"), F.sum("__w").alias("s__w"))
-        .withColumn("c__vw", F.coalesce(F.sum("s__vw").over(earlier.orderBy("__p")), F.lit(0.0)))
-        .withColumn("c__w", F.coalesce(F.sum("s__w").over(earlier.orderBy("__p")), F.lit(0.0)))
-        .drop("s__vw", "s__w")
-    )
-    inside = (
-        Window.partitionBy(PART, *columns(keys)).orderBy(SLOT)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    joined = laid_out.join(
-        F.broadcast(carry), (F.col(PART) == F.col("__p")) & (key_struct(keys) == F.col(KEY))
-    )
-    split = joined.withColumn(name, running(inside, lambda c: F.col(f"c{c}")))
-    return out.unionByName(
-        split.drop(PART, SLOT, KEY, "__p", "__vw", "__w", "c__vw", "c__w")
+    return carried.withColumn(name, F.try_divide(running("__vw"), running("__w"))).drop(
+        PART, SLOT, "__vw", "__w", "c__vw_before", "c__vw_all", "c__w_before", "c__w_all"
     )

@@ -20,9 +20,6 @@ SLOT = "__slot"
 KEY = "__key"
 TOTAL = "__total"
 
-# A key with more rows than this is split over tasks instead of handled by one.
-MAX_KEY_ROWS = 5_000_000
-
 _SLOT_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
@@ -118,64 +115,59 @@ def batch_bounds(total: int, max_size: int) -> list[tuple[int, int]]:
     return list(zip(starts, starts[1:]))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str],
-              max_key_rows: int | None = MAX_KEY_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Separate the rows of keys too large for one task: (ordinary rows, hot rows).
+def inside_key(keys: Sequence[str]) -> Window:
+    """Rows of one key in one partition of the layout, in order."""
+    return Window.partitionBy(PART, *columns(keys)).orderBy(SLOT)
+
 
-    There are at most rows / ``max_key_rows`` hot keys, so their list is small.  Counting
-    reads the key columns once more; ``max_key_rows=None`` says no key is hot.
+def with_carries(laid_out: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
+    """Add ``<name>_before`` and ``<name>_all`` for keys that lie in several partitions.
+
+    They hold the sum over the key's rows in earlier partitions and in all; a key inside one
+    partition has NULLs.  The rows lie in key order, so only the first and the last key of a
+    partition can go beyond it: what is broadcast is at most two rows per partition.
     """
-    if max_key_rows is None:
-        return df, None
-    hot_keys = stage(
-        df.groupBy(*columns(keys)).agg(F.count("*").alias("__rows"))
-        .where(F.col("__rows") > max_key_rows)
-        .select(key_struct(keys).alias(KEY)),
-        "hot-keys",
+    pieces = laid_out.groupBy(F.col(PART).alias("__p"), key_struct(keys).alias(KEY)).agg(
+        *(c.alias(n) for n, c in sums.items())
     )
-    if hot_keys.isEmpty():
-        return df, None
-    hot_keys = F.broadcast(hot_keys)
-    match = key_struct(keys) == F.col(KEY)
-    return df.join(hot_keys, match, "left_anti"), df.join(hot_keys, match, "left_semi")
-
-
-def hot_index(hot: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-              name: str) -> DataFrame:
-    """Position inside each key for hot rows: global position minus the key's first."""
-    placed = _indexed(hot, [*columns(keys), *columns(order)], "__global").drop(TOTAL)
-    firsts = placed.groupBy(key_struct(keys).alias(KEY)).agg(F.min("__global").alias("__first"))
-    return (
-        placed.join(F.broadcast(firsts), key_struct(keys) == F.col(KEY))
-        .withColumn(name, F.col("__global") - F.col("__first"))
-        .drop(KEY, "__global", "__first")
+    key = Window.partitionBy(KEY)
+    earlier = key.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    spread = (
+        pieces.withColumn("__pieces", F.count("*").over(key))
+        .withColumns({f"{n}_before": F.sum(n).over(earlier) for n in sums})
+        .withColumns({f"{n}_all": F.sum(n).over(key) for n in sums})
+        .where("__pieces > 1").drop("__pieces", *sums)
     )
+    match = (F.col(PART) == F.col("__p")) & (key_struct(keys) == F.col(KEY))
+    return laid_out.join(F.broadcast(spread), match, "left").drop("__p", KEY)
+
+
+def _placed_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                   name: str) -> DataFrame:
+    """Rows laid out by key, with the position in the key and the carries of row counts."""
+    laid_out = lay_out(df, [*columns(keys), *columns(order)], "keyed")
+    carried = with_carries(laid_out, keys, __rows=F.count("*"))
+    before = F.coalesce(F.col("__rows_before"), F.lit(0))
+    position = F.row_number().over(inside_key(keys)) - 1 + before
+    return carried.withColumn(name, position.cast("bigint"))
 
 
 def key_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-              name: str = "i", max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
-    """Add the 0-based position of every row inside its key."""
-    ordinary, hot = split_hot(df, keys, max_key_rows)
-    window = Window.partitionBy(*columns(keys)).orderBy(*columns(order))
-    out = ordinary.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
-    if hot is None:
-        return out
-    return out.unionByName(hot_index(hot, keys, order, name))
+              name: str = "i") -> DataFrame:
+    """Add the 0-based position of every row inside its key, whatever the key's size."""
+    return _placed_in_key(df, keys, order, name).drop(PART, SLOT, "__rows_before", "__rows_all")
 
 
 def key_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], max_size: int,
-                name: str = "batch_id", max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+                name: str = "batch_id") -> DataFrame:
     """``balanced_batches`` inside each key: batch numbers start at 0 for every key."""
     if max_size < 1:
         raise ValueError("max_size must be positive")
-    ordinary, hot = split_hot(df, keys, max_key_rows)
-    whole = Window.partitionBy(*columns(keys))
-    index = (F.row_number().over(whole.orderBy(*columns(order))) - 1).cast("bigint")
-    placed = ordinary.withColumn("__idx", index).withColumn(TOTAL, F.count("*").over(whole))
-    if hot is not None:
-        split = hot_index(hot, keys, order, "__idx").withColumn(KEY, key_struct(keys))
-        totals = split.groupBy(F.col(KEY).alias("__k")).agg(F.count("*").alias(TOTAL))
-        split = split.join(F.broadcast(totals), F.col(KEY) == F.col("__k")).drop(KEY, "__k")
-        placed = placed.unionByName(split)
+    here = Window.partitionBy(PART, *columns(keys))
+    placed = _placed_in_key(df, keys, order, "__idx").withColumn(
+        TOTAL, F.coalesce(F.col("__rows_all"), F.count("*").over(here))
+    )
     batch = batch_of(F.col("__idx"), F.col(TOTAL), max_size)
-    return placed.withColumn(name, batch).drop("__idx", TOTAL)
+    return placed.withColumn(name, batch).drop(
+        PART, SLOT, "__rows_before", "__rows_all", "__idx", TOTAL
+    )

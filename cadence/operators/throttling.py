@@ -18,20 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.steps import StepSpec, next_step, previous_step, step_filter, step_spec
-from cadence.operators.ordering import (
-    KEY, MAX_KEY_ROWS, columns, dense_index, hot_index, key_index, key_struct, split_hot,
-)
+from cadence.operators.ordering import KEY, columns, dense_index, key_index, key_struct
 from cadence.runtime import stage
 
 TIME = "__micros"
 POSITION = "__position"
 _LOCAL = "__pos"
+_FIRST = "__first_of_key"
+# A key with more rows than this is split over tasks instead of scanned by one.
+MAX_KEY_ROWS = 5_000_000
 # Consecutive rows of a hot key that one task follows.
 BLOCK_ROWS = 1 << 18
 # Clock columns: rows counted, position of the last firing, time of the last firing.
@@ -117,19 +117,6 @@ def fire(times: np.ndarray, clock: Clock, rule: Rule) -> list[int]:
     return fired
 
 
-def _run_starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
-    """Offsets where a new key begins, the first row included."""
-    change = np.zeros(batch.num_rows, dtype=bool)
-    change[0] = True
-    for k in keys:
-        column = batch.column(k)
-        here, before = column.slice(1), column.slice(0, batch.num_rows - 1)
-        differ = pc.fill_null(pc.not_equal(here, before), False)
-        differ = pc.or_(differ, pc.xor(here.is_null(), before.is_null()))
-        change[1:] |= differ.to_numpy(zero_copy_only=False)
-    return np.flatnonzero(change)
-
-
 def _start(batch: pa.RecordBatch, at: int) -> Clock:
     """Clock of the key whose rows begin at offset ``at``; fresh without clock columns."""
     if CLOCK[0] not in batch.schema.names:
@@ -137,27 +124,28 @@ def _start(batch: pa.RecordBatch, at: int) -> Clock:
     return Clock(*(batch.column(c)[at].as_py() for c in CLOCK))
 
 
-def _scanner(keys: Sequence[str], rule: Rule):
+def _scanner(rule: Rule):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous, clock = None, Clock()
+        clock = Clock()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             times = batch.column(TIME).to_numpy()
-            starts = _run_starts(batch, keys).tolist()
+            starts = np.flatnonzero(batch.column(_FIRST).to_numpy(zero_copy_only=False)).tolist()
+            fresh = set(starts)
+            begins = starts if 0 in fresh else [0, *starts]  # a key may go on from the last batch
             kept: list[int] = []
             positions: list[int] = []
-            for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
-                if begin > 0 or tuple(batch.column(k)[0].as_py() for k in keys) != previous:
+            for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+                if begin in fresh:
                     clock = _start(batch, begin)
                 first = clock.position
                 fired = fire(times[begin:end], clock, rule)
                 kept += [begin + f for f in fired]
                 positions += [first + f for f in fired]
-            previous = tuple(batch.column(k)[-1].as_py() for k in keys)
             if kept:
                 rows = batch.take(pa.array(kept, pa.int64()))
-                rows = rows.drop_columns([c for c in CLOCK if c in rows.schema.names])
+                rows = rows.drop_columns([c for c in (*CLOCK, _FIRST) if c in rows.schema.names])
                 yield rows.append_column(POSITION, pa.array(positions, pa.int64()))
 
     return scan
@@ -165,11 +153,34 @@ def _scanner(keys: Sequence[str], rule: Rule):
 
 def _scan_keys(df: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule) -> DataFrame:
     kept = [f for f in df.schema if f.name not in CLOCK]
-    return (
-        df.repartition(*columns(keys))
-        .sortWithinPartitions(*columns(keys), *order)
-        .mapInArrow(_scanner(keys, rule), T.StructType(kept).add(POSITION, T.LongType()))
+    # the window leaves each key's rows together and in order, and says where a key begins
+    # by Spark's own equality, under which NaN equals NaN and structs compare by member
+    in_key = Window.partitionBy(*columns(keys)).orderBy(*order)
+    return df.withColumn(_FIRST, F.row_number().over(in_key) == 1).mapInArrow(
+        _scanner(rule), T.StructType(kept).add(POSITION, T.LongType())
+    )
+
+
+def _split_hot(df: DataFrame, keys: Sequence[str],
+               max_key_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Separate the rows of keys too large for one task: (ordinary rows, hot rows).
+
+    There are at most rows / ``max_key_rows`` hot keys, so Spark may broadcast their list if
+    it is small.  Counting reads the key columns once more; ``max_key_rows=None`` says no key
+    is hot.
+    """
+    if max_key_rows is None:
+        return df, None
+    hot_keys = stage(
+        df.groupBy(*columns(keys)).agg(F.count("*").alias("__rows"))
+        .where(F.col("__rows") > max_key_rows)
+        .select(key_struct(keys).alias(KEY)),
+        "hot-keys",
     )
+    if hot_keys.isEmpty():
+        return df, None
+    match = key_struct(keys) == F.col(KEY)
+    return df.join(hot_keys, match, "left_anti"), df.join(hot_keys, match, "left_semi")
 
 
 def _due(step: Column, rule: Rule, position: Column, last_index: Column) -> list[Column]:
@@ -320,7 +331,7 @@ def _fired_positions(links: DataFrame, starts: DataFrame, block_rows: int) -> Da
 
 def _split_keys(hot: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule) -> DataFrame:
     placed = stage(
-        hot_index(hot, keys, order, _LOCAL).withColumn(KEY, key_struct(keys)), "placed"
+        key_index(hot, keys, order, _LOCAL).withColumn(KEY, key_struct(keys)), "placed"
     )
     nodes = placed.select(KEY, _LOCAL, TIME, *CLOCK)
     starts = stage(_first_firing(nodes, rule), "starts")
@@ -332,9 +343,8 @@ def _split_keys(hot: DataFrame, keys: Sequence[str], order: list[Column], rule:
     )
 
 
-def _by_position(df: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule,
-                 max_key_rows: int | None) -> DataFrame:
-    placed = key_index(df, keys, order, _LOCAL, max_key_rows).withColumn(
+def _by_position(df: DataFrame, keys: Sequence[str], order: list[Column], rule: Rule) -> DataFrame:
+    placed = key_index(df, keys, order, _LOCAL).withColumn(
         POSITION, F.col(_LOCAL) + F.col(CLOCK[0])
     )
     fires = step_filter(POSITION, rule.spec)
@@ -364,8 +374,8 @@ def fired_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str
     timed = df.withColumn(TIME, micros_of(df, time)).where(order[0].isNotNull())
     timed = _with_clocks(timed, keys, clocks)
     if rule.micros is None:
-        return _by_position(timed, keys, order, rule, max_key_rows)
-    ordinary, hot = split_hot(timed, keys, max_key_rows)
+        return _by_position(timed, keys, order, rule)
+    ordinary, hot = _split_hot(timed, keys, max_key_rows)
     if clocks is None:
         ordinary = ordinary.drop(*CLOCK)  # constants need not travel to Python
     fired = _scan_keys(ordinary, keys, order, rule)

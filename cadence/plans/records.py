@@ -85,15 +85,19 @@ def json_flatten_nested(spark, folder):
 
 
 @query(NESTED + """
-SELECT c_custkey, 'name' AS path, '"' || c_name || '"' AS value FROM c
+SELECT c_custkey, 'name' AS path, '"' || c_name || '"' AS txt, CAST(NULL AS DOUBLE) AS num FROM c
 UNION ALL SELECT c_custkey, 'geo',
-       '{"nation":"' || n_name || '","region":"' || r_name || '"}' FROM c
-UNION ALL SELECT c_custkey, 'acct.seg', '"' || c_mktsegment || '"' FROM c
+       '{"nation":"' || n_name || '","region":"' || r_name || '"}', NULL FROM c
+UNION ALL SELECT c_custkey, 'acct.seg', '"' || c_mktsegment || '"', NULL FROM c
+UNION ALL SELECT c_custkey, 'acct.bal', NULL, c_acctbal FROM c
 """)
 def json_flatten_keep(spark, folder):
     docs = _nested_customers(spark, folder).withColumn("doc", F.to_json("c"))
     leaves = cd.flatten_json(docs, "c_custkey", "doc", keep=["geo"])
-    return leaves.where("path <> 'acct.bal'")
+    number = F.col("value").try_cast("double")
+    return leaves.select(
+        "c_custkey", "path", F.when(number.isNull(), F.col("value")).alias("txt"), number.alias("num")
+    )
 
 
 def _varied_documents(spark, folder):
@@ -180,8 +184,8 @@ def map_defaults(spark, folder):
 
 
 @query(NESTED + """
-SELECT c_custkey, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg, 'basic' AS tier,
-       'none' AS note
+SELECT c_custkey, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg, n_name AS nation,
+       r_name AS region, 'basic' AS tier, 'none' AS note
 FROM c
 """)
 def struct_defaults(spark, folder):
@@ -192,7 +196,7 @@ def struct_defaults(spark, folder):
     )
     docs = customers.withColumn("given", given)
     merged = docs.select("c_custkey", cd.merge_defaults(docs, "c", "given").alias("m"))
-    return merged.select("c_custkey", "m.name", "m.acct.bal", "m.acct.seg", "m.tier", "m.acct.note")
+    return merged.select("c_custkey", "m.name", "m.acct.*", "m.geo.*", "m.tier")
 
 
 @query(NESTED + """
@@ -204,17 +208,23 @@ def struct_flatten(spark, folder):
     return cd.flatten_struct(_nested_customers(spark, folder))
 
 
-@query(NESTED + "SELECT c_custkey, c_name AS name, c_acctbal AS bal, r_name AS region FROM c")
+@query(NESTED + """
+SELECT c_custkey, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg, n_name AS nation,
+       r_name AS region
+FROM c
+""")
 def struct_unflatten(spark, folder):
     """Flatten, rebuild, and read through the rebuilt structs."""
     rebuilt = cd.unflatten_struct(cd.flatten_struct(_nested_customers(spark, folder)))
-    return rebuilt.select(
-        "c_custkey", *(cd.get_path(rebuilt, p) for p in ("c.name", "c.acct.bal", "c.geo.region"))
-    ).toDF("c_custkey", "name", "bal", "region")
+    leaves = ("c.name", "c.acct.bal", "c.acct.seg", "c.geo.nation", "c.geo.region")
+    return rebuilt.select("c_custkey", *(cd.get_path(rebuilt, p) for p in leaves)).toDF(
+        "c_custkey", *(p.split(".")[-1] for p in leaves)
+    )
 
 
 @query(NESTED + """
-SELECT c_custkey, c_acctbal * 2 AS bal, c_mktsegment AS seg, n_name AS zone
+SELECT c_custkey, c_name AS name, c_acctbal * 2 AS bal, c_mktsegment AS seg, n_name AS nation,
+       r_name AS region, n_name AS zone
 FROM c
 """)
 def set_path(spark, folder):
@@ -222,7 +232,7 @@ def set_path(spark, folder):
     docs = cd.set_path(docs, "c.acct.bal", F.col("c.acct.bal") * 2)
     docs = cd.set_path(docs, "c.acct.seg", F.lit("unused"), soft=True)
     docs = cd.set_path(docs, "c.extra.zone", F.col("c.geo.nation"))
-    return docs.select("c_custkey", "c.acct.bal", "c.acct.seg", "c.extra.zone")
+    return docs.select("c_custkey", "c.name", "c.acct.*", "c.geo.*", "c.extra.*")
 
 
 @query("""

@@ -59,46 +59,57 @@ def weighted_mean(spark, folder):
 
 @query("""
 WITH e AS (SELECT *, CAST(props->>'$.k' AS DOUBLE) AS w FROM events)
-SELECT user_id, arg_max(value, event_id) AS last, round(sum(value * w) / sum(w), 6) AS avg,
+SELECT user_id, user_id % 7 AS part, arg_max(value, event_id) AS last,
+       round(sum(value * w) / nullif(sum(w), 0), 6) AS avg,
        round(sum(value * w), 4) AS sum, sum(w) AS count
-FROM e GROUP BY user_id HAVING sum(w) > 0
+FROM (SELECT * REPLACE (CASE WHEN user_id % 7 = 3 THEN 0 ELSE w END AS w) FROM e) GROUP BY user_id
 """)
 def weighted_summary(spark, folder):
-    events = table(spark, folder, "events").withColumn("w", cd.json_get("props", "k", "double"))
+    """A seventh of the users has no weight at all, so no mean either."""
+    weight = F.when(F.col("user_id") % 7 == 3, 0.0).otherwise(cd.json_get("props", "k", "double"))
+    events = table(spark, folder, "events").withColumn("w", weight)
     summary = cd.weighted_summary("value", "w", ["event_id"])
-    rows = events.groupBy("user_id").agg(summary.alias("s")).where("s.count > 0")
+    rows = events.groupBy("user_id").agg(summary.alias("s"))
     return rows.select(
-        "user_id", "s.last", F.round("s.avg", 6).alias("avg"), F.round("s.sum", 4).alias("sum"),
+        "user_id", (F.col("user_id") % 7).alias("part"), "s.last", F.round("s.avg", 6).alias("avg"), F.round("s.sum", 4).alias("sum"),
         "s.count",
     )
 
 
-# cents are whole numbers, so their sums do not depend on the order of addition
-RUNNING_MEAN = """
-SELECT event_id, user_id, sum(cents * w) OVER u / sum(w) OVER u AS avg
-FROM (SELECT *, round(value * 100) AS cents, 1.0::DOUBLE + event_id % 3 AS w FROM events)
+# A key with a third of all rows and one that is NULL, beside the ordinary ones.
+SKEWED = "CASE WHEN event_id % 3 = 0 THEN -1 WHEN user_id % 5 = 0 THEN NULL ELSE user_id END"
+
+
+def _skewed(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
+    return events.withColumn("user_id", F.expr(SKEWED))
+
+
+def _running_mean(key, value, weight):
+    return f"""
+SELECT event_id, user_id, round(sum(v * w) OVER u / sum(w) OVER u, 6) AS avg
+FROM (SELECT * REPLACE ({key} AS user_id), {value} AS v, {weight} AS w FROM events)
 WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 """
 
 
-def _running(spark, folder, **options):
-    events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
-    cents, weight = F.round(F.col("value") * 100), 1.0 + F.col("event_id") % 3
-    out = cd.running_weighted_mean(
-        events, cents, weight, ["user_id"], ["ts", "event_id"], **options
-    )
-    return out.select("event_id", "user_id", "avg")
+def _running(events, value, weight):
+    out = cd.running_weighted_mean(events, value, weight, ["user_id"], ["ts", "event_id"])
+    return out.select("event_id", "user_id", F.round("avg", 6).alias("avg"))
 
 
-@query(RUNNING_MEAN)
+# cents are whole numbers, so their sums do not depend on the order of addition
+@query(_running_mean("user_id", "round(value * 100)", "1.0::DOUBLE + event_id % 3"))
 def running_mean(spark, folder):
-    return _running(spark, folder)
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
+    return _running(events, F.round(F.col("value") * 100), 1.0 + F.col("event_id") % 3)
 
 
-@query(RUNNING_MEAN)
+@query(_running_mean(SKEWED, "round(value * 100)", "1.0::DOUBLE + event_id % 3"))
 def running_mean_split(spark, folder):
-    """Keys above 60 rows count as hot, so most users take the split path."""
-    return _running(spark, folder, max_key_rows=60)
+    return _running(
+        _skewed(spark, folder), F.round(F.col("value") * 100), 1.0 + F.col("event_id") % 3
+    )
 
 
 @query("""
@@ -110,22 +121,23 @@ def dense_index(spark, folder):
     return cd.dense_index(orders, [F.col("o_totalprice").desc(), "o_orderkey"]).drop("o_totalprice")
 
 
-KEY_INDEX = """
+def _key_index(key):
+    return f"""
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i
-FROM events
+FROM (SELECT * REPLACE ({key} AS user_id) FROM events)
 """
 
 
-@query(KEY_INDEX)
+@query(_key_index("user_id"))
 def key_index(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts")
     return cd.key_index(events, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query(KEY_INDEX)
+@query(_key_index(SKEWED))
 def key_index_split(spark, folder):
-    events = table(spark, folder, "events").select("event_id", "user_id", "ts")
-    return cd.key_index(events, ["user_id"], ["ts", "event_id"], max_key_rows=60).drop("ts")
+    events = _skewed(spark, folder).drop("value")
+    return cd.key_index(events, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 BATCHES = """
@@ -153,10 +165,11 @@ def batch_sizes(spark, folder):
     return _batches(spark, folder).groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
-KEY_BATCHES = """
-WITH p AS (SELECT o_orderkey, o_orderpriority AS p,
-                  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i,
-                  count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+def _key_batches(key):
+    return f"""
+WITH o AS (SELECT o_orderkey, {key} AS p FROM orders),
+     p AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY o_orderkey) - 1 AS i,
+                  count(*) OVER (PARTITION BY p) AS n FROM o),
      k AS (SELECT *, (n - 1) // 150 + 1 AS k FROM p),
      q AS (SELECT *, n // k AS q, n % k AS r FROM k)
 SELECT o_orderkey, p AS o_orderpriority,
@@ -165,17 +178,22 @@ FROM q
 """
 
 
-@query(KEY_BATCHES)
+@query(_key_batches("o_orderpriority"))
 def key_batches(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     return cd.key_batches(orders, ["o_orderpriority"], ["o_orderkey"], 150)
 
 
-@query(KEY_BATCHES)
+UNEVEN = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END"
+
+
+@query(_key_batches(UNEVEN))
 def key_batches_split(spark, folder):
-    """Every priority holds a fifth of the rows and counts as hot."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
-    return cd.key_batches(orders, ["o_orderpriority"], ["o_orderkey"], 150, max_key_rows=200)
+    """The NULL priority holds a third of the rows."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.expr(UNEVEN).alias("o_orderpriority")
+    )
+    return cd.key_batches(orders, ["o_orderpriority"], ["o_orderkey"], 150)
 
 
 @query("""

@@ -58,8 +58,10 @@ def log_scan(spark, folder):
 
 
 @query(f"""
-SELECT 'app.' || event_type AS logger, {LEVEL} AS level, count(*) AS n
-FROM events GROUP BY ALL
+SELECT date_trunc('second', ts) AS ts, 'app.' || event_type AS logger, CAST(NULL AS VARCHAR) AS func,
+       {LEVEL} AS level, {LEVEL_NO} AS level_no,
+       'event: ' || event_id || ' ' || props AS message
+FROM events
 """)
 def log_stream(spark, folder):
     """The lines read as a stream of text files."""
@@ -67,7 +69,7 @@ def log_stream(spark, folder):
     cd.sink_log_lines(_records(spark, folder), path, "short")
     lines = cd.stream_log_lines(spark, path, "short")
     cd.incremental_job(lines, lambda b: b, staging_path(spark, "checkpoint"), out).awaitTermination()
-    return cd.read_batches(spark, out).groupBy("logger", "level").agg(F.count("*").alias("n"))
+    return cd.read_batches(spark, out)
 
 
 @query("""
@@ -85,10 +87,10 @@ def path_prefixes(spark, folder):
 
 
 @query(f"""
-WITH lines AS (
-  SELECT {LEVEL} AS level FROM events
-  UNION ALL SELECT unnest([NULL, NULL]) AS level FROM events WHERE event_type = 'error')
-SELECT coalesce(level, '') AS level, count(*) AS n FROM lines GROUP BY 1
+SELECT date_trunc('second', ts) AS ts, {LEVEL} AS level, {LEVEL_NO} AS level_no,
+       'event: ' || event_id || ' ' || props AS message
+FROM events
+UNION ALL SELECT NULL, NULL, NULL, unnest(['  at a', '  at b']) FROM events WHERE event_type = 'error'
 """)
 def log_tracebacks(spark, folder):
     """Errors span three lines; the two continuation lines have no level."""
@@ -96,8 +98,7 @@ def log_tracebacks(spark, folder):
     records = _records(spark, folder).withColumn("message", F.coalesce(message, "message"))
     path = staging_path(spark, "log")
     cd.sink_log_lines(records, path, "shorter")
-    lines = cd.scan_log_lines(spark, path, "shorter")
-    return lines.groupBy(F.coalesce("level", F.lit("")).alias("level")).agg(F.count("*").alias("n"))
+    return cd.scan_log_lines(spark, path, "shorter").drop("logger", "func")
 
 
 THRESHOLDS = f"""

@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadence.operators.averages import last_value, weighted_mean
-from cadence.operators.ordering import MAX_KEY_ROWS, columns
+from cadence.operators.ordering import columns
 from cadence.operators.throttling import (
-    POSITION, TIME, Clock, advanced_clocks, fire, fired_rows, make_rule, micros_of,
+    MAX_KEY_ROWS, POSITION, TIME, Clock, advanced_clocks, fire, fired_rows, make_rule, micros_of,
 )
 from cadence.runtime import stage, temporary_stages
 from cadence.sources.states import commit_state, committed_numbers, prune_states, version_path

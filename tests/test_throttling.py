@@ -77,6 +77,17 @@ def test_many_small_keys_cross_arrow_batches(spark):
     assert got == sorted(i for k, t, i in rows if t % 30 == 0)
 
 
+@pytest.mark.parametrize("limit", [None, 5])
+@pytest.mark.parametrize("key", [
+    "double('NaN')", "CAST(NULL AS DOUBLE)", "named_struct('a', 1, 'b', double('NaN'))",
+    "IF(id % 2 = 0, 0.0D, -0.0D)",
+])
+def test_odd_keys_are_one_key_on_either_path(spark, key, limit):
+    df = spark.range(40).selectExpr(f"{key} AS k", "id * 1000.0D AS t", "id")
+    got = cd.throttle(df, "k", "t", seconds=3000, max_key_rows=limit).collect()
+    assert sorted(r.id for r in got) == list(range(0, 40, 3))
+
+
 def test_rows_without_a_time_never_fire(spark):
     df = spark.createDataFrame([(1, None, 1), (1, 5.0, 2)], "k int, t double, id int")
     assert [r.id for r in cd.throttle(df, "k", "t", seconds=1).collect()] == [2]
