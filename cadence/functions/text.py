@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 Formatter = Callable[[Column, T.DataType], Column]
 
-_ENOUGH_DIGITS = 2.0**40  # below, 17 digits hold the number and some decimals exactly
+_DIGITS = 16  # as many ``format_number`` prints exactly
 _LONG_LIMIT = 2.0**63
+_LIMB = 10**9  # longer numbers are kept nine digits to an array element, lowest first
+_SHIFT = 29  # 2**29 times an element still fits a BIGINT, and its carry an element
 
 
 def _special(value: Column, ordinary: Column) -> Column:
@@ -29,18 +31,56 @@ def _decimal_format(value: Column, pattern: str) -> Column:
     return F.call_function("format_number", value, F.lit(pattern))
 
 
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
+
+def _times(limbs: Column, factor: Column) -> Column:
+    def step(done: Column, limb: Column) -> Column:
+        product = limb * factor + done["carry"]
+        digits = F.concat(done["limbs"], F.array(product % _LIMB))
+        return F.struct(digits.alias("limbs"), _div(product, _LIMB).alias("carry"))
+
+    def finish(done: Column) -> Column:
+        longer = F.concat(done["limbs"], F.array(done["carry"]))
+        return F.when(done["carry"] > 0, longer).otherwise(done["limbs"])
+
+    start = F.struct(
+        F.array().cast("array<bigint>").alias("limbs"), F.lit(0).cast("bigint").alias("carry")
+    )
+    return F.aggregate(limbs, start, step, finish)
+
+
+def _huge_digits(size: Column) -> Column:
+    """All digits of a double from 2**63 on: a BIGINT times a power of two, both exact."""
+    def power(n: Column) -> Column:
+        return F.pow(F.lit(2.0), n)
+
+    shift = F.floor(F.log2(size)) - 56  # one off either way would do as well
+    number = (size / power(shift)).cast("bigint")
+    limbs = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), _div(shift, _SHIFT)),
+        F.array(number % _LIMB, _div(number, _LIMB)),
+        lambda so_far, i: _times(
+            so_far, power(F.least(F.lit(_SHIFT), shift - i * _SHIFT)).cast("bigint")
+        ),
+    )
+    texts = F.transform(F.reverse(limbs), lambda limb: F.lpad(limb.cast("string"), 9, "0"))
+    return F.ltrim(F.array_join(texts, ""), F.lit("0"))
+
+
 def fixed_text(value: Column | str, digits: int = 2) -> Column:
     """``value`` with a fixed number of decimals, rounded on its exact binary value.
 
     ``format_number`` rounds the exact value half-even, unlike ``format_string``, so
     0.125 gives 0.12 and 1.005 gives 1.00.  It prints no more than 17 digits, though, so
-    large numbers are split into a BIGINT and the exact rest.  From 2**63 on the text
-    has the digits that identify the number, padded with zeros.
+    large numbers are split into a BIGINT and the exact rest.  From 2**63 on a number is
+    whole, and its digits are multiplied out.
     """
     value = (F.col(value) if isinstance(value, str) else value).cast("double")
     pattern = "0." + "0" * digits if digits else "0"
     size = F.abs(value)
-    in_long = (size >= _ENOUGH_DIGITS) & (size < _LONG_LIMIT)
+    in_long = (size >= min(2.0**40, 10.0 ** (_DIGITS - digits))) & (size < _LONG_LIMIT)
     sign = F.when(value < 0, "-").otherwise("")
     if digits:
         whole = F.when(in_long, size).cast("bigint")
@@ -49,7 +89,11 @@ def fixed_text(value: Column | str, digits: int = 2) -> Column:
         large = F.concat(sign, carried.cast("string"), F.substring(rest, 2, digits + 1))
     else:
         large = F.concat(sign, F.when(in_long, F.rint(size)).cast("bigint").cast("string"))
-    return _special(value, F.when(in_long, large).otherwise(_decimal_format(value, pattern)))
+    in_huge = (size >= _LONG_LIMIT) & (size < float("inf"))
+    zeros = F.lit("." + "0" * digits if digits else "")
+    huge = F.concat(sign, _huge_digits(F.when(in_huge, size)), zeros)
+    text = F.when(in_long, large).when(in_huge, huge).otherwise(_decimal_format(value, pattern))
+    return _special(value, text)
 
 
 def plain_text(value: Column | str, dtype: T.DataType) -> Column:
@@ -79,10 +123,17 @@ def _float_text(value: Column) -> Column:
     def scientific(decimals: int) -> Column:
         return F.format_string(f"%.{decimals}e", value)
 
+    def raised(text: Column) -> Column:
+        """The next number of 16 digits: the JVM rounds digits that it has cut before."""
+        parts = F.split(text, "e")
+        digits = F.replace(parts[0], F.lit("."), F.lit("")).cast("bigint")
+        up = (digits + F.signum(digits).cast("bigint")).cast("string")
+        return F.concat(F.regexp_replace(up, r"^(-?\d)(\d{15})$", "$1.$2"), F.lit("e"), parts[1])
+
     best = scientific(16)
-    for decimals in (15, 14):
-        fewer = scientific(decimals)
-        best = F.when(fewer.cast("double") == value, fewer).otherwise(best)
+    ordinary = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), scientific(15))
+    for fewer in (raised(ordinary), scientific(15), scientific(14)):
+        best = F.when(fewer.try_cast("double") == value, fewer).otherwise(best)
     positional = F.regexp_replace(
         best.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1"
     )
@@ -94,20 +145,59 @@ def _float_text(value: Column) -> Column:
     )
 
 
+def _grouped(text: Column) -> Column:
+    """Commas between thousands of the whole part."""
+    whole = F.regexp_extract(text, r"^-?\d*", 0)
+    rest = F.substring(text, F.length(whole) + 1, F.length(text))
+    return F.concat(F.regexp_replace(whole, r"\B(?=(?:\d{3})+$)", ","), rest)
+
+
+def _zero_filled(text: Column, width: int) -> Column:
+    """Zeros between sign and digits up to ``width`` characters; longer text stays."""
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.substring(text, F.length(sign) + 1, F.length(text))
+    size = F.greatest(F.length(digits), F.lit(width) - F.length(sign))
+    return F.concat(sign, F.lpad(digits, size, F.lit("0")))
+
+
+_CELL = re.compile(r"\{:(?:0(?P<width>\d+))?(?P<comma>,?)(?:\.(?P<digits>\d+))?(?P<kind>[df%])\}")
+
+
 def formatter(spec: str | Formatter) -> Formatter:
-    """``{}`` and ``{:.Nf}`` as in Python, or a function (column, type) -> column.
+    """Python's ``{}``, ``{:d}``, ``{:.2f}`` and ``{:.1%}``, or a function (column, type) -> column.
 
-    A missing value prints as ``None``, in a column with decimals as ``nan``.
+    The last three take a comma (``{:,.2f}``) or zeros up to a width (``{:05d}``), not both.  A
+    missing value prints as ``None``, in a column with decimals as ``nan``.
     """
     if callable(spec):
         return spec
     if spec == "{}":
         return plain_text
-    fixed = re.fullmatch(r"\{:\.(\d+)f\}", spec)
-    if fixed is None:
+    cell = _CELL.fullmatch(spec)
+    if cell is None or (cell["width"] and cell["comma"]) or (cell["kind"] == "d" and cell["digits"]):
         raise ValueError(f"Unsupported cell format {spec!r}; pass a function instead")
-    digits = int(fixed.group(1))
-    return lambda value, _dtype: F.coalesce(fixed_text(value, digits), F.lit("nan"))
+    digits = 6 if cell["digits"] is None else int(cell["digits"])
+
+    def whole(value: Column, dtype: T.DataType) -> Column:
+        if not isinstance(dtype, T.IntegralType):
+            raise ValueError(f"{spec!r} is for whole numbers, not {dtype.simpleString()}")
+        return value.cast("string")
+
+    def decimal(value: Column, _dtype: T.DataType) -> Column:
+        scaled = value.cast("double") * 100 if cell["kind"] == "%" else value
+        return F.coalesce(fixed_text(scaled, digits), F.lit("nan"))
+
+    def shown(value: Column, dtype: T.DataType) -> Column:
+        text = (whole if cell["kind"] == "d" else decimal)(value, dtype)
+        plain = text.rlike(r"^-?\d")  # not nan or inf
+        if cell["comma"]:
+            text = F.when(plain, _grouped(text)).otherwise(text)
+        if cell["width"]:
+            width = int(cell["width"]) - (cell["kind"] == "%")
+            text = F.when(text.isNotNull(), _zero_filled(text, width))
+        return F.concat(text, F.lit("%")) if cell["kind"] == "%" else text
+
+    return shown
 
 
 def aligned(text: Column, width: Column, alignment: str = "<") -> Column:

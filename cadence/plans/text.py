@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import cadence as cd
+from cadence.functions.text import formatter as cell_text
 from cadence.plans.registry import query, table
 from cadence.runtime import staging_path
 
@@ -152,6 +153,29 @@ def column_widths(spark, folder):
     )
 
 
+@query("""
+SELECT o_orderkey, printf('%.2f', o_totalprice * 1e15) AS huge,
+       format('{:,.2f}', o_totalprice) AS grouped, format('{:,}', o_custkey) AS whole,
+       printf('%08d', o_custkey) AS filled, printf('%.1f', o_totalprice * 100) || '%' AS share
+FROM orders
+""")
+def number_cells(spark, folder):
+    """Cells in the usual number formats; 1e15 prices need up to 21 digits before the point."""
+    orders = table(spark, folder, "orders")
+    cells = {
+        "huge": (F.col("o_totalprice") * 1e15, "{:.2f}", "o_totalprice"),
+        "grouped": (F.col("o_totalprice"), "{:,.2f}", "o_totalprice"),
+        "whole": (F.col("o_custkey"), "{:,d}", "o_custkey"),
+        "filled": (F.col("o_custkey"), "{:08d}", "o_custkey"),
+        "share": (F.col("o_totalprice"), "{:.1%}", "o_totalprice"),
+    }
+    return orders.select(
+        "o_orderkey",
+        *(cell_text(spec)(value, orders.schema[like].dataType).alias(name)
+          for name, (value, spec, like) in cells.items()),
+    )
+
+
 @query("""
 WITH t AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS a, s_name AS b,
                   printf('%.2f', s_acctbal) AS c FROM supplier
