@@ -90,6 +90,18 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == every
 
 
+def test_near_duplicates_keep_rows_without_or_with_repeated_ids(spark, tmp_path):
+    rng = random.Random(12)
+    one, two, three, four, five = (
+        " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, one), (None, one), (None, two), (None, two), (None, three),
+            (7, four), (7, one), (7, five), (8, four), (7, four)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(1, one), (None, two), (None, three), (7, four), (7, five)], key=str)
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
