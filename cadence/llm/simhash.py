@@ -1,8 +1,9 @@
 """Near-duplicates by SimHash and multi-index hashing.
 
 :func:`near_duplicate_groups` links 64-bit fingerprints at up to 4 differing bits, exactly.
-:func:`similar_groups` links longer fingerprints at a similarity of shingle sets, which takes
-more differing bits than any guarantee could enumerate; its balls flip the least certain bits.
+:func:`similar_groups` links texts at a similarity of shingle sets, which takes more differing
+bits than any guarantee could enumerate; pairs that share one of their rarer shingles are
+candidates, and each link is verified on the texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.components import connected_components
@@ -27,10 +28,15 @@ CROWD = 1024
 
 WIDE_WORDS = 3
 """64-bit words of the longer fingerprint."""
-WIDE_SEGMENT_BITS = 24
-"""Bits of its segments: about the logarithm of the number of texts keeps buckets small."""
-UNCERTAIN_BITS = 4
-"""Bits of a segment that are flipped in all combinations, those set nearest to half the time."""
+FREQUENT_ROWS, FREQUENT = 5_000, 200_000
+"""Rows that are looked through for frequent shingles, and how many of those are kept at most.
+They only decide in which order shingles are entered, hence how large buckets are."""
+STAR_KEYS = 8
+"""Keys of a node by which representatives are found."""
+SMALL = 32
+"""Sets with fewer shingles are not told apart by fingerprints."""
+LEAST_LINKED = 20
+"""Representatives are tried again while they link more than one node in so many."""
 # additive constants that give one hash several independent words (fixed values)
 _WORD_SALTS = (0x0, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
 
@@ -232,9 +238,8 @@ def _grouped(marked: DataFrame, prints: DataFrame, links: DataFrame) -> DataFram
     )
 
 
-def wide_fingerprint(text: bytes | None, words_per_shingle: int) -> tuple[bytes, list[int]]:
-    """The longer fingerprint and the keys it is entered under in the segments' tables."""
-    hashes = shingle_hashes(text or b"", words_per_shingle)
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The longer fingerprint of a set of hashes."""
     ones = np.zeros(BITS * WIDE_WORDS, np.int64)
     for at in range(0, len(hashes), 1 << 12):
         part = hashes[at:at + (1 << 12)]
@@ -244,116 +249,243 @@ def wide_fingerprint(text: bytes | None, words_per_shingle: int) -> tuple[bytes,
             words[:, k] = part if not k else mixed ^ (mixed >> np.uint64(29))
         bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    margin = 2 * ones - len(hashes)
-    bits = margin > 0
-    segments = bits.reshape(-1, WIDE_SEGMENT_BITS)
-    values = segments @ (1 << np.arange(WIDE_SEGMENT_BITS))
-    order = np.argsort(np.abs(margin).reshape(segments.shape), axis=1, kind="stable")
-    flips = (1 << order[:, :UNCERTAIN_BITS]) @ (
-        (np.arange(1 << UNCERTAIN_BITS)[None, :] >> np.arange(UNCERTAIN_BITS)[:, None]) & 1
-    )
-    tables = np.arange(len(segments))[:, None] << WIDE_SEGMENT_BITS
-    keys = (values[:, None] ^ flips) | tables
-    return np.packbits(bits, bitorder="little").tobytes(), keys.ravel().tolist()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
 def wide_distance(similarity: float) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity, and one
-    standard deviation more."""
+    """Differing bits expected of two shingle sets with this Jaccard similarity, and six standard
+    deviations more: about one such pair in a billion differs in more."""
     bits, share = BITS * WIDE_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
 
 
-def _wide_forest(prints: np.ndarray, distance: int) -> tuple[list, list]:
-    """Like :func:`_forest`, for rows of several words; returns row numbers.
+def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set, in an order that holds for all sets: frequent ones come last.
 
-    What is connected is linked with its first row; buckets are in order of the fingerprint, so
-    those of one crowd often agree on their links."""
-    left, a, b = np.arange(len(prints)), [], []
-    while len(left):
-        first, left = int(left[0]), left[1:]
-        reached = [first]
-        while reached and len(left):
-            node = reached.pop()
-            near = np.bitwise_count(prints[left] ^ prints[node]).sum(axis=1) <= distance
-            found = left[near].tolist()
-            a += [first] * len(found)
-            b += found
-            reached += found
-            left = left[~near]
-    return a, b
-
-
-def _wide_verified(distance: int):
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            edges = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.append(0, edges), np.append(edges, len(keys))
-            two = starts[ends - starts == 2]
-            near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= distance
-            a, b = two[near].tolist(), (two[near] + 1).tolist()
-            more = ends - starts > 2
-            for start, end in zip(starts[more].tolist(), ends[more].tolist()):
-                one, other = _wide_forest(prints[start:end], distance)
-                a += [start + k for k in one]
-                b += [start + k for k in other]
-            pairs = {(prints[x].tobytes(), prints[y].tobytes()) for x, y in zip(a, b)}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"]
-            )
-
-        kept_keys, kept = np.empty(0, np.int64), np.empty((0, WIDE_WORDS), "<u8")
-        for batch in batches:
-            data = b"".join(batch.column(1).to_pylist())
-            keys = np.concatenate([kept_keys, batch.column(0).to_numpy()])
-            prints = np.concatenate([kept, np.frombuffer(data, "<u8").reshape(-1, WIDE_WORDS)])
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if last:
-                yield links(keys[:last], prints[:last])
-            kept_keys, kept = keys[last:], prints[last:]
-        if len(kept):
-            yield links(kept_keys, kept)
-
-    return verified
+    Two sets of the similarity share at least ``ceil(similarity * n)`` of the ``n`` hashes of
+    either, so they share one of the first ``n - ceil(similarity * n) + 1``.  ``frequent`` is
+    sorted; ``ranks`` has the place of each in the order.
+    """
+    place = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        place = np.where(frequent[at] == hashes, ranks[at] + 1, 0)
+    length = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+    return hashes[np.lexsort((hashes, place))[:length]]
+
+
+def frequent_shingles(rows: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that recur in some of the rows, and their ranks by frequency."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashes_of(texts: pa.Array) -> pa.Array:
+        found = [np.unique(shingle_hashes(t.as_py() or b"", words_per_shingle)) for t in texts]
+        return pa.array([f.view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
+
+    every = max(1, rows.count() // FREQUENT_ROWS)
+    counts = (
+        rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+        .select(F.explode(hashes_of("text")).alias("h")).groupBy("h").count().where("count >= 4")
+        .orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    )
+    hashes = counts["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes (sorted, distinct) have this Jaccard similarity."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= 1 and shared / (len(a) + len(b) - shared) >= similarity
+
+
+class _Candidates:
+    """Pairs of distinct shingle sets that share a key and are near by fingerprint and size.
+
+    All steps are Spark joins and combined aggregates.  ``prints`` has a row per shingle set:
+    ``node, row, first_id, words, size, keys``.
+    """
+
+    def __init__(self, prints: DataFrame, distance: int, similarity: float):
+        self.prints, self.distance, self.similarity = prints, distance, similarity
+        self.shape = prints.select("node", "words", "size")
+
+    def _near(self, x: str, y: str) -> Column:
+        size_x, size_y = F.col(f"{x}.size"), F.col(f"{y}.size")
+        # a similarity is never above the sizes' ratio
+        less, more = F.least(size_x, size_y), F.greatest(size_x, size_y)
+        near = (less < SMALL) | (self._bits(x, y) <= self.distance)  # the spread holds for many
+        return near & (less / more >= self.similarity)
+
+    @staticmethod
+    def _bits(x: str, y: str) -> Column:
+        return sum(
+            F.bit_count(F.col(f"{x}.words")[k].bitwiseXOR(F.col(f"{y}.words")[k]))
+            for k in range(WIDE_WORDS)
+        )
+
+    def _buckets(self, labels: DataFrame, keys: Column, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Entries, and per key with several labels its size, its commonest label and one node of it."""
+        entries = (
+            self.prints.select("node", keys.alias("keys")).join(labels, "node", "left")
+            .select(F.explode("keys").alias("key"), "node", F.coalesce("label", "node").alias("label"))
+        )
+        counts = entries.groupBy("key", "label").agg(
+            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("m")
+        )
+        mains = counts.groupBy("key").agg(
+            F.max(F.struct("n", "label", "m")).alias("main"), F.sum("n").alias("n"),
+            F.count("*").alias("labels"),
+        ).where("labels > 1").select(
+            "key", "n", F.col("main.label").alias("main"), F.col("main.m.node").alias("b")
+        )
+        return entries, mains
+
+    def nearest_stars(self, labels: DataFrame, turn: int) -> DataFrame:
+        """``a, b``: each node and the nearest of its buckets' representatives."""
+        drawn = F.transform("keys", lambda k: F.struct(F.xxhash64(k, F.lit(turn)).alias("by"), k.alias("k")))
+        own = F.slice(F.sort_array(drawn), 1, STAR_KEYS)["k"]  # near copies draw much the same
+        entries, mains = self._buckets(labels, own, turn)
+        pairs = (
+            entries.join(mains, "key").where("label <> main")
+            .select(F.col("node").alias("a"), "b").distinct()
+        )
+        x = self.shape.select(F.col("node").alias("a"), F.struct("words", "size").alias("x"))
+        y = self.shape.select(F.col("node").alias("b"), F.struct("words", "size").alias("y"))
+        return (
+            pairs.join(x, "a").join(y, "b").where(self._near("x", "y"))
+            .groupBy("a").agg(F.min(F.struct(self._bits("x", "y"), "b")).alias("m"))
+            .select("a", "m.b")
+        )
+
+    def between_labels(self, labels: DataFrame) -> DataFrame:
+        """``a, b, label_b, bits``: all pairs of nodes with different labels, where ``a`` has
+        another than its bucket's commonest; a pair without such a node has one label."""
+        entries, mains = self._buckets(labels, F.col("keys"), 0)
+        shared = stage(
+            entries.join(mains.drop("b"), "key").join(self.shape, "node"), "buckets"
+        )
+        others = shared.where("label <> main").alias("x")
+        return (
+            others.join(shared.alias("y"), F.expr("x.key = y.key and x.label <> y.label")
+                        & self._near("x", "y"))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
+                    F.col("y.label").alias("label_b"), self._bits("x", "y").alias("bits"))
+            .distinct()
+        )
+
+
+def _verified_pairs(
+    pairs: DataFrame, prints: DataFrame, rows: DataFrame, words_per_shingle: int, similarity: float
+) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose texts have the similarity."""
+
+    @F.arrow_udf("boolean")
+    def same(one: pa.Array, other: pa.Array) -> pa.Array:
+        kept, found = {}, []
+        for x, y in zip(one, other):
+            sets = []
+            for text in (x.as_py(), y.as_py()):
+                if text not in kept:
+                    if len(kept) > 16:
+                        kept.pop(next(iter(kept)))
+                    kept[text] = np.unique(shingle_hashes(text, words_per_shingle))
+                sets.append(kept[text])
+            found.append(alike(*sets, similarity))
+        return pa.array(found, pa.bool_())
+
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = prints.select("node", "row").join(needed, "node", "left_semi").join(rows, "row").select(
+        "node", "text"
+    )
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(one, "a").join(other, "b").where(same("text_a", "text_b")).select("a", "b")
 
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5,
-    similarity: float = 0.8,
+    similarity: float = 0.8, row_col: str | None = None,
 ) -> DataFrame:
     """``id, fp, component`` as :func:`near_duplicate_groups`, for a similarity of shingle sets.
 
-    Fingerprints of 192 bits are linked at the distance expected of that Jaccard similarity.
-    Each of eight segments is entered under the 16 values that differ in its four least certain
-    bits, where near copies differ first; entries with one key are compared.  A bucket links
-    what its members connect: as soon as one of them is reached it is not compared again, so a
-    crowd of near copies costs about its size.  Texts without words form a group.
+    Texts with one shingle set are a node, ``fp`` its digest.  Each is entered under the first
+    fifth (at 0.8) of its shingles in one order, the frequent last, where any two sets of the
+    similarity meet.  Pairs that share a key and are near by size and by fingerprints of 192 bits
+    are candidates.  A pair is linked if the shingle sets of its two texts have the Jaccard
+    similarity, and only then.
+
+    First each node is tested against the nearest representative of its buckets, as long as
+    that links many; a crowd of near copies costs about its size.  Then all pairs of a bucket
+    that no link connects yet are tested, those nearest by fingerprint first.  Texts without
+    words form a group.  ``row_col`` names a written column that tells rows apart; without it
+    the rows are numbered and written here.
     """
-    kind = pa.struct([("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    kind = pa.struct([("fp", pa.binary()), ("words", pa.list_(pa.int64())), ("size", pa.int32()),
+                      ("keys", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<fp:binary,keys:array<bigint>>")
+    def described(text: bytes | None) -> dict:
+        hashes = np.unique(shingle_hashes(text or b"", words_per_shingle))
+        keys = prefix_keys(hashes, frequent, ranks, similarity) if len(hashes) else hashes
+        return {"fp": xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()),
+                "words": np.frombuffer(wide_fingerprint(hashes), "<i8").tolist(),
+                "size": len(hashes), "keys": keys.view(np.int64).tolist()}
+
+    @F.arrow_udf("struct<fp:binary,words:array<bigint>,size:int,keys:array<bigint>>")
     def prints_of(texts: pa.Array) -> pa.Array:
-        found = [wide_fingerprint(t.as_py(), words_per_shingle) for t in texts]
-        return pa.array([{"fp": fp, "keys": keys} for fp, keys in found], kind)
+        return pa.array([described(t.as_py()) for t in texts], kind)
 
-    marked = stage(
-        docs.select(F.col(id_col).alias("id"),
-                    prints_of(F.col(text_col).cast("binary")).alias("p")).select("id", "p.*"),
-        "fingerprints",
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(
+        number.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")
     )
+    rows = rows if row_col else stage(rows, "rows")
+    frequent, ranks = frequent_shingles(rows, words_per_shingle)
+    marked = stage(rows.select("row", "id", prints_of("text").alias("p")).select("row", "id", "p.*"),
+                   "fingerprints")
     prints = stage(
-        marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.any_value("keys").alias("keys")),
+        marked.groupBy("fp").agg(
+            F.min("id").alias("first_id"), F.min("row").alias("row"),
+            F.any_value(F.struct("words", "size", "keys")).alias("p"),
+        ).select(F.monotonically_increasing_id().alias("node"), "fp", "first_id", "row", "p.*"),
         "distinct",
     )
-    found = (
-        prints.select(F.explode("keys").alias("key"), "fp")
-        .repartition("key").sortWithinPartitions("key", "fp")
-        .mapInArrow(_wide_verified(wide_distance(similarity)), "a binary, b binary")
-    )
-    # a member has one link per key at most; all its partners are linked with the smallest
-    stars = found.groupBy("b").agg(F.collect_set("a").alias("partners")).select(
-        F.explode(F.array_append("partners", F.col("b"))).alias("a"),
-        F.array_min("partners").alias("b"),
-    )
-    links = stage(stars.where("a <> b").distinct(), "similar")
-    return _grouped(marked.select("id", "fp"), prints.drop("keys"), links)
+    nodes, texts = prints.count(), rows.select("row", "text")
+    spark = docs.sparkSession
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    labels = spark.createDataFrame([], "node bigint, label bigint")
+    proposed = _Candidates(prints, wide_distance(similarity), similarity)
+
+    def test(pairs: DataFrame) -> int:
+        nonlocal links, labels
+        found = stage(_verified_pairs(pairs, prints, texts, words_per_shingle, similarity), "similar")
+        passed = found.count()
+        if passed:
+            links = links.union(found)
+            labels = stage(connected_components(links), "components").select(
+                "node", F.col("component").alias("label"))
+        return passed
+
+    turn = 0
+    while test(stage(proposed.nearest_stars(labels, turn), "stars")) * LEAST_LINKED > nodes:
+        turn += 1
+    tested, nearest = spark.createDataFrame([], "a bigint, b bigint"), 8
+    while True:
+        rank = F.row_number().over(Window.partitionBy("a", "label_b").orderBy("bits", "b"))
+        pairs = proposed.between_labels(labels).select(
+            F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "*"
+        ).join(tested.select(F.col("a").alias("low"), F.col("b").alias("high")),
+               ["low", "high"], "left_anti")
+        pairs = stage(pairs.withColumn("rank", rank).where(F.col("rank") <= nearest + 1), "pairs")
+        now = stage(pairs.where(F.col("rank") <= nearest).select(
+            F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "tested")
+        test(now)
+        if pairs.where(F.col("rank") > nearest).isEmpty():
+            break
+        tested, nearest = tested.union(now), nearest * 4
+    rooted = prints.join(labels, "node", "left").select(
+        "fp", "first_id", F.coalesce("label", "node").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
+    return marked.select("id", "fp").join(
+        rooted.join(roots, "root").select("fp", "component"), "fp"
+    ).select("id", "fp", "component")

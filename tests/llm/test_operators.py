@@ -345,6 +345,29 @@ def test_similar_groups(spark):
     assert got == {k: family.index(f) for k, f in enumerate(family)}
 
 
+def test_similar_groups_join_no_pair_below_the_similarity(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):  # chains of five, whose neighbours are about 0.74, 0.78, 0.82 and 0.9 alike
+        words = [f"v{rng.randint(0, 10**6)}" for _ in range(400)]
+        texts.append(" ".join(words))
+        for edits in (12, 10, 8, 4):
+            words = list(words)
+            for at in range(0, edits * 30, 30):
+                words[at + rng.randint(0, 20)] = f"edit{rng.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(396)} for t in texts]
+    root = list(range(len(texts)))
+    for y in range(len(texts)):
+        for x in range(y - y % 5, y):
+            if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8 and root[x] != root[y]:
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root = [new if r == old else r for r in root]
+    assert 45 < len(set(root)) < 190
+    got = {r.id: r.component for r in sh.similar_groups(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+
+
 # 7
 
 
