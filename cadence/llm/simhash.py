@@ -33,6 +33,8 @@ FREQUENT_ROWS, FREQUENT = 5_000, 200_000
 They only decide in which order shingles are entered, hence how large buckets are."""
 STAR_KEYS = 8
 """Keys of a node by which representatives are found."""
+BLOCK = 4096
+"""Entries of a bucket that meet in one place; larger buckets are dealt into blocks."""
 SMALL = 32
 """Sets with fewer shingles are not told apart by fingerprints."""
 LEAST_LINKED = 20
@@ -358,19 +360,28 @@ class _Candidates:
             .select("a", "m.b")
         )
 
+    @staticmethod
+    def _dealt(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries of other labels than their bucket's commonest, once for each block of the
+        bucket, and all entries in blocks of about ``BLOCK``, which a join may have to hold."""
+        blocks = F.ceil(F.col("n") / BLOCK)
+        others = shared.where("label <> main").withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        return others, shared.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+
     def between_labels(self, labels: DataFrame) -> DataFrame:
-        """``a, b, label_b, bits``: all pairs of nodes with different labels, where ``a`` has
+        """``a, b, bits``: all pairs of nodes with different labels, where ``a`` has
         another than its bucket's commonest; a pair without such a node has one label."""
         entries, mains = self._buckets(labels, F.col("keys"), 0)
         shared = stage(
             entries.join(mains.drop("b"), "key").join(self.shape, "node"), "buckets"
         )
-        others = shared.where("label <> main").alias("x")
+        others, members = self._dealt(shared)
+        same_block = F.expr("x.key = y.key and x.block = y.block and x.label <> y.label")
         return (
-            others.join(shared.alias("y"), F.expr("x.key = y.key and x.label <> y.label")
-                        & self._near("x", "y"))
+            others.alias("x").join(members.alias("y"), same_block & self._near("x", "y"))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
-                    F.col("y.label").alias("label_b"), self._bits("x", "y").alias("bits"))
+                    self._bits("x", "y").alias("bits"))
             .distinct()
         )
 
@@ -471,7 +482,7 @@ def similar_groups(
         turn += 1
     tested, nearest = spark.createDataFrame([], "a bigint, b bigint"), 8
     while True:
-        rank = F.row_number().over(Window.partitionBy("a", "label_b").orderBy("bits", "b"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
         pairs = proposed.between_labels(labels).select(
             F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "*"
         ).join(tested.select(F.col("a").alias("low"), F.col("b").alias("high")),

@@ -368,6 +368,38 @@ def test_similar_groups_join_no_pair_below_the_similarity(spark):
     assert got == dict(enumerate(root))
 
 
+def test_similar_groups_deal_a_crowd_into_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"v{rng.randint(0, 10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), 2):
+            words[at] = f"edit{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(50)) + " " + " ".join(base[:60])
+              for _ in range(20)]
+    monkeypatch.setattr(sh, "BLOCK", 50)
+    dealt, largest = sh._Candidates._dealt, []
+
+    def seen(shared):
+        others, members = dealt(shared)
+        largest.append(members.groupBy("key", "block").count().agg(F.max("count")).first()[0])
+        return others, members
+
+    monkeypatch.setattr(sh._Candidates, "_dealt", staticmethod(seen))
+    got = {r.id: r.component for r in sh.similar_groups(frame(spark, texts)).collect()}
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for y in range(len(texts)):
+        for x in range(y):
+            if root[x] != root[y] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8:
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root = [new if r == old else r for r in root]
+    assert got == dict(enumerate(root))
+    assert largest and max(filter(None, largest), default=0) <= 100
+
+
 # 7
 
 
