@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from cadence.llm.decontamination import contamination
 from cadence.llm.fingerprints import fingerprint, likeness
+from cadence.llm.hard_negatives import mine_hard_negatives
 from cadence.llm.language_id import held_out, identify
+from cadence.llm.line_dedup import dedup_lines
 from cadence.llm.neighbours import map_with_next
 from cadence.llm.packing import pack
+from cadence.llm.periodic_runs import collapse_runs
 from cadence.llm.simhash import hex_digits, near_duplicate_groups
 from cadence.llm.storage import shared_folder
 from cadence.llm.token_counts import context_totals, length_histogram
@@ -304,3 +307,104 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query(r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l
+      FROM documents),
+    x AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM d),
+    y AS (
+      SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM x),
+    g AS (
+      SELECT key, max(doc_id) AS last FROM y WHERE length(key) >= 20
+      GROUP BY key HAVING count(DISTINCT r) >= 3),
+    z AS (SELECT y.*, coalesce(last > doc_id, false) AS gone FROM y LEFT JOIN g USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+    FROM z GROUP BY r, doc_id
+""")
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = dedup_lines(docs, least_chars=20, least_documents=3)
+    return kept.select(
+        "doc_id", "lines.n_lines", "lines.n_dropped",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by its id's hash, with its tail replaced by repeats of the tail's head."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def edited(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        left = n - a
+        p = 1 + F.floor(left / (3 + g % 8)).cast("int")
+        head, unit = F.slice(words, 1, a), F.slice(words, a + 1, p)
+        tail = F.flatten(F.array_repeat(unit, F.ceil(left / p).cast("int")))
+        return F.when(n == 0, F.lit("")).otherwise(
+            F.array_join(F.concat(head, F.slice(tail, 1, left)), " "))
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = F.transform(F.array(words), edited)[0]  # one evaluation of the words
+    return docs.withColumn("text", F.when(h % 10 == 0, chosen).otherwise(F.col("text")))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_periodic_tails(table(spark, folder, "documents").select("doc_id", "text"))
+    found = collapse_runs(docs, least_length=6, power=4).select("doc_id", "periodic.*")
+
+    def greater(best, run):
+        one, other = run["length"] * best["period"], best["length"] * run["period"]
+        return best.isNull() | (one > other)  # runs come by start and period, so ties stay
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(greater(b, r), r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(r"""
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same,
+        list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, br) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+      (row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.vec_id, s.br))::INT AS rank,
+      s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.ar = s.ar AND NOT s.same
+      AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+    QUALIFY row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.vec_id, s.br) <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, folder, "embeddings").where(finite).select(
+        "vec_id", whole.alias("embedding"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+    )
+    return mine_hard_negatives(
+        rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, ratio=(80, 100))

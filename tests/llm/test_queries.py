@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in llm.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in llm.QUERIES) == list(range(1, 14))
 
 
 def test_tool_calls_stay_in_the_jvm(spark):
