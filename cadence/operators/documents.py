@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +11,8 @@ from cadence.functions.json_text import OBJECT, as_object
 from cadence.functions.text import path_prefixes
 from cadence.operators.ordering import columns
 
-# Defaults handled by one expression; a longer configuration takes several.
-CONFIG_CHUNK = 200
+# Defaults of a configuration that stand in one array.
+CONFIG_BLOCK = 256
 
 
 def flattened(doc: Column, sep: str = ".", keep: Collection[str] = (),
@@ -109,7 +108,8 @@ def merge_defaults_long(user_rows: DataFrame, defaults: DataFrame,
     NULL path, as ``flatten_json(keep_empty=True)`` writes it.
 
     ``defaults`` with the ``row_id`` columns holds each document's own defaults and is
-    joined; without them it is a configuration (path, value) every document receives.
+    joined; without them it is a configuration (path, value) every document receives,
+    of any size: it stays a table, and is counted to be dealt into blocks.
     """
     row_id = [row_id] if isinstance(row_id, str) else list(row_id)
     if set(row_id) <= set(defaults.columns):
@@ -117,39 +117,68 @@ def merge_defaults_long(user_rows: DataFrame, defaults: DataFrame,
     return _merge_config(user_rows, defaults, row_id, sep)
 
 
+def _config_blocks(defaults: DataFrame, sep: str) -> tuple[DataFrame, int]:
+    """Defaults (path, value, the paths above it, block), and the number of blocks.
+
+    A block holds about ``CONFIG_BLOCK`` defaults and is what one array of a row holds.
+    """
+    given = defaults.select("path", "value").where("path is not null")
+    blocks = max(1, -(-given.count() // CONFIG_BLOCK))
+    prefixes = path_prefixes("path", sep)
+    return given.select(
+        F.pmod(F.xxhash64("path"), F.lit(blocks)).alias("__block"), "path", "value",
+        F.slice(prefixes, F.lit(1), F.size(prefixes) - 1).alias("above"),
+    ), blocks
+
+
 def _merge_config(user_rows: DataFrame, defaults: DataFrame, row_id: list[str],
                   sep: str) -> DataFrame:
-    config = [(r["path"], r["value"]) for r in defaults.select("path", "value").collect()]
+    """Paths of both sides meet by their prefixes; one shuffle on the row id brings together
+    what a document has at paths that matter, which is at most its own paths and prefixes."""
+    given, blocks = _config_blocks(defaults, sep)
     user_rows = user_rows.select(*columns([*row_id, "path", "value"]))
     path, is_node = F.col("path"), F.col("value") == "{}"
-    below_this = F.concat(path, F.lit(sep))
-    kept, added = user_rows.where(path.isNotNull()), []
-    for start in range(0, len(config), CONFIG_CHUNK):
-        given = F.array(*(
-            F.struct(F.lit(p).alias("path"), F.lit(v).alias("value"))
-            for p, v in config[start:start + CONFIG_CHUNK]
-        ))
-
-        def blocks(default: Column) -> Column:
-            at_or_below = (path == default["path"]) | path.startswith(F.concat(default["path"], F.lit(sep)))
-            return at_or_below | (default["path"].startswith(below_this) & ~is_node)
-
-        blocked = F.transform(F.filter(given, blocks), lambda d: d["path"])
-        # only paths of this chunk are collected, so no group outgrows the chunk
-        per_document = (
-            user_rows.select(*columns(row_id), F.explode_outer(blocked).alias("__blocked"))
-            .groupBy(*columns(row_id))
-            .agg(F.collect_set("__blocked").alias("__blocked"))
-        )
-        free = F.filter(given, lambda d: ~F.array_contains(F.col("__blocked"), d["path"]))
-        added.append(
-            per_document.select(*columns(row_id), F.explode(free).alias("__d"))
-            .select(*columns(row_id), "__d.path", "__d.value")
-        )
-        # a document with a {} has nothing below it that could block such a default
-        filled = F.exists(given, lambda d: d["path"].startswith(below_this))
-        kept = kept.where(~(is_node & filled))
-    return reduce(DataFrame.unionByName, added, kept)
+    # places where a document's content decides on defaults: at them, or below them
+    at_default = given.select("__block", F.col("path").alias("__at"), F.lit(True).alias("__is"))
+    above = given.select(
+        "__block", F.explode("above").alias("__at"), F.lit(False).alias("__is")
+    ).distinct()
+    places = at_default.unionByName(above).groupBy("__at").agg(
+        F.collect_set(F.struct("__block", "__is")).alias("__of"))
+    met = (
+        user_rows.select(
+            *columns(row_id), F.explode_outer(path_prefixes("path", sep)).alias("__at"),
+            path.alias("__path"), is_node.alias("__node"))
+        .withColumn("__leaf", (F.col("__at") == F.col("__path")) & ~F.col("__node"))
+        .join(places.select(F.col("__at").alias("__place"), "__of"), F.col("__at") == F.col("__place"), "left")
+    )
+    # a default is blocked by anything at its path, and by leaves above it
+    blocking = F.filter("__of", lambda o: o["__is"] | F.col("__leaf"))
+    marks = met.groupBy(*columns(row_id)).agg(F.collect_set(
+        F.when(F.size(blocking) > 0, F.struct("__at", blocking.alias("of")))).alias("__marks"))
+    block = given.groupBy("__block").agg(
+        F.collect_list(F.struct("path", "value", "above")).alias("__given"))
+    dealt = marks.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1))))
+
+    def marked(is_default: bool) -> Column:
+        def here(mark: Column) -> Column:
+            return F.exists(mark["of"], lambda o: (o["__block"] == F.col("__b")) & (o["__is"] == is_default))
+
+        return F.transform(F.filter("__marks", here), lambda m: m["__at"])
+
+    sides = dealt.join(block, F.col("__b") == F.col("__block")).select(
+        *columns(row_id), "__given", marked(True).alias("__own"), marked(False).alias("__leaves"))
+
+    def free(default: Column) -> Column:
+        return ~F.array_contains(F.col("__own"), default["path"]) & ~F.arrays_overlap(
+            default["above"], F.col("__leaves"))
+
+    added = sides.select(*columns(row_id), F.explode(F.filter("__given", free)).alias("__d")).select(
+        *columns(row_id), "__d.path", "__d.value")
+    # a document with a {} has nothing below it that could block such a default
+    filled = above.select(F.col("__at").alias("__filled")).distinct()
+    kept = user_rows.where(path.isNotNull()).join(filled, (path == F.col("__filled")) & is_node, "left_anti")
+    return kept.unionByName(added)
 
 
 def _merge_own_defaults(user_rows: DataFrame, defaults: DataFrame, row_id: list[str],

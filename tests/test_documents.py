@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import cadence as cd
 
@@ -110,7 +111,7 @@ def test_merge_each_documents_own_defaults(spark):
 
 @pytest.mark.parametrize("seed", [2, 3, 4])
 def test_merge_one_configuration(spark, seed, monkeypatch):
-    monkeypatch.setattr("cadence.operators.documents.CONFIG_CHUNK", 2)
+    monkeypatch.setattr("cadence.operators.documents.CONFIG_BLOCK", 2)
     rng = random.Random(seed)
     default, users = {}, [random_doc(rng) for _ in range(150)]
     while len(leaves(default)) < 5:
@@ -124,13 +125,43 @@ def test_merge_one_configuration(spark, seed, monkeypatch):
     assert {r.id: json.loads(r.doc) for r in docs} == {i: merge(u, default) for i, u in enumerate(users)}
 
 
+def test_merge_a_large_configuration(spark):
+    """Fifty thousand defaults, of which documents block some by leaves, nodes and subtrees."""
+    config = spark.range(50_000).selectExpr(
+        "concat('g', id div 500, '.s', id % 500 div 10, '.k', id) as path", "cast(id as string) as value")
+    users = [
+        {}, {"g3": 1}, {"g3": {}}, {"g4": {"s7": None, "s8": {"k2080": 5, "k2081": {}}}},
+        {"g5": {"s0": {"k2500": {"below": 1}}}, "other": {}}, {"g99": {"s49": [1]}, "g0": {"s0": {"k0": "x"}}},
+    ]
+    # none, a group, none ({}), a subgroup and two, one, a subgroup and one
+    blocked = [0, 500, 0, 10 + 2, 1, 10 + 1]
+    got = cd.merge_defaults_long(as_rows(spark, users), config, "id").cache()
+    counts = {r.id: r.n for r in got.groupBy("id").agg(F.count("*").alias("n")).collect()}
+    own = [len(leaves(u)) for u in users]
+    own[2] = 0  # its {} is filled
+    assert counts == {i: 50_000 - blocked[i] + own[i] for i in range(len(users))}
+    rows = {(r.id, r.path): r.value for r in got.where("path rlike '^(g3|g4|g5|other)([.]|$)'").collect()}
+    assert rows[1, "g3"] == "1" and (1, "g3.s0.k1500") not in rows
+    assert (2, "g3") not in rows and rows[2, "g3.s0.k1500"] == "1500"
+    assert rows[3, "g4.s7"] == "null" and rows[3, "g4.s8.k2080"] == "5" and rows[3, "g4.s8.k2081"] == "{}"
+    assert rows[3, "g4.s8.k2082"] == "2082" and rows[4, "g5.s0.k2500.below"] == "1" and rows[4, "other"] == "{}"
+    got.unpersist()
+
+
+def test_the_plan_does_not_grow_with_the_configuration(spark):
+    def plan(n):
+        config = spark.range(n).selectExpr("concat('a.k', id) as path", "'1' as value")
+        merged = cd.merge_defaults_long(as_rows(spark, [{"a": 1}]), config, "id")
+        return merged._jdf.queryExecution().optimizedPlan().toString()
+
+    assert abs(len(plan(3)) - len(plan(20_000))) < 100
+
+
 def text(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
 def test_json_get_and_set(spark):
-    from pyspark.sql import functions as F
-
     doc = F.lit('{"a":{"b":1}}')
     assert text(spark, cd.json_get(doc, "a.b", "int")) == 1
     assert text(spark, cd.json_get(doc, "a.z", "int")) is None
@@ -145,8 +176,6 @@ def test_json_get_and_set(spark):
 
 
 def test_canonical_and_pretty(spark):
-    from pyspark.sql import functions as F
-
     value = {"z": [{"y": 1, "x": "ü"}], "a": {"c": None, "b": 2.5}}
     assert text(spark, cd.canonical_json(F.lit(json.dumps(value)))) == json.dumps(
         value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
