@@ -29,7 +29,7 @@ from cadence.operators.throttling import throttle
 from cadence.runtime import clear_staging
 from cadence.sources.json_files import scan_json, sink_json
 from cadence.sources.log_files import (
-    parse_log_lines, scan_log_lines, sink_log_lines, stream_log_lines,
+    parse_log_lines, scan_log_lines, scan_log_records, sink_log_lines, stream_log_lines,
 )
 from cadence.sources.snapshots import (
     append_results, compute_or_load, read_first_available, read_snapshot, stash, write_snapshot,

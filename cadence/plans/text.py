@@ -102,6 +102,33 @@ def log_tracebacks(spark, folder):
     return cd.scan_log_lines(spark, path, "shorter").drop("logger", "func")
 
 
+@query(f"""
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, date_trunc('second', ts) AS ts,
+       'app.' || event_type AS logger, {LEVEL} AS level, {LEVEL_NO} AS level_no,
+       'event: ' || event_id || ' ' || props AS message,
+       CASE event_type
+         WHEN 'error' THEN concat_ws(chr(10), 'Traceback (most recent call last):', '',
+                                     '  File "' || user_id || '"', 'ValueError: ' || event_id)
+         WHEN 'click' THEN '' END AS traceback
+FROM events
+""")
+def log_records(spark, folder):
+    """Records in order of the event, errors with tracebacks of four lines, clicks with a blank
+    line; read back whole and numbered over all files."""
+    trace = F.concat_ws(
+        "\n", F.lit("\nTraceback (most recent call last):"), F.lit(""),
+        F.concat(F.lit('  File "'), F.col("user_id").cast("string"), F.lit('"')),
+        F.concat(F.lit("ValueError: "), F.col("event_id").cast("string")))
+    kind = F.col("event_type")
+    users = table(spark, folder, "events").select("event_id", "user_id")
+    records = _records(spark, folder).join(users, "event_id").withColumn("message", F.concat(
+        "message", F.when(kind == "error", trace).when(kind == "click", "\n").otherwise("")))
+    path = staging_path(spark, "log")
+    cd.sink_log_lines(records.orderBy("event_id"), path, "short")
+    whole = cd.scan_log_records(spark, path, "short")
+    return cd.dense_index(whole, ["file", "record"], "n").drop("file", "record", "func")
+
+
 THRESHOLDS = f"""
 WITH r AS (SELECT event_id, event_type, {LEVEL_NO} AS level_no,
                   CASE event_type WHEN 'click' THEN 'PIL.Image' WHEN 'view' THEN 'PILX'

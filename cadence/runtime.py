@@ -94,6 +94,30 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text, read by the driver."""
+    fs, where = _locate(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written by the driver; it appears whole or not at all."""
+    fs, where = _locate(spark, path)
+    unfinished = spark._jvm.org.apache.hadoop.fs.Path(f"{where.getParent()}/.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(unfinished, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if not fs.rename(unfinished, where):
+        fs.delete(unfinished, False)
+        raise OSError(f"{path} could not be written")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _locate(spark, path)
     fs.delete(where, True)

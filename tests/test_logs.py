@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -82,3 +84,62 @@ def test_thresholds(spark):
 def test_level_filter(spark):
     df = spark.createDataFrame([(10,), (20,), (None,)], "level_no int")
     assert [r.level_no for r in df.where(cd.level_filter("level_no", "INFO")).collect()] == [20]
+
+
+def python_records(files, layout="shorter"):
+    """(file name, record, message, traceback) by reading line after line."""
+    pattern = re.compile(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} (?:Level -?\d+|[^\s:]+): (.*)$")
+    out = []
+    for name, text in files.items():
+        number, records = -1, {}
+        for line in text.splitlines():
+            found = pattern.match(line)
+            if found:
+                number += 1
+                records[number] = (found[1], [])
+            else:
+                records.setdefault(number, (None, []))[1].append(line)
+        out += [(name, n, m, "\n".join(t) if t else None) for n, (m, t) in records.items()]
+    return sorted(out, key=str)
+
+
+def log_texts():
+    rng = random.Random(3)
+    files = {"empty.log": "", "none.log": "only\ncontinuation\n", "head.log": "before\n\nall\n2024-01-01 00:00:07 INFO: a"}
+    for k in range(5):
+        lines = []
+        for n in range(rng.choice([3, 60, 400])):
+            lines.append(f"2024-01-01 00:00:0{n % 10} ERROR: message {n} of {k}")
+            for j in range(rng.choice([0, 0, 1, 3, 40 if n % 50 == 0 else 0])):
+                lines.append(rng.choice(["", "  File x", f"Error: {n} {j}", "2024-01-01 no record"]))
+        files[f"f{k}.log"] = "\n".join(lines) + "\n"
+    return files
+
+
+@pytest.mark.parametrize("split", [None, 150, 4000])
+def test_records_over_splits(spark, tmp_path, split):
+    files = log_texts()
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes",
+             "spark.sql.execution.arrow.maxRecordsPerBatch")
+    if split:
+        for name, value in zip(names, (split, 0, 7)):
+            spark.conf.set(name, str(value))
+    try:
+        records = cd.scan_log_records(spark, str(tmp_path), "shorter")
+        rows = records.select("file", "record", "message", "traceback", "level").collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    got = sorted(((r.file.rsplit("/", 1)[1], r.record, r.message, r.traceback) for r in rows), key=str)
+    assert got == python_records(files)
+    assert {r.level for r in rows if r.record >= 0} == {"ERROR", "INFO"}
+
+
+def test_records_of_a_layout_with_loggers(spark, tmp_path):
+    (tmp_path / "log").write_text(
+        "2024-01-01 00:00:07 a.b run ERROR: boom: x\nTraceback:\n  none\n2024-01-01 00:00:07 a.b run Level 7: y\n")
+    first, second = cd.scan_log_records(spark, str(tmp_path / "log"), "extended").orderBy("record").collect()
+    assert tuple(first)[1:] == (0, WHEN, "a.b", "run", "ERROR", 40, "boom: x", "Traceback:\n  none")
+    assert tuple(second)[1:] == (1, WHEN, "a.b", "run", "Level 7", 7, "y", None)
