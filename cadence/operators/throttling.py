@@ -386,7 +386,11 @@ def fired_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str
 
 def advanced_clocks(rows: DataFrame, fired: DataFrame, keys: Sequence[str], time: str, rule: Rule,
                     clocks: DataFrame | None) -> DataFrame:
-    """Clocks (keys..., position, last index, last time) after ``rows``."""
+    """Clocks (keys..., position, last index, last time) of the keys of ``rows``, after them.
+
+    The last firing is that of the greatest position, whatever its time: rows that come late
+    can fire at an earlier time than the firing before.  Inside one call times only grow.
+    """
     none = F.lit(None).cast("bigint")
     counted = rows.where(columns(time)[0].isNotNull()).select(
         *columns(keys), F.lit(1).cast("bigint").alias(CLOCK[0]), none.alias(CLOCK[1]), none.alias(CLOCK[2])
@@ -396,14 +400,13 @@ def advanced_clocks(rows: DataFrame, fired: DataFrame, keys: Sequence[str], time
         *columns(keys), F.lit(0).cast("bigint").alias(CLOCK[0]), last.alias(CLOCK[1]),
         F.col(TIME).alias(CLOCK[2]),
     )
-    changes = counted.unionByName(latest)
-    if clocks is not None:
-        changes = changes.unionByName(clocks)
-    # positions and times only grow, so the newest of each is the largest
-    return changes.groupBy(*columns(keys)).agg(
-        F.sum(CLOCK[0]).alias(CLOCK[0]),
-        F.coalesce(F.max(CLOCK[1]), F.lit(-1)).cast("bigint").alias(CLOCK[1]),
-        F.max(CLOCK[2]).alias(CLOCK[2]),
+    changes = counted.unionByName(latest).groupBy(*columns(keys)).agg(
+        F.sum(CLOCK[0]).alias(CLOCK[0]), F.max(CLOCK[1]).alias(CLOCK[1]), F.max(CLOCK[2]).alias(CLOCK[2])
+    )
+    before = _with_clocks(changes.withColumnsRenamed({c: f"c{c}" for c in CLOCK}), keys, clocks)
+    return before.select(
+        *columns(keys), (F.col(CLOCK[0]) + F.col(f"c{CLOCK[0]}")).alias(CLOCK[0]),
+        *(F.coalesce(f"c{c}", c).alias(c) for c in CLOCK[1:]),
     )
 
 

@@ -9,20 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cadence.functions.steps import step_spec
 from cadence.runtime import remove
+from cadence.sources.manifests import Entry, claim, commit, merge, read_manifest
 from cadence.sources.states import committed_numbers
 
+MERGE_BATCHES = 100  # batches of a folder that are rewritten as one
+
+
+def store_batch(rows: DataFrame, number: int, out: str, checkpoint: str,
+                merge_batches: int | None) -> None:
+    """Write a micro-batch's rows to its own folder under ``out`` and add it to the manifest."""
+    spark = rows.sparkSession
+    manifest = read_manifest(spark, out)
+    known = manifest and manifest.covers(number)
+    if known and known.first < known.last:
+        return  # merged since, so its delivery was complete
+    rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    commit(spark, out, checkpoint, Entry(number, number, f"batch={number}"))
+    if merge_batches is not None:
+        merge(spark, out, merge_batches)
+
 
 def incremental_job(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], checkpoint: str,
-                    out: str, trigger: dict | None = None) -> StreamingQuery:
+                    out: str, trigger: dict | None = None,
+                    merge_batches: int | None = MERGE_BATCHES) -> StreamingQuery:
     """Start a job that runs ``fn`` over new input and stores it under ``out``.
 
     Source offsets in ``checkpoint`` say where to go on, so a rerun without new input
     does nothing.  A micro-batch may be delivered twice; it overwrites its own folder.
+    ``out`` belongs to the checkpoint: with another, whose batches have other rows under the
+    same numbers, the job refuses to start.  A manifest lists the committed batches, and once
+    there are ``merge_batches`` of them, all but the newest are rewritten as one folder.
     Read the result with ``read_batches``.
     """
+    claim(stream.sparkSession, out, checkpoint, "batch")
 
     def store(batch: DataFrame, number: int) -> None:
-        fn(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        store_batch(fn(batch), number, out, checkpoint, merge_batches)
 
     return (
         stream.writeStream.foreachBatch(store)

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadence.operators.averages import last_value, weighted_mean
-from cadence.operators.ordering import columns
+from cadence.operators.keysets import latest_by_key
+from cadence.operators.ordering import KEY, columns, key_struct
 from cadence.operators.throttling import (
     MAX_KEY_ROWS, POSITION, TIME, Clock, advanced_clocks, fire, fired_rows, make_rule, micros_of,
 )
-from cadence.runtime import stage, temporary_stages
-from cadence.sources.states import commit_state, committed_numbers, prune_states, version_path
+from cadence.runtime import remove, stage, temporary_stages
+from cadence.sources.manifests import Entry, Manifest, claim, commit, read_manifest, write_manifest
+from cadence.streaming.incremental import MERGE_BATCHES, store_batch
 
+WHOLE_CLOCKS = 10  # micro-batches whose changed clocks are put together with all others
 _CLOCK = "position bigint, last_index bigint, last_micros bigint"
+_VERSION = "__version"
 
 
 def stream_throttle(stream: DataFrame, keys: str | Sequence[str], time: str,
@@ -57,29 +63,82 @@ def stream_throttle(stream: DataFrame, keys: str | Sequence[str], time: str,
     )
 
 
+def _newest(spark: SparkSession, states: str, keys: list[str], entries: Sequence[Entry]) -> DataFrame:
+    """The newest clock of each key in whole states and changes."""
+    parts = [
+        spark.read.parquet(f"{states}/{e.folder}").withColumn(_VERSION, F.lit(e.last).cast("bigint"))
+        for e in entries
+    ]
+    if len(parts) == 1:
+        return parts[0].drop(_VERSION)
+    return latest_by_key(reduce(DataFrame.unionByName, parts), keys, [_VERSION]).drop(_VERSION)
+
+
+def _since_whole(manifest: Manifest | None, number: int) -> list[Entry]:
+    """What the clocks before micro-batch ``number`` are made of: a whole state, if one was
+    written, and the changes after it."""
+    earlier = [e for e in manifest.entries if e.last < number] if manifest else []
+    whole = max((i for i, e in enumerate(earlier) if e.folder.startswith("whole=")), default=0)
+    return earlier[whole:]
+
+
+def _commit_clocks(spark: SparkSession, states: str, checkpoint: str, keys: list[str], changed: DataFrame,
+                   number: int) -> None:
+    """Write the clocks that a micro-batch changed and, every ``WHOLE_CLOCKS`` of them, all."""
+    changed.write.mode("overwrite").parquet(f"{states}/changed={number}")
+    manifest = commit(spark, states, checkpoint, Entry(number, number, f"changed={number}"))
+    since = _since_whole(manifest, number + 1)
+    if len(since) <= WHOLE_CLOCKS:
+        return
+    whole = Entry(since[0].first, number, f"whole={number}")
+    _newest(spark, states, keys, since).write.mode("overwrite").parquet(f"{states}/{whole.folder}")
+    # a micro-batch that comes again needs what was there before it
+    write_manifest(spark, states, replace(manifest, entries=(*since, whole)))
+    for entry in set(manifest.entries) - set(since):
+        remove(spark, f"{states}/{entry.folder}")
+
+
+def read_clocks(spark: SparkSession, states: str, keys: str | Sequence[str]) -> tuple[int, DataFrame | None]:
+    """(number of the newest micro-batch, clocks of all keys) that a throttle job left."""
+    manifest = read_manifest(spark, states)
+    if manifest is None:
+        return -1, None
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    since = _since_whole(manifest, manifest.last + 1)
+    return manifest.last, _newest(spark, states, keys, since)
+
+
 def throttle_job(stream: DataFrame, keys: str | Sequence[str], time: str, checkpoint: str,
                  out: str, states: str, ties: Sequence[str] = (), step_spec: str = "::",
                  seconds: float | None = None, iters: int | None = None,
                  reset_index: bool = True, max_key_rows: int | None = MAX_KEY_ROWS,
-                 trigger: dict | None = None) -> StreamingQuery:
+                 trigger: dict | None = None,
+                 merge_batches: int | None = MERGE_BATCHES) -> StreamingQuery:
     """Throttle a stream with the batch operator, hot keys spread over many tasks.
 
-    Fired rows go to ``out`` (see ``read_batches``), the clocks of all keys to a state
-    table under ``states`` per micro-batch, of which the last few are kept.  A
+    Fired rows go to ``out`` (see ``read_batches``).  Under ``states`` each micro-batch writes the
+    clocks of its own keys, and every tenth those of all keys (see ``read_clocks``).  A
     micro-batch that is delivered again starts from the same clocks and overwrites both.
+    Both folders belong to the checkpoint; with another the job refuses to start.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rule = make_rule(step_spec, seconds, iters, reset_index)
+    claim(stream.sparkSession, out, checkpoint, "batch")
+    claim(stream.sparkSession, states, checkpoint, "changed")
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [n for n in committed_numbers(spark, states, "version") if n < number]
-        clocks = spark.read.parquet(version_path(states, before[-1])) if before else None
+        since = _since_whole(read_manifest(spark, states), number)
         with temporary_stages(spark):
+            clocks = None
+            if since:
+                own = batch.select(key_struct(keys).alias(KEY)).distinct()
+                known = _newest(spark, states, keys, since)
+                clocks = stage(known.join(own, key_struct(keys) == F.col(KEY), "left_semi"), "clocks")
             fired = stage(fired_rows(batch, keys, time, ties, rule, max_key_rows, clocks), "fired")
-            fired.drop(TIME, POSITION).write.mode("overwrite").parquet(f"{out}/batch={number}")
-            commit_state(advanced_clocks(batch, fired, keys, time, rule, clocks), states, number)
-        prune_states(spark, states)
+            changed = advanced_clocks(batch, fired, keys, time, rule, clocks)
+            _commit_clocks(spark, states, checkpoint, keys, changed, number)
+            store_batch(fired.drop(TIME, POSITION), number, out, checkpoint, merge_batches)
 
     return (
         stream.writeStream.foreachBatch(store)

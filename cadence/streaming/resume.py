@@ -16,6 +16,7 @@ from cadence.operators.ordering import (
     PART, SLOT, batch_bounds, columns, lay_out, part_offsets,
 )
 from cadence.runtime import temporary_stages
+from cadence.sources.manifests import read_entries, read_manifest
 from cadence.sources.states import committed_numbers
 
 COMMIT_SECONDS = 120.0  # the usual pace of commits
@@ -34,7 +35,14 @@ def per_item(func: Callable, args: Sequence[str], result: str, keep: Sequence[st
 
 
 def read_batches(spark: SparkSession, root: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Union of the committed batches under ``root``, unfinished ones left out."""
+    """Union of the committed batches under ``root``, unfinished ones left out.
+
+    A manifest, as streaming jobs keep, says what counts; without one each batch folder that
+    holds a finished write does.
+    """
+    manifest = read_manifest(spark, root)
+    if manifest is not None and manifest.entries:
+        return read_entries(spark, root, manifest, schema)
     paths = [f"{root}/batch={n}" for n in committed_numbers(spark, root, "batch")]
     if not paths:
         if schema is None:

@@ -3,6 +3,9 @@ import random
 import pytest
 
 import cadence as cd
+from cadence.sources import manifests, states
+from cadence.sources.manifests import Entry, Manifest, read_manifest, write_manifest
+from cadence.streaming import incremental
 from tests.test_resume import staged
 
 
@@ -75,7 +78,7 @@ def test_throttle_job_equals_the_batch_form(spark, tmp_path, drops, rule, limit,
     assert staged(spark) == before
     want = cd.throttle(spark.createDataFrame(rows, SCHEMA), "k", "t", ["id"], **rule)
     assert sorted(cd.read_batches(spark, out).collect()) == sorted(want.collect())
-    version, clocks = cd.read_latest_state(spark, states)
+    version, clocks = cd.read_clocks(spark, states, "k")
     assert version == 2
     counted = {r.k: r.clock_position for r in clocks.collect()}
     assert counted == {k: sum(r[0] == k for r in rows) for k in (1, 2, 3)}
@@ -88,7 +91,7 @@ def test_a_batch_delivered_again_changes_nothing(spark, tmp_path, drops):
         cd.throttle_job(
             drops(part), "k", "t", str(tmp_path / "ck"), out, states, ["id"], seconds=60.0, iters=9
         ).awaitTermination()
-        clocks = cd.read_latest_state(spark, states)[1]
+        clocks = cd.read_clocks(spark, states, "k")[1]
         return sorted(cd.read_batches(spark, out).collect()), sorted(clocks.collect())
 
     run(rows[:300])
@@ -98,6 +101,106 @@ def test_a_batch_delivered_again_changes_nothing(spark, tmp_path, drops):
     assert run(rows[:0]) == once
 
 
+def test_clocks_are_written_for_changed_keys_only(spark, tmp_path, drops, monkeypatch):
+    """Six micro-batches over whole states every two; a key of each batch is in no other."""
+    monkeypatch.setattr("cadence.streaming.keyed.WHOLE_CLOCKS", 2)
+    out, states, ck = (str(tmp_path / n) for n in ("out", "states", "ck"))
+    rows = [(k, float(10 * k + 60 * j), 100 * k + j, 0.0) for k in range(6) for j in range(3)]
+    rows += [(99, 5.0 * k, 5000 + k, 0.0) for k in range(6)]
+    parts = [[r for r in rows if r[2] // 100 == k or r[2] == 5000 + k] for k in range(6)]
+    for part in parts:
+        cd.throttle_job(drops(part), "k", "t", ck, out, states, ["id"], seconds=20.0).awaitTermination()
+    want = cd.throttle(spark.createDataFrame(rows, SCHEMA), "k", "t", ["id"], seconds=20.0)
+    assert sorted(cd.read_batches(spark, out).collect()) == sorted(want.collect())
+    version, clocks = cd.read_clocks(spark, states, "k")
+    assert version == 5
+    assert {r.k: r.clock_position for r in clocks.collect()} == {k: 3 for k in range(6)} | {99: 6}
+    stored = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "states").glob("*=*")}
+    assert {n for name, n in stored.items() if name.startswith("changed=")} == {2}
+    # the newest whole state, the one before it and the changes since
+    assert sum(name.startswith("whole=") for name in stored) == 2 and len(stored) <= 2 + 2 * 2
+
+
+def late_rows():
+    """Micro-batches whose rows are partly earlier than those of the batches before."""
+    return [[(1, 100.0, 1, 0.0), (1, 130.0, 2, 0.0), (2, 5.0, 3, 0.0)],
+            [(1, 20.0, 4, 0.0), (1, 135.0, 5, 0.0), (1, 195.0, 6, 0.0)],
+            [(1, 50.0, 7, 0.0), (1, 210.0, 8, 0.0), (2, 1.0, 9, 0.0)],
+            [(1, 60.0, 10, 0.0), (1, 300.0, 11, 0.0), (1, 301.0, 12, 0.0)]]
+
+
+@pytest.mark.parametrize(("rule", "limit"), [
+    (dict(seconds=30.0), None), (dict(seconds=50.0, iters=2), 2), (dict(seconds=40.0, iters=3, reset_index=False), None),
+], ids=str)
+def test_both_stream_forms_agree_on_late_rows(spark, tmp_path, drops, rule, limit):
+    outs = [str(tmp_path / "a"), str(tmp_path / "b")]
+    for part in late_rows():
+        stream = drops(part)
+        fired = cd.stream_throttle(stream, "k", "t", ["id"], **rule)
+        cd.incremental_job(fired, lambda b: b, str(tmp_path / "ck-a"), outs[0]).awaitTermination()
+        cd.throttle_job(stream, "k", "t", str(tmp_path / "ck-b"), outs[1], str(tmp_path / "states"),
+                        ["id"], max_key_rows=limit, **rule).awaitTermination()
+    one, other = (sorted(cd.read_batches(spark, out).collect()) for out in outs)
+    assert one == other and len(one) >= 2
+
+
+def test_output_of_another_checkpoint_is_refused(spark, tmp_path, drops):
+    rows, out, states = sample(), str(tmp_path / "out"), str(tmp_path / "states")
+    cd.incremental_job(drops(rows[:9]), lambda b: b, str(tmp_path / "a"), out).awaitTermination()
+    for checkpoint in ("b", "used"):
+        if checkpoint == "used":
+            cd.incremental_job(
+                drops(rows[9:10]), lambda b: b, str(tmp_path / "used"), str(tmp_path / "own")).awaitTermination()
+        with pytest.raises(ValueError, match="another run"):
+            cd.incremental_job(drops(rows[:0]), lambda b: b, str(tmp_path / checkpoint), out)
+    with pytest.raises(ValueError, match="another run"):
+        cd.throttle_job(drops(rows[:0]), "k", "t", str(tmp_path / "b"), out, states, iters=2)
+    cd.incremental_job(drops(rows[10:20]), lambda b: b, str(tmp_path / "a"), out).awaitTermination()
+    assert cd.read_batches(spark, out).count() == 20
+    spark.range(3).write.parquet(str(tmp_path / "old" / "batch=0"))
+    with pytest.raises(ValueError, match="without a manifest"):
+        cd.incremental_job(drops(rows[:0]), lambda b: b, str(tmp_path / "c"), str(tmp_path / "old"))
+
+
+def test_batches_are_merged_and_read_in_few_calls(spark, tmp_path, drops, monkeypatch):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
+    rows = sample()
+    for k in range(6):
+        job = cd.incremental_job(drops(rows[10 * k:10 * k + 10]), lambda b: b, checkpoint, out, merge_batches=3)
+        job.awaitTermination()
+        assert sorted(cd.read_batches(spark, out).collect()) == sorted(
+            spark.createDataFrame(rows[:10 * k + 10], SCHEMA).collect())
+    manifest = read_manifest(spark, out)
+    numbers = [n for e in manifest.entries for n in range(e.first, e.last + 1)]
+    assert numbers == list(range(6)) and len(manifest.entries) < 5
+    there = {p.name for p in (tmp_path / "out").glob("*=*")}
+    assert there == {e.folder for e in manifest.entries} | set(manifest.retired)
+    assert len(list((tmp_path / "out" / "_manifest").glob("*.json"))) == 3
+    calls = []
+    for name in ("read_text", "children", "subfolders"):
+        original = getattr(manifests, name)
+        monkeypatch.setattr(manifests, name, lambda *a, f=original: calls.append(a[1:]) or f(*a))
+    monkeypatch.setattr(states, "is_committed", lambda *a: pytest.fail("a call for each batch"))
+    entries = tuple(Entry(n, n, "batch=7") for n in range(10_000))
+    write_manifest(spark, str(tmp_path / "many"), Manifest("x", -1, entries))
+    assert len(read_manifest(spark, str(tmp_path / "many")).entries) == 10_000
+    assert len(calls) == 2
+
+
+def test_a_merged_batch_delivered_again_changes_nothing(spark, tmp_path, drops):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
+    rows = sample()
+    for k in range(4):
+        cd.incremental_job(drops(rows[10 * k:10 * k + 10]), lambda b: b, checkpoint, out,
+                           merge_batches=3).awaitTermination()
+    for name in ("3", ".3.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink()  # as if the driver died before this
+    cd.incremental_job(drops(rows[:0]), lambda b: b, checkpoint, out, merge_batches=3).awaitTermination()
+    assert sorted(r.id for r in cd.read_batches(spark, out).collect()) == list(range(40))
+    incremental.store_batch(spark.createDataFrame(rows[:1], SCHEMA), 0, out, checkpoint, 3)
+    assert cd.read_batches(spark, out).count() == 40
+
+
 def test_mean_equals_the_batch_form(spark, tmp_path, drops):
     rows, latest = sample(), {}
 
