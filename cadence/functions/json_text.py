@@ -54,18 +54,21 @@ def json_get(doc: Column | str, path: str, dtype: str = "string", strict: bool =
     return once(variant, checked)
 
 
-def _with_member(members: Column, parts: list[str], value: Column, soft: bool) -> Column:
+def with_member(members: Column, parts: list[str], value: Column, soft: bool,
+                null_is_absent: bool = False) -> Column:
     """``members`` is a map of variants; gives the variant object with the path set."""
     name = F.lit(parts[0])
     known = F.map_contains_key(members, name)
     current = F.element_at(members, name)
+    if null_is_absent:
+        known &= ~F.is_variant_null(current)
     if len(parts) == 1:
         member = F.when(known, current).otherwise(value) if soft else value
     else:
         bad = F.raise_error(F.lit(f"parent of {parts[1]} is not an object")).cast(OBJECT)
         empty = F.from_json(F.lit("{}"), OBJECT)
         below = F.when(known, F.coalesce(as_object(current), bad)).otherwise(empty)
-        member = once(below, lambda m: _with_member(m, parts[1:], value, soft))
+        member = once(below, lambda m: with_member(m, parts[1:], value, soft, null_is_absent))
     others = F.map_filter(members, lambda k, _: k != name)
     return F.to_variant_object(F.map_concat(others, F.create_map(name, member)))
 
@@ -81,12 +84,44 @@ def json_set(doc: Column | str, path: str, value: Any, soft: bool = False,
     parsed, parts, new = F.parse_json(_col(doc)), path.split(sep), F.parse_json(text)
     bad = F.raise_error(F.lit("the document is not an object")).cast(OBJECT)
     root = F.when(parsed.isNotNull(), F.coalesce(as_object(parsed), bad))
-    return F.to_json(once(root, lambda m: _with_member(m, parts, new, soft)))
+    return F.to_json(once(root, lambda m: with_member(m, parts, new, soft)))
+
+
+_TAG = r"\u0001"  # how a tag looks in JSON text; a plain control character is not allowed there
+_SEGMENTS = r'"(?:[^"\\]|\\.)*+"|[^"]++'
+_NUMBER = r"-?[0-9][0-9.eE+-]*"
+# numbers that VARIANT may write in another way: fractions, exponents, very many digits, -0
+_RISKY = r"[0-9][.eE]|[0-9]{18}|-0"
+
+
+def _tagged(doc: Column) -> Column:
+    """Numbers become strings that begin with a tag, other strings keep theirs doubled."""
+    def segment(part: Column) -> Column:
+        # an escaped backslash before u0001 is no tag
+        doubled = F.regexp_replace(part, r"(?<!\\)((?:\\\\)*)\\u0001", r"$1\\u0001\\u0001")
+        return F.when(part.startswith('"'), doubled).otherwise(
+            F.regexp_replace(part, _NUMBER, r'"\\u0001$0"'))
+
+    return F.array_join(F.transform(F.regexp_extract_all(doc, F.lit(_SEGMENTS), F.lit(0)), segment), "")
+
+
+def _untagged(text: Column) -> Column:
+    numbers = F.regexp_replace(text, r'"\\u0001(-?[0-9][^"]*)"', "$1")
+    return F.regexp_replace(numbers, r"(?<!\\)((?:\\\\)*)\\u0001\\u0001", r"$1\\u0001")
 
 
 def canonical_json(doc: Column | str) -> Column:
-    """JSON text with keys sorted at every level; repeated keys are an error."""
-    return F.to_json(F.parse_json(_col(doc)))
+    """JSON text with keys sorted at every level; repeated keys are an error.
+
+    Numbers stay as they are written, whatever their length: ``1.0``, ``1e5`` and integers of
+    any number of digits.  They pass through VARIANT as tagged strings in documents that hold
+    such numbers; others go the short way.
+    """
+    def written(text: Column) -> Column:
+        exact = F.when(F.parse_json(text).isNotNull(), _untagged(F.to_json(F.parse_json(_tagged(text)))))
+        return F.when(text.rlike(_RISKY), exact).otherwise(F.to_json(F.parse_json(text)))
+
+    return once(_col(doc), written)
 
 
 @F.pandas_udf(T.StringType())

@@ -182,6 +182,25 @@ def test_canonical_and_pretty(spark):
     assert text(spark, cd.pretty_json(F.lit(json.dumps(value)))) == json.dumps(value, indent=4, sort_keys=True)
 
 
+@pytest.mark.parametrize(("given", "want"), [
+    ('{"b": 1.0, "a": [1e5, -0, -0.0, 1E+7]}', '{"a":[1e5,-0,-0.0,1E+7],"b":1.0}'),
+    ('{"n": ' + "1234567890" * 4 + "1" + "}", '{"n":' + "1234567890" * 4 + "1}"),
+    ('{"t": "\\u00011.0", "s": "1.0 \\\\u0001 \\" 2.50 \\u0001\\u00013.5"}',
+     '{"s":"1.0 \\\\u0001 \\" 2.50 \\u0001\\u00013.5","t":"\\u00011.0"}'),
+    (" 2.50 ", "2.50"), ('"2.50"', '"2.50"'), ('{"a\\"1.0": {"1.0": 1.0}}', '{"a\\"1.0":{"1.0":1.0}}'),
+    ("[0.1, 123456789012345678.5, 1.10]", "[0.1,123456789012345678.5,1.10]"),
+])
+def test_canonical_numbers_stay_as_written(spark, given, want):
+    assert text(spark, cd.canonical_json(F.lit(given))) == want
+
+
+def test_canonical_json_still_rejects(spark):
+    for bad in ('{"a": 1.0, "a": 2}', '{"a": 1.2.3}', '{"a": 1.0'):
+        with pytest.raises(Exception):
+            rows = spark.createDataFrame([(bad,)], "d string")
+            rows.select(cd.canonical_json("d")).collect()
+
+
 @pytest.mark.parametrize("doc", ["[1,2]", "5", "null"])
 def test_json_set_needs_an_object(spark, doc):
     rows = spark.createDataFrame([(doc,)], "doc string")
