@@ -21,7 +21,7 @@ from cadence.operators.keysets import (
 )
 from cadence.operators.logs import level_filter, logger_threshold_filter
 from cadence.operators.nesting import (
-    flatten_struct, get_path, merge_defaults, set_path, unflatten_struct,
+    flatten_struct, get_path, merge_defaults, merge_variants, set_path, unflatten_struct,
 )
 from cadence.operators.ordering import balanced_batches, dense_index, key_batches, key_index
 from cadence.operators.tables import column_widths, format_dataframe, format_table
@@ -40,7 +40,9 @@ from cadence.sources.states import (
 from cadence.sources.text_tables import sink_text_table
 from cadence.sources.yaml_files import parse_yaml, scan_yaml
 from cadence.streaming.incremental import cadence, incremental_job, on_batches
-from cadence.streaming.keyed import stream_throttle, stream_weighted_mean, throttle_job
+from cadence.streaming.keyed import (
+    read_clocks, stream_throttle, stream_weighted_mean, throttle_job,
+)
 from cadence.streaming.resume import per_item, read_batches, resumable_map
 
 # Functions sent to executors carry their code along, so those need no copy of this package.

@@ -235,6 +235,98 @@ def set_path(spark, folder):
     return docs.select("c_custkey", "c.name", "c.acct.*", "c.geo.*", "c.extra.*")
 
 
+@query("""
+SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k, 'tag' AS tag, user_id AS seen, event_type AS kind,
+       CAST(event_id % 3 AS INTEGER) AS old_hits, CAST(NULL AS INTEGER) AS old_rank,
+       CAST(7 AS INTEGER) AS new_hits, CAST(event_id % 5 AS INTEGER) AS new_rank, 'low' AS level
+FROM events
+""")
+def set_path_mixed(spark, folder):
+    """Paths into a variant, and into structs held by a map, whose type grows on the way."""
+    docs = table(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", F.parse_json("props").alias("v"),
+        F.create_map(F.lit("old"), F.struct((F.col("event_id") % 3).cast("int").alias("hits"))).alias("m"))
+    docs = cd.set_path(docs, "v.user.seen", F.col("user_id"))
+    docs = cd.set_path(docs, "v.user.note", F.struct(F.lit("tag").alias("tag"), F.col("event_type").alias("kind")))
+    docs = cd.set_path(docs, "v.k", F.lit(-1), soft=True)
+    docs = cd.set_path(docs, "m.new.hits", F.lit("7"))
+    docs = cd.set_path(docs, "m.new.rank", (F.col("event_id") % 5).cast("int"))
+    docs = cd.set_path(docs, "m.old.info.level", F.lit("low"))
+
+    def at(path, dtype="string"):
+        return cd.get_path(docs, path, strict=False, dtype=dtype)
+
+    return docs.select(
+        "event_id", at("v.k", "int").alias("k"), at("v.user.note.tag").alias("tag"),
+        at("v.user.seen", "bigint").alias("seen"), at("v.user.note.kind").alias("kind"),
+        at("m.old.hits").alias("old_hits"), at("m.old.rank").alias("old_rank"),
+        at("m.new.hits").alias("new_hits"), at("m.new.rank").alias("new_rank"),
+        at("m.old.info.level").alias("level"))
+
+
+@query("""
+SELECT event_id,
+       CASE event_type
+         WHEN 'click' THEN '{"a":5,"k":' || user_id || ',"src":"web"}'
+         WHEN 'error' THEN '{"a":{"b":' || event_id || ',"c":{"d":[1]}},"k":' || user_id || ',"src":"web"}'
+         WHEN 'view' THEN '{"a":{"b":' || event_id || ',"c":{"d":[1]}},"k":' || (props->>'$.k') || ',"src":null}'
+         WHEN 'signup' THEN '{"a":{"b":' || event_id || ',"c":{"d":[1]}},"k":' || user_id || ',"src":"web"}'
+         ELSE '{"a":{"b":' || event_id || ',"c":{"d":[1]}},"k":' || (props->>'$.k') || ',"src":"web"}' END AS doc
+FROM events
+""")
+def variant_defaults(spark, folder):
+    """Each document's own defaults, held in a struct, merged into its variant."""
+    inner = F.struct(F.struct(F.array(F.lit(1)).alias("d")).alias("c"), F.col("event_id").alias("b"))
+    given = table(spark, folder, "events").select("event_id", F.struct(
+        F.col("user_id").alias("k"), F.lit("web").alias("src"), inner.alias("a")).alias("given"))
+    docs = _varied_documents(spark, folder).join(given, "event_id").withColumn("doc", F.parse_json("doc"))
+    return docs.select("event_id", F.to_json(cd.merge_defaults(docs, "doc", "given")).alias("doc"))
+
+
+@query("""
+SELECT event_id, CAST(event_id % 3 AS INTEGER) AS own_hits, event_type AS own_kind, 5.0::DOUBLE AS own_rate,
+       CAST(9 AS INTEGER) AS only_hits, 'none' AS only_kind, 2.0::DOUBLE AS only_rate,
+       CAST(event_id % 4 AS INTEGER) AS alone_hits, CAST(NULL AS VARCHAR) AS alone_rate
+FROM events
+""")
+def map_struct_defaults(spark, folder):
+    """Structs held by maps of both sides; fields and keys come from either."""
+    def entry(hits, **more):
+        return F.struct(hits.alias("hits"), *(v.alias(k) for k, v in more.items()))
+
+    kind = F.col("event_type")
+    docs = table(spark, folder, "events").select(
+        "event_id",
+        F.create_map(
+            F.lit("own"), entry((F.col("event_id") % 3).cast("int"), kind=kind),
+            F.lit("alone"), entry((F.col("event_id") % 4).cast("int"), kind=kind)).alias("own"),
+        F.create_map(
+            F.lit("own"), entry(F.lit("8"), kind=F.lit("none"), rate=F.lit(5.0)),
+            F.lit("only"), entry(F.lit("9"), kind=F.lit("none"), rate=F.lit(2.0))).alias("given"))
+    merged = docs.select("event_id", cd.merge_defaults(docs, "own", "given").alias("m"))
+
+    def at(path):
+        return cd.get_path(merged, f"m.{path}").alias(path.replace(".", "_"))
+
+    return merged.select(
+        "event_id", *map(at, ("own.hits", "own.kind", "own.rate", "only.hits", "only.kind", "only.rate",
+                              "alone.hits")), at("alone.rate").cast("string").alias("alone_rate"))
+
+
+@query("""
+SELECT event_id, '{"a":' || event_id || '.0,"b":[1e5,-0,' || repeat('9', 30) || (100000000000 + event_id) ||
+       '],"c":"1.0"}' AS doc
+FROM events
+""")
+def canonical_numbers(spark, folder):
+    """Numbers that stay as they are written, among sorted keys."""
+    ident = F.col("event_id")
+    doc = F.concat(
+        F.lit('{"c": "1.0", "b": [1e5, -0, '), F.lit("9" * 30), (ident + 100000000000).cast("string"),
+        F.lit('], "a": '), ident.cast("string"), F.lit(".0}"))
+    return table(spark, folder, "events").select("event_id", cd.canonical_json(doc).alias("doc"))
+
+
 @query("""
 SELECT event_id,
        '{"a":{"x":' || user_id || ',"y":"' || event_type || '"},"z":' || event_id || '}' AS doc

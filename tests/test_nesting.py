@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -113,3 +116,103 @@ def test_merge_maps(spark):
     kind = "map<string,map<string,int>>"
     assert merged(spark, {"c": {"x": 5}}, kind, {"c": {"x": 6, "y": 8}, "z": {}}, kind) == {
         "c": {"x": 5, "y": 8}, "z": {}}
+
+
+def variant_of(spark, doc, path, value, **options):
+    df = spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.parse_json("j").alias("v"))
+    return json.loads(cd.set_path(df, path, value, **options).select(F.to_json("v")).first()[0])
+
+
+def test_set_in_a_variant(spark):
+    doc = {"a": {"b": 1, "n": None}, "l": [1]}
+    assert variant_of(spark, doc, "v.a.b", F.lit(2)) == {**doc, "a": {"b": 2, "n": None}}
+    assert variant_of(spark, doc, "v.a.b", F.lit(2), soft=True) == doc
+    assert variant_of(spark, doc, "v.a.n", F.lit(2), soft=True) == doc
+    assert variant_of(spark, doc, "v.a.n", F.lit(2), soft=True, null_is_absent=True)["a"]["n"] == 2
+    assert variant_of(spark, doc, "v.x.y.z", F.array(F.lit("p"))) == {**doc, "x": {"y": {"z": ["p"]}}}
+    assert variant_of(spark, doc, "v.x", F.struct(F.lit(1.5).alias("q"))) == {**doc, "x": {"q": 1.5}}
+    assert variant_of(spark, doc, "v.x", F.lit(None).cast("int")) == {**doc, "x": None}
+    with pytest.raises(PySparkException, match="not an object"):
+        variant_of(spark, doc, "v.l.x", F.lit(1))
+    null = spark.range(1).select(F.lit(None).cast("variant").alias("v"))
+    assert cd.set_path(null, "v.a", F.lit(1)).first().v is None
+    held = spark.range(1).select(F.struct(F.parse_json(F.lit("{}")).alias("v")).alias("s"))
+    assert cd.set_path(held, "s.v.a.b", F.lit(1)).select(F.to_json("s.v")).first()[0] == '{"a":{"b":1}}'
+
+
+def test_set_in_structs_of_a_map(spark):
+    df = spark.createDataFrame([({"p": (1, None), "q": None},)], "m map<string,struct<a:int,b:struct<c:string>>>")
+
+    def after(path, value, **options):
+        found = cd.set_path(df, path, value, **options).first().m
+        return {k: v and v.asDict(True) for k, v in found.items()}
+
+    assert after("m.p.a", F.lit("5")) == {"p": {"a": 5, "b": None}, "q": None}
+    assert after("m.p.a", F.lit(5), soft=True)["p"]["a"] == 1
+    assert after("m.r.a", F.lit(5), soft=True) == {"p": {"a": 1, "b": None}, "q": None, "r": {"a": 5, "b": None}}
+    grown = after("m.r.n.o", F.lit("x"))
+    assert grown == {"p": {"a": 1, "b": None, "n": {"o": None}}, "q": None, "r": {"a": None, "b": None, "n": {"o": "x"}}}
+    with pytest.raises(TypeError):
+        cd.set_path(df, "m.p.a.z", F.lit(1))
+    variants = df.select(F.create_map(F.lit("k"), F.parse_json(F.lit('{"x":1}'))).alias("m"))
+    got = cd.set_path(cd.set_path(variants, "m.k.y", F.lit(2)), "m.new.z", F.lit(3))
+    assert got.select(F.to_json(got.m["k"]), F.to_json(got.m["new"])).first()[:] == ('{"x":1,"y":2}', '{"z":3}')
+
+
+def random_doc(rng, depth=4):
+    names = ["a", "b", "c", 'q"\\', "ä.x", ""]
+    doc = {}
+    for name in rng.sample(names, rng.randrange(5)):
+        deeper = depth > 1 and rng.random() < 0.6
+        doc[name] = random_doc(rng, depth - 1) if deeper else rng.choice([1, 2.5, None, "s{", [1, {"z": 2}], True])
+    return doc
+
+
+def merged_dicts(user, default):
+    if not (isinstance(user, dict) and isinstance(default, dict)):
+        return user
+    out = dict(user)
+    for k in default:
+        out[k] = merged_dicts(user[k], default[k]) if k in user else default[k]
+    return out
+
+
+def test_merge_variants_of_any_depth(spark):
+    rng = random.Random(6)
+    pairs = [(random_doc(rng), random_doc(rng)) for _ in range(300)]
+    pairs += [(1, {"a": 1}), ({"a": 1}, [1]), (None, {"a": 1}), ({}, {}), ({}, {"a": {}}), ({"a": {}}, {"a": {"b": {}}})]
+    deep = {"end": 1}
+    for _ in range(40):
+        deep = {"k": deep}
+    pairs.append(({"k": {"k": {}}}, deep))
+    # an empty name with something below is one of the names that flattening leaves out
+    pairs = [p for p in pairs if '"": {"' not in json.dumps(p)]
+    df = spark.createDataFrame([(i, json.dumps(u), json.dumps(d)) for i, (u, d) in enumerate(pairs)], "i int, u string, d string")
+    df = df.select("i", F.parse_json("u").alias("u"), F.parse_json("d").alias("d"))
+    got = df.select("i", F.to_json(cd.merge_defaults(df, "u", "d")).alias("m")).collect()
+    assert [json.loads(r.m) for r in sorted(got)] == [merged_dicts(u, d) for u, d in pairs]
+
+
+def test_merge_structs_inside_maps(spark):
+    user = {"p": (1, "x"), "n": None}
+    default = {"p": ("8", 0.5), "q": ("9", 1.5), "n": ("7", 2.5)}
+    got = merged(spark, user, "map<string,struct<a:int,b:string>>", default, "map<string,struct<a:string,r:double>>")
+    assert {k: v and v.asDict() for k, v in got.items()} == {
+        "p": {"a": 1, "b": "x", "r": 0.5}, "n": None, "q": {"a": 9, "b": None, "r": 1.5}}
+    only = merged(spark, user, "map<string,struct<a:int,b:string>>", None, "map<string,struct<a:int,r:double>>")
+    assert only["p"].asDict() == {"a": 1, "b": "x", "r": None}
+    with pytest.raises(TypeError):
+        merged(spark, {"p": 1}, "map<string,int>", {"p": (1,)}, "map<string,struct<a:int>>")
+
+
+def test_merge_what_differs_in_kind_gives_a_variant(spark):
+    df = spark.createDataFrame([((1, None), {"a": 5, "c": 6}, '{"b":{"x":1},"d":2}')], "s struct<a:int,b:int>, m map<string,int>, j string")
+    df = df.withColumn("v", F.parse_json("j"))
+
+    def text(user, default):
+        return json.loads(df.select(F.to_json(cd.merge_defaults(df, user, default))).first()[0])
+
+    assert text("s", "m") == {"a": 1, "c": 6} or text("s", "m") == {"a": 1, "b": None, "c": 6}
+    assert text("v", "m") == {"a": 5, "b": {"x": 1}, "c": 6, "d": 2}
+    assert text("v", "s")["b"] == {"x": 1} and text("v", "s")["a"] == 1
+    assert text("m", "v") == {"a": 5, "b": {"x": 1}, "c": 6, "d": 2}
