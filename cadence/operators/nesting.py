@@ -298,12 +298,8 @@ def _from_entries(entries: Column) -> Column:
     return once(paths, text)
 
 
-def merge_variants(user: Column, default: Column) -> Column:
-    """Variant ``user`` with what it lacks taken from the variant ``default``, at any depth.
-
-    Both are taken apart to leaves; a default's leaf is added unless the user has anything at
-    its path or below, or a leaf above it.  Where either is not an object the user's value stays.
-    """
+def _merge_leaves(user: Column, default: Column) -> Column:
+    """Two variant objects of any depth, taken apart to leaves and put together again."""
     def merged(sides: Column) -> Column:
         own, given = sides["own"], sides["given"]
 
@@ -320,9 +316,29 @@ def merge_variants(user: Column, default: Column) -> Column:
             given, lambda g: below(g["path"], o["path"])))
         return F.parse_json(_from_entries(F.concat(kept, added)))
 
-    both = as_object(user).isNotNull() & as_object(default).isNotNull()
-    sides = F.struct(_entries(user).alias("own"), _entries(default).alias("given"))
-    return F.when(both, once(sides, merged)).otherwise(user)
+    return once(F.struct(_entries(user).alias("own"), _entries(default).alias("given")), merged)
+
+
+def merge_variants(user: Column, default: Column, levels: int = 4) -> Column:
+    """Variant ``user`` with what it lacks taken from the variant ``default``, at any depth.
+
+    Members are merged level by level through maps; what lies deeper than ``levels`` is taken
+    apart to leaves.  Where either is not an object the user's value stays.
+    """
+    def merged(own: Column, given: Column) -> Column:
+        if not levels:
+            return _merge_leaves(user, default)
+
+        def member(key: Column, value: Column) -> Column:
+            below = merge_variants(value, F.element_at(given, key), levels - 1)
+            return F.when(F.map_contains_key(given, key), below).otherwise(value)
+
+        missing = F.map_filter(given, lambda k, _: ~F.map_contains_key(own, k))
+        return F.to_variant_object(F.map_concat(F.transform_values(own, member), missing))
+
+    both = F.struct(as_object(user).alias("own"), as_object(default).alias("given"))
+    return once(both, lambda m: F.when(
+        m["own"].isNotNull() & m["given"].isNotNull(), merged(m["own"], m["given"])).otherwise(user))
 
 
 def _merge(user: Column, user_type: T.DataType, default: Column, default_type: T.DataType,

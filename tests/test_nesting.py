@@ -189,8 +189,10 @@ def test_merge_variants_of_any_depth(spark):
     pairs = [p for p in pairs if '"": {"' not in json.dumps(p)]
     df = spark.createDataFrame([(i, json.dumps(u), json.dumps(d)) for i, (u, d) in enumerate(pairs)], "i int, u string, d string")
     df = df.select("i", F.parse_json("u").alias("u"), F.parse_json("d").alias("d"))
-    got = df.select("i", F.to_json(cd.merge_defaults(df, "u", "d")).alias("m")).collect()
-    assert [json.loads(r.m) for r in sorted(got)] == [merged_dicts(u, d) for u, d in pairs]
+    ways = [cd.merge_defaults(df, "u", "d")] + [cd.merge_variants(df.u, df.d, levels=n) for n in (0, 2)]
+    rows = sorted(df.select("i", *(F.to_json(w).alias(f"m{k}") for k, w in enumerate(ways))).collect())
+    for k in range(len(ways)):
+        assert [json.loads(r[f"m{k}"]) for r in rows] == [merged_dicts(u, d) for u, d in pairs]
 
 
 def test_merge_structs_inside_maps(spark):
