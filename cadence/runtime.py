@@ -74,6 +74,12 @@ def _locate(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that Spark takes it to."""
+    fs, where = _locate(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def is_committed(spark: SparkSession, path: str) -> bool:
     """True when a write to ``path`` finished: Spark adds ``_SUCCESS`` last."""
     fs, where = _locate(spark, f"{path}/_SUCCESS")
