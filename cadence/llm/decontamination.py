@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.runtime import stage
+from cadence.runtime import quoted, stage
 
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
@@ -54,11 +54,14 @@ def _hits_to_spans(hits: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _code_points(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     """Runs of words to where they stand in the text, in code points."""
+    if not spans:
+        return []
     places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_TABLE_KEEP))]
+    # a code point begins at every byte that does not continue one
+    begins = np.frombuffer(text, np.uint8) & 0xC0 != 0x80
+    before = np.concatenate([[0], np.cumsum(begins)])
     return [
-        {"start": len(text[:places[a][0]].decode("utf-8", "replace")),
-         "stop": len(text[:places[b - 1][1]].decode("utf-8", "replace"))}
-        for a, b in spans
+        {"start": int(before[places[a][0]]), "stop": int(before[places[b - 1][1]])} for a, b in spans
     ]
 
 
@@ -171,7 +174,7 @@ def contamination(
 
     The windows' size is measured; up to ``broadcast_bytes`` they go to every worker as a hash
     set, and documents are scanned where they are, without a shuffle.  Beyond, windows of
-    documents and items are joined.  Both give the same rows.
+    documents and items are joined.  Both give the same rows and columns, ``out_col`` last.
     """
     spark = docs.sparkSession
     windows = stage(
@@ -182,18 +185,23 @@ def contamination(
     ).first()["n"] or 0
     if size > broadcast_bytes:
         return _joined(docs, windows, text_col, out_col)
-    sent = spark.sparkContext.broadcast({bytes(r["window"]): r["items"] for r in windows.collect()})
+    # plain values, which a worker unpacks once and keeps for its later tasks
+    sent = spark.sparkContext.broadcast(
+        vars(WindowSet({bytes(r["window"]): r["items"] for r in windows.collect()})))
 
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WindowSet(sent.value)
+        known = WindowSet.__new__(WindowSet)
+        known.__dict__ = sent.value
         for texts in batches:
             out: list[dict] = []
             for at in range(0, len(texts), 200):
                 out += known.scan(texts.slice(at, 200).to_pylist())
             yield pa.array(out, _ARROW)
 
-    return docs.withColumn(out_col, scan(F.col(text_col).cast("binary")))
+    return docs.select(
+        *(F.col(quoted(c)) for c in docs.columns if c != out_col),
+        scan(F.col(quoted(text_col)).cast("binary")).alias(out_col))
 
 
 _ARROW = pa.struct([
@@ -229,16 +237,18 @@ def _joined(docs: DataFrame, windows: DataFrame, text_col: str, out_col: str) ->
             out.append(_found(text, len(words_of(text)), spans, items))
         return pa.array(out, _ARROW)
 
-    data = F.col(text_col).cast("binary")
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = stage(docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc")), "rows")
+    data = F.col(f"doc.{quoted(text_col)}").cast("binary")
     found = (
-        rows.select("__row", F.explode(cut(data)).alias("w")).select("__row", "w.*")
-        .join(windows, "window").groupBy("__row")
-        .agg(F.collect_list(F.struct("start", "n", "items")).alias("__hits"))
+        rows.select("row", F.explode(cut(data)).alias("w")).select("row", "w.*")
+        .join(windows, "window").groupBy("row")
+        .agg(F.collect_list(F.struct("start", "n", "items")).alias("hits"))
     )
-    return rows.join(found, "__row", "left").withColumn(
-        out_col, gather(data, F.col("__hits"))
-    ).drop("__row", "__hits")
+    return rows.join(found, "row", "left").select("doc", gather(data, F.col("hits")).alias("found")).select(
+        *(F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns if c != out_col),
+        F.col("found").alias(out_col))
 
 
 def without_spans(text: Column, spans: Column) -> Column:
@@ -259,8 +269,11 @@ def decontaminate(
     """``docs`` without contaminated documents, or (``remove="spans"``) without the hit spans."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
-    found = contamination(docs, benchmark, text_col, out_col="__found", **options)
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    found = contamination(docs, benchmark, text_col, out_col=name, **options)
     if remove == "documents":
-        return found.where("__found.n_hit = 0").drop("__found")
-    cleaned = without_spans(F.col(text_col), F.col("__found.spans"))
-    return found.withColumn(text_col, cleaned).drop("__found")
+        return found.where(F.col(f"{name}.n_hit") == 0).drop(name)
+    cleaned = without_spans(F.col(text_col), F.col(f"{name}.spans"))
+    return found.withColumn(text_col, cleaned).drop(name)

@@ -6,8 +6,9 @@ import sys
 from array import array
 from collections.abc import Callable
 
-WORDS_KEPT = 400_000
-"""Encoded words that one worker remembers; further words are encoded each time they occur."""
+WORDS_KEPT, LETTERS_KEPT = 400_000, 48
+"""Encoded words that one worker remembers, and their greatest length, which bounds the bytes;
+further and longer words are encoded each time they occur."""
 
 
 def tokenizer_json(path: str) -> str:
@@ -53,7 +54,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word) if word else b""
-        if len(self) < WORDS_KEPT:
+        if len(self) < WORDS_KEPT and len(word) <= LETTERS_KEPT:
             self[word] = ids
         return ids
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = 4
@@ -25,7 +25,13 @@ RIDGE = 1e-3
 SHARPNESS = 4.0
 """Scores are the softmax of this times the regressions' values."""
 UNKNOWN = "und"
-PREDICTED = "struct<lang_pred:string,score:double>"
+LANGUAGES = 500
+"""Languages learned at most, those with the most labelled texts."""
+EVIDENCE, CLAIMED, MISSED = 40, 0.05, 0.001
+"""A text with fewer distinct n-grams is too short to be called foreign.  Others are, if no
+regression's value reaches a bound: what all but ``MISSED`` of the labelled texts reach when the
+regression has not seen them, and ``CLAIMED`` at most (a text of the language has 1, others -1)."""
+PREDICTED = "struct<lang_pred:string,score:double,known:boolean>"
 
 
 def letter_table() -> np.ndarray:
@@ -67,6 +73,8 @@ class LanguageModel:
     languages: list[str]
     weights: np.ndarray
     """One row per place of an n-gram, one column per language."""
+    least: float = CLAIMED
+    """Where no value reaches this, the text is in none of the languages."""
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Values of the regressions, one row per text with n-grams."""
@@ -93,12 +101,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Lang
     by_language = {name: [g for g, label in found if label == name] for name in languages}
     each = -(-landmarks // len(languages))
     chosen = [g for name in languages for g in by_language[name][:each]]
-    z = np.zeros((len(chosen), SLOTS), np.float32)
-    for row, g in zip(z, chosen):
-        row[g] = 1 / np.sqrt(len(g))
+    z = np.zeros((SLOTS, len(chosen)), np.float32)  # a row per place, so that texts pick rows
+    for k, g in enumerate(chosen):
+        z[g, k] = 1 / np.sqrt(len(g))
 
     def kernel(rows: list[np.ndarray]) -> np.ndarray:
-        return np.stack([z[:, g].sum(axis=1) / np.sqrt(len(g)) for g in rows]).astype(np.float64)
+        return np.stack([z[g].sum(axis=0, dtype=np.float64) / np.sqrt(len(g)) for g in rows])
 
     values, vectors = np.linalg.eigh(kernel(chosen))
     good = values > 1e-6 * values.max()
@@ -106,8 +114,15 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Lang
     features = kernel([g for g, _ in found]) @ root
     target = np.array([[1.0 if label == n else -1.0 for n in languages] for _, label in found])
     gram = features.T @ features + RIDGE * len(found) * np.eye(features.shape[1])
-    weights = root @ np.linalg.solve(gram, features.T @ target)
-    return LanguageModel(languages, (z.T @ weights.astype(np.float32)).astype(np.float32))
+    solved = np.linalg.solve(gram, features.T @ target)
+    # values of each text by the regression without it, from its share in its own value
+    own = np.einsum("ij,ji->i", features, np.linalg.solve(gram, features.T))[:, None]
+    unseen = (features @ solved - own * target) / np.maximum(1 - own, 1e-9)
+    enough = np.array([len(g) >= EVIDENCE for g, _ in found])
+    least = CLAIMED
+    if enough.any():
+        least = min(CLAIMED, float(np.quantile(unseen[enough].max(axis=1), MISSED)))
+    return LanguageModel(languages, (z @ (root @ solved).astype(np.float32)).astype(np.float32), least)
 
 
 def learn(
@@ -117,57 +132,65 @@ def learn(
     """Fit on at most ``rows`` labelled texts, as many of each language.
 
     Which rows are taken follows a hash of id and text, so it does not depend on their order;
-    rows without a label, a text or a letter are left out.  One pass counts labels, a second
-    fetches a slice of the hash with some twice the rows wanted of each language.  The driver
-    holds that sample and the model.
+    rows without a label, a text or a letter are left out, and rows that repeat an id and text
+    count once.  One pass counts labels, a second fetches a slice of the hash with some twice the
+    rows wanted of each language, of which the first are taken.  The driver holds that sample,
+    at most ``LANGUAGES`` counts and the model.
     """
     rated = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("rank"),
     )
-    counts = {r["lang"]: r["count"] for r in rated.groupBy("lang").count().collect()}
+    counts = {
+        r["lang"]: r["count"]
+        for r in rated.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    }
     if not counts:
         return fit([], [])
     share = max(1, rows // len(counts))
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        bound = min(-(1 << 63) + int((1 << 64) * min(1.0, 2 * share / n)), (1 << 63) - 1)
-        wanted |= (F.col("lang") == lang) & (F.col("rank") <= bound)
-    found = rated.where(wanted & F.col("text").rlike(r"\p{L}"))
-    taken: dict[str, list] = {lang: [] for lang in counts}
-    for r in found.orderBy("rank", "lang", "text").limit(4 * rows).collect():
-        if len(taken[r["lang"]]) < share:
-            taken[r["lang"]].append(r["text"])
-    sample = [(text, lang) for lang in sorted(taken) for text in taken[lang]]
-    return fit([text for text, _ in sample], [lang for _, lang in sample])
+    bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (
+        lang, min(-(1 << 63) + int((1 << 64) * min(1.0, 2 * share / n)), (1 << 63) - 1))))
+    found = rated.where((F.col("rank") <= F.element_at(bounds, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))
+    sample = found.dropDuplicates(["lang", "rank"]).withColumn("at", first).where(F.col("at") <= share)
+    taken = sorted((r["lang"], r["at"], r["text"]) for r in sample.select("lang", "at", "text").collect())
+    return fit([text for _, _, text in taken], [lang for lang, _, _ in taken])
 
 
 def language(spark, model: LanguageModel, text: Column) -> Column:
-    """A struct ``lang_pred, score`` for a text column.
+    """A struct ``lang_pred, score, known`` for a text column.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
+    ``known`` is false where there is no letter, and where a text with evidence enough is claimed
+    by none of the languages; if nothing was learned, letters are enough.
     """
-    sent = spark.sparkContext.broadcast((model.languages, model.weights))
+    sent = spark.sparkContext.broadcast((model.languages, model.weights, model.least))
 
     @F.arrow_udf(PREDICTED)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, weights = sent.value
-        known, grams = LanguageModel(names, weights), Grams()
+        names, weights, least = sent.value
+        model, grams = LanguageModel(names, weights, least), Grams()
         for batch in batches:
-            out = [{"lang_pred": UNKNOWN, "score": 0.0}] * len(batch)
-            for at in range(0, len(batch) if names else 0, 256):
+            out = [{"lang_pred": UNKNOWN, "score": 0.0, "known": False}] * len(batch)
+            for at in range(0, len(batch), 256):
                 found = [grams(t.as_py()) for t in batch.slice(at, 256)]
                 rows = [k for k, g in enumerate(found) if len(g)]
                 if not rows:
                     continue
-                values = known.scores([found[k] for k in rows]).astype(np.float64)
-                shares = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)))
+                if not names:
+                    for k in rows:
+                        out[at + k] = {"lang_pred": UNKNOWN, "score": 0.0, "known": True}
+                    continue
+                values = model.scores([found[k] for k in rows]).astype(np.float64)
+                best = values.max(axis=1)
+                shares = np.exp(SHARPNESS * (values - best[:, None]))
                 shares /= shares.sum(axis=1, keepdims=True)
-                for k, best, share in zip(rows, shares.argmax(axis=1), shares.max(axis=1)):
-                    out[at + k] = {"lang_pred": names[best], "score": float(share)}
-            yield pa.array(
-                out, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
-            )
+                for k, place, share, value in zip(rows, shares.argmax(axis=1), shares.max(axis=1), best):
+                    known = value >= least or len(found[k]) < EVIDENCE
+                    out[at + k] = {
+                        "lang_pred": names[place], "score": float(share), "known": bool(known)}
+            yield pa.array(out, pa.struct(
+                [("lang_pred", pa.string()), ("score", pa.float64()), ("known", pa.bool_())]))
 
     return predict(text)
 

@@ -64,7 +64,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
 
     Lengths above a third of the capacity: the longest left takes the longest other that fits
     beside it, so a sequence gets two of them at most.  Shorter ones, longest first, go where
-    the least room is left that suffices, else into new sequences.
+    the least room is left that suffices, else into new sequences, as if placed one by one.
     """
     bins, runs, used = _Bins(capacity), [], defaultdict(int)
 
@@ -130,10 +130,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
                         bins.put(capacity - pieces * length, first, count)
                 left = 0
             else:
+                # a sequence that has taken one has the least room of those that take another
                 gap, first, count = found
-                place(length, count, first, capacity - gap)
-                bins.put(gap - length, first, count)
-                left -= count
+                each = gap // length
+                full = min(count, left // each)
+                rest = left - full * each if full < count else 0
+                for sequences, pieces, at in ((full, each, first), (1 if rest else 0, rest, first + full)):
+                    if sequences:
+                        for k in range(pieces):
+                            place(length, sequences, at, capacity - gap + k * length)
+                        bins.put(gap - pieces * length, at, sequences)
+                used_up = full + (1 if rest else 0)
+                if used_up < count:
+                    bins.put(gap, first + used_up, count - used_up)
+                left -= full * each + rest
     return runs
 
 
@@ -210,7 +220,8 @@ def pack(
     other columns are ignored, an empty table gives no rows.
 
     Pieces are written once to the staging folder, with a number among those of the same
-    length and task; numbers over all tasks follow from the counts per task and length.
+    length and task; numbers over all tasks follow from the counts per task and length, which
+    are joined as one row of at most ``capacity`` numbers per task.
     """
     spark, keys = docs.sparkSession, len(key_cols)
     kinds = [docs.schema[c].dataType.simpleString() for c in key_cols]
@@ -230,11 +241,15 @@ def pack(
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    before = counted.select(
-        "length", "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")
+    # one row per task, with as many numbers as there are lengths
+    before = (
+        counted.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
+        .groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("m"))
+        .select(F.col("part").alias("of"), F.transform(
+            F.sequence(F.lit(0), F.lit(capacity)), lambda n: F.element_at("m", n.cast("bigint"))).alias("before"))
     )
-    numbered = pieces.join(before, ["length", "part"]).withColumn(
-        "number", F.col("before") + F.col("number")
+    numbered = pieces.join(before, F.col("part") == F.col("of")).withColumn(
+        "number", F.get("before", F.col("length").cast("int")) + F.col("number")
     )
     names = [*[f"key_{k}" for k in range(keys)], "piece", "start", "length", "ids"]
     placed = numbered.select(*names, "number").mapInArrow(

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.components import connected_components
-from cadence.runtime import stage
+from cadence.runtime import quoted, remove, stage, staging_path
 
 BITS, SEED, DISTANCE = 64, 42, 4
 SEGMENT_BITS = 32
@@ -37,6 +37,10 @@ BLOCK = 4096
 """Entries of a bucket that meet in one place; larger buckets are dealt into blocks."""
 SMALL = 32
 """Sets with fewer shingles are not told apart by fingerprints."""
+PARTNERS = 256
+"""Texts that one sent text is compared with."""
+BROADCAST_NODES = 250_000
+"""Nodes whose texts are fetched by a table that every executor gets."""
 LEAST_LINKED = 20
 """Representatives are tried again while they link more than one node in so many."""
 # additive constants that give one hash several independent words (fixed values)
@@ -276,17 +280,17 @@ def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, sim
     return hashes[np.lexsort((hashes, place))[:length]]
 
 
-def frequent_shingles(rows: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that recur in some of the rows, and their ranks by frequency."""
+def frequent_shingles(texts: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that recur in some of the texts, and their ranks by frequency."""
 
     @F.arrow_udf("array<bigint>")
     def hashes_of(texts: pa.Array) -> pa.Array:
         found = [np.unique(shingle_hashes(t.as_py() or b"", words_per_shingle)) for t in texts]
         return pa.array([f.view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
 
-    every = max(1, rows.count() // FREQUENT_ROWS)
+    every = max(1, texts.count() // FREQUENT_ROWS)
     counts = (
-        rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+        texts.where(F.pmod(F.xxhash64("print"), F.lit(every)) == 0)
         .select(F.explode(hashes_of("text")).alias("h")).groupBy("h").count().where("count >= 4")
         .orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     )
@@ -301,23 +305,46 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= 1 and shared / (len(a) + len(b) - shared) >= similarity
 
 
+class _Scratch:
+    """Staged tables of a run by label; a new one under a label drops the one before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        path = staging_path(self.spark, label)
+        df.write.parquet(path)
+        self.drop(label)
+        self.paths[label] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            if label in self.paths:
+                remove(self.spark, self.paths.pop(label))
+
+
 class _Candidates:
     """Pairs of distinct shingle sets that share a key and are near by fingerprint and size.
 
-    All steps are Spark joins and combined aggregates.  ``prints`` has a row per shingle set:
-    ``node, row, first_id, words, size, keys``.
+    All steps are Spark joins and combined aggregates.  ``prints`` has a row per shingle set that
+    shares a key with another: ``node, words, size, keys``, the keys being those that are shared.
+    ``distance`` None lets fingerprints decide nothing.
     """
 
-    def __init__(self, prints: DataFrame, distance: int, similarity: float):
-        self.prints, self.distance, self.similarity = prints, distance, similarity
+    def __init__(self, prints: DataFrame, distance: int | None, similarity: float, scratch: _Scratch):
+        self.prints, self.distance, self.similarity, self.scratch = prints, distance, similarity, scratch
         self.shape = prints.select("node", "words", "size")
 
     def _near(self, x: str, y: str) -> Column:
         size_x, size_y = F.col(f"{x}.size"), F.col(f"{y}.size")
         # a similarity is never above the sizes' ratio
         less, more = F.least(size_x, size_y), F.greatest(size_x, size_y)
-        near = (less < SMALL) | (self._bits(x, y) <= self.distance)  # the spread holds for many
-        return near & (less / more >= self.similarity)
+        near = less / more >= self.similarity
+        if self.distance is None:
+            return near
+        # the spread holds for many shingles
+        return near & ((less < SMALL) | (self._bits(x, y) <= self.distance))
 
     @staticmethod
     def _bits(x: str, y: str) -> Column:
@@ -373,7 +400,7 @@ class _Candidates:
         """``a, b, bits``: all pairs of nodes with different labels, where ``a`` has
         another than its bucket's commonest; a pair without such a node has one label."""
         entries, mains = self._buckets(labels, F.col("keys"), 0)
-        shared = stage(
+        shared = self.scratch.put(
             entries.join(mains.drop("b"), "key").join(self.shape, "node"), "buckets"
         )
         others, members = self._dealt(shared)
@@ -386,51 +413,93 @@ class _Candidates:
         )
 
 
+def _compared(words_per_shingle: int, similarity: float):
+    """Batches of (b, block, a, text), the text of ``b`` itself before those of its partners, to
+    the pairs that have the similarity."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, one = None, None
+        for batch in batches:
+            b, block, a = (batch.column(k).to_pylist() for k in range(3))
+            found = []
+            for k, text in enumerate(batch.column(3)):
+                hashes = np.unique(shingle_hashes(text.as_py() or b"", words_per_shingle))
+                if a[k] is None:
+                    own, one = hashes, (b[k], block[k])
+                elif one != (b[k], block[k]):
+                    raise RuntimeError(f"no text came before the partners of {b[k]}")
+                elif alike(own, hashes, similarity):
+                    found.append(k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c[k] for k in found], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    return compared
+
+
 def _verified_pairs(
-    pairs: DataFrame, prints: DataFrame, rows: DataFrame, words_per_shingle: int, similarity: float
+    pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float
 ) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose texts have the similarity."""
-
-    @F.arrow_udf("boolean")
-    def same(one: pa.Array, other: pa.Array) -> pa.Array:
-        kept, found = {}, []
-        for x, y in zip(one, other):
-            sets = []
-            for text in (x.as_py(), y.as_py()):
-                if text not in kept:
-                    if len(kept) > 16:
-                        kept.pop(next(iter(kept)))
-                    kept[text] = np.unique(shingle_hashes(text, words_per_shingle))
-                sets.append(kept[text])
-            found.append(alike(*sets, similarity))
-        return pa.array(found, pa.bool_())
-
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = prints.select("node", "row").join(needed, "node", "left_semi").join(rows, "row").select(
-        "node", "text"
+    """The pairs ``a, b`` of nodes whose texts have the similarity.
+
+    ``nodes`` gives each node's text by its ``print`` in ``texts``.  The text of ``b`` is sent
+    once for up to ``PARTNERS`` of its partners, which meet it in one place.
+    """
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = nodes.select("node", "print").join(ends, "node", "left_semi")
+    if needed.count() <= BROADCAST_NODES:
+        needed = F.broadcast(needed)  # 24 bytes each; else both sides are shuffled
+    own = texts.join(needed, "print").groupBy("node").agg(F.any_value("text").alias("text"))
+    groups = blocks.join(own, F.col("b") == F.col("node")).select(
+        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+        F.lit(None).cast("bigint").alias("a"), "text")
+    partners = (
+        pairs.join(blocks, "b").join(own, F.col("a") == F.col("node"))
+        .select("b", F.pmod(F.xxhash64("a"), "blocks").alias("block"), "a", "text")
+    )
+    return (
+        groups.unionByName(partners).repartition("b", "block")
+        .sortWithinPartitions("b", "block", F.col("a").isNotNull())
+        .mapInArrow(_compared(words_per_shingle, similarity), "a bigint, b bigint")
     )
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(other, "b").where(same("text_a", "text_b")).select("a", "b")
+
+
+def _joined_labels(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the labels that the links ``found`` connect made one."""
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    every = labels.unionByName(new)
+    x = every.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    y = every.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    links = found.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = connected_components(links).withColumnRenamed("node", "label")
+    return every.join(roots, "label", "left").select(
+        "node", F.coalesce("component", "label").alias("label"))
+
+
+def text_print(text: Column) -> Column:
+    """16 bytes that tell texts apart; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
 
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5,
-    similarity: float = 0.8, row_col: str | None = None,
+    similarity: float = 0.8, fingerprints_decide: bool = True,
 ) -> DataFrame:
     """``id, fp, component`` as :func:`near_duplicate_groups`, for a similarity of shingle sets.
 
     Texts with one shingle set are a node, ``fp`` its digest.  Each is entered under the first
     fifth (at 0.8) of its shingles in one order, the frequent last, where any two sets of the
-    similarity meet.  Pairs that share a key and are near by size and by fingerprints of 192 bits
-    are candidates.  A pair is linked if the shingle sets of its two texts have the Jaccard
-    similarity, and only then.
+    similarity meet.  Shingles that no other node is entered under are dropped before anything
+    else is done.  Pairs that share a key and are near by size and by fingerprints of 192 bits
+    are candidates (``fingerprints_decide=False`` leaves the fingerprints out, and is exact).  A
+    pair is linked if the shingle sets of its two texts have the Jaccard similarity, and only then.
 
     First each node is tested against the nearest representative of its buckets, as long as
     that links many; a crowd of near copies costs about its size.  Then all pairs of a bucket
     that no link connects yet are tested, those nearest by fingerprint first.  Texts without
-    words form a group.  ``row_col`` names a written column that tells rows apart; without it
-    the rows are numbered and written here.
+    words form a group.  ``docs`` is read several times and should be a stored table; texts are
+    found again by their prints, so rows that repeat an id or lack one need no number.
     """
     kind = pa.struct([("fp", pa.binary()), ("words", pa.list_(pa.int64())), ("size", pa.int32()),
                       ("keys", pa.list_(pa.int64()))])
@@ -446,39 +515,47 @@ def similar_groups(
     def prints_of(texts: pa.Array) -> pa.Array:
         return pa.array([described(t.as_py()) for t in texts], kind)
 
-    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(
-        number.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")
-    )
-    rows = rows if row_col else stage(rows, "rows")
-    frequent, ranks = frequent_shingles(rows, words_per_shingle)
-    marked = stage(rows.select("row", "id", prints_of("text").alias("p")).select("row", "id", "p.*"),
-                   "fingerprints")
-    prints = stage(
+    spark = docs.sparkSession
+    scratch = _Scratch(spark)
+    text = F.col(quoted(text_col))
+    texts = docs.select(text_print(text).alias("print"), text.cast("binary").alias("text"))
+    frequent, ranks = frequent_shingles(texts, words_per_shingle)
+    marked = scratch.put(
+        docs.select(F.col(quoted(id_col)).alias("id"), text_print(text).alias("print"),
+                    prints_of(text.cast("binary")).alias("p")).select("id", "print", "p.*"),
+        "marked")
+    members = scratch.put(marked.select("id", "fp"), "members")
+    prints = scratch.put(
         marked.groupBy("fp").agg(
-            F.min("id").alias("first_id"), F.min("row").alias("row"),
+            F.min("id").alias("first_id"), F.min("print").alias("print"),
             F.any_value(F.struct("words", "size", "keys")).alias("p"),
-        ).select(F.monotonically_increasing_id().alias("node"), "fp", "first_id", "row", "p.*"),
-        "distinct",
+        ).select(F.monotonically_increasing_id().alias("node"), "fp", "first_id", "print", "p.*"),
+        "prints",
     )
-    nodes, texts = prints.count(), rows.select("row", "text")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    scratch.drop("marked")
+    nodes = scratch.put(prints.select("node", "fp", "first_id", "print"), "nodes")
+    entries = prints.select(F.explode("keys").alias("key"), "node")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    own_shared = entries.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    meeting = scratch.put(
+        prints.select("node", "words", "size").join(own_shared, "node"), "meeting")
+    scratch.drop("prints")
+
+    total = nodes.count()
     labels = spark.createDataFrame([], "node bigint, label bigint")
-    proposed = _Candidates(prints, wide_distance(similarity), similarity)
+    distance = wide_distance(similarity) if fingerprints_decide else None
+    proposed = _Candidates(meeting, distance, similarity, scratch)
 
     def test(pairs: DataFrame) -> int:
-        nonlocal links, labels
-        found = stage(_verified_pairs(pairs, prints, texts, words_per_shingle, similarity), "similar")
+        nonlocal labels
+        found = scratch.put(_verified_pairs(pairs, nodes, texts, words_per_shingle, similarity), "similar")
         passed = found.count()
         if passed:
-            links = links.union(found)
-            labels = stage(connected_components(links), "components").select(
-                "node", F.col("component").alias("label"))
+            labels = scratch.put(_joined_labels(labels, found), "labels")
         return passed
 
     turn = 0
-    while test(stage(proposed.nearest_stars(labels, turn), "stars")) * LEAST_LINKED > nodes:
+    while test(scratch.put(proposed.nearest_stars(labels, turn), "stars")) * LEAST_LINKED > total:
         turn += 1
     tested, nearest = spark.createDataFrame([], "a bigint, b bigint"), 8
     while True:
@@ -487,16 +564,17 @@ def similar_groups(
             F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "*"
         ).join(tested.select(F.col("a").alias("low"), F.col("b").alias("high")),
                ["low", "high"], "left_anti")
-        pairs = stage(pairs.withColumn("rank", rank).where(F.col("rank") <= nearest + 1), "pairs")
-        now = stage(pairs.where(F.col("rank") <= nearest).select(
-            F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "tested")
+        pairs = scratch.put(pairs.withColumn("rank", rank).where(F.col("rank") <= nearest + 1), "pairs")
+        now = scratch.put(pairs.where(F.col("rank") <= nearest).select(
+            F.col("low").alias("a"), F.col("high").alias("b")).distinct(), f"tested-{nearest}")
+        scratch.drop("buckets")
         test(now)
         if pairs.where(F.col("rank") > nearest).isEmpty():
             break
         tested, nearest = tested.union(now), nearest * 4
-    rooted = prints.join(labels, "node", "left").select(
+    rooted = nodes.join(labels, "node", "left").select(
         "fp", "first_id", F.coalesce("label", "node").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    return marked.select("id", "fp").join(
+    return members.join(
         rooted.join(roots, "root").select("fp", "component"), "fp"
     ).select("id", "fp", "component")

@@ -9,16 +9,20 @@ import uuid
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
-from cadence.runtime import staging_path
+from cadence.runtime import qualified, staging_path
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``."""
-    return staging_path(spark, label)
+    """A fresh folder under ``spark.checkpoint.dir``, with the scheme of its file system."""
+    return qualified(spark, staging_path(spark, label))
 
 
 class Folder:
-    """A folder by URI (``file:``, ``hdfs:``, ``s3:``, ``gs:``) or absolute path.
+    """A folder by URI (``file:``, ``hdfs:``, ``s3:``, ``gs:``).
+
+    A path without a scheme belongs to Spark's default file system, which only the driver knows;
+    it qualifies such paths before tasks see them (``cadence.runtime.qualified``).  Here an
+    absolute path without a scheme is a local one.
 
     A writing task puts its file under a name of its own, so attempts never meet; the driver
     lists the files that count in a manifest once all tasks ended.  Files of lost or repeated

@@ -16,6 +16,9 @@ uint16/32 [symbols]   the documents, one after the other
 Symbols below the first rule's number are ids, others rules; the number follows the block's
 largest id, so that most blocks need two bytes per symbol.  No rule spans two documents, so a
 document is decoded from its own symbols, and a range of its ids from those that cover it.
+
+After the blocks stands where each begins and which ids it holds, as ``int64 [blocks, 3]`` (byte,
+least id, greatest id), and last ``uint64`` the byte at which that index begins.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from pyspark.sql.datasource import (
 
 from cadence.llm.encoding import encoder, tokenizer_json
 from cadence.llm.storage import Folder
+from cadence.runtime import qualified
 
 HEADER = "<4sIIIIIQ"
 HEADER_BYTES = struct.calcsize(HEADER)
@@ -42,10 +46,12 @@ MAGIC = b"RPB1"
 BLOCK_IDS = 1 << 20
 """A block is closed at so many ids; one longer document makes a block of its own."""
 FILE_BLOCKS = 64
-ROUNDS = 5
 SLOTS = 1 << 18
 """Pairs are first counted by a hash, so that only those that may be frequent are sorted."""
 LEAST_COUNT = 8
+"""Pairs that occur less often get no rule."""
+SHARE = 4
+"""A round replaces pairs that occur at least a so-many-th as often as the most frequent one."""
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
@@ -58,29 +64,40 @@ class Grammar:
     first_rule: int
 
 
-def build_grammar(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> Grammar:
-    """Replace frequent pairs by rules, most frequent first.
+def _frequent_pairs(symbols: np.ndarray, opens: np.ndarray, share: int):
+    """Places, distinct pairs, the pair of each place and counts of the most frequent pairs: those
+    of at least a ``share``-th of the greatest count, and ``LEAST_COUNT``.  None if no pair is."""
+    slot = (symbols[:-1] * 0x9E3779B1 + symbols[1:]) & (SLOTS - 1)
+    slot[opens[1:]] = SLOTS  # not a pair: the second symbol opens a document
+    slots = np.bincount(slot, minlength=SLOTS + 1)
+    slots[SLOTS] = 0
+    least = max(LEAST_COUNT, int(slots.max(initial=0)) // share)
+    while True:
+        at = np.flatnonzero(slots[slot] >= least)  # no pair occurs more often than its slot
+        pairs = (symbols[at] << 32) | symbols[at + 1]
+        found, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        # several pairs may have filled the fullest slot; then the bound comes down to the pairs'
+        most = int(counts.max(initial=0))
+        if most >= least or least == LEAST_COUNT:
+            return (at, found, which, counts, least) if most >= least else None
+        least = max(LEAST_COUNT, min(least - 1, most) // share)
+
+
+def build_grammar(ids: np.ndarray, starts: np.ndarray, share: int = SHARE) -> Grammar:
+    """Replace frequent pairs by rules, most frequent first, until no pair occurs
+    ``LEAST_COUNT`` times.
 
     Each round counts all neighbouring pairs and replaces, from left to right, those that
-    occur at least a quarter as often as the fullest slot of pairs (and ``LEAST_COUNT`` times).
+    occur at least a ``share``-th as often as the most frequent one.
     """
     symbols, first_rule = ids.astype(np.int64), int(ids.max(initial=0)) + 1
     opens = np.zeros(len(ids) + 1, dtype=bool)
     opens[starts] = True
     opens = opens[:-1]
     rules, lengths = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
-    for _ in range(rounds):
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        slot = (symbols[:-1] * 0x9E3779B1 + symbols[1:]) & (SLOTS - 1)
-        slot[opens[1:]] = SLOTS  # not a pair: the second symbol opens a document
-        slots = np.bincount(slot, minlength=SLOTS + 1)
-        slots[SLOTS] = 0
-        least = max(LEAST_COUNT, int(slots.max()) // 4)
-        at = np.flatnonzero(slots[slot] >= least)  # no pair occurs more often than its slot
-        found, which, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
+    while (counted := _frequent_pairs(symbols, opens, share)) is not None:
+        at, found, which, counts, least = counted
         frequent = counts >= least
-        if not frequent.any():
-            break
         chosen, number = found[frequent], np.cumsum(frequent) - 1
         hit = frequent[which]
         at, place = at[hit], number[which[hit]]
@@ -124,23 +141,6 @@ class Block:
         self.lengths = take("<u4", rules).astype(np.int64)
         self.symbols = take(f"<u{width}", symbols).astype(np.int64)
         self.end = at
-        self._expand_rules()
-
-    def _expand_rules(self) -> None:
-        """All rules written out one after the other; a rule's parts come before it."""
-        self.offset = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.flat = np.empty(self.offset[-1], np.int64)
-        for n, (left, right) in enumerate(self.rules.tolist()):
-            to = self.offset[n]
-            for part in (left, right):
-                if part < self.first_rule:
-                    self.flat[to] = part
-                    to += 1
-                else:
-                    k = part - self.first_rule
-                    size = self.lengths[k]
-                    self.flat[to:to + size] = self.flat[self.offset[k]:self.offset[k] + size]
-                    to += size
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         size = np.ones(len(symbols), np.int64)
@@ -148,14 +148,43 @@ class Block:
         size[rule] = self.lengths[symbols[rule] - self.first_rule]
         return size
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.sizes(symbols)
-        out = np.repeat(symbols, size)
-        rule = np.repeat(symbols >= self.first_rule, size)
+    def all_ids(self) -> np.ndarray:
+        """The ids of all documents: rules are written out one after the other, a rule's parts
+        before it, and copied to where they occur."""
+        offset = np.concatenate([[0], np.cumsum(self.lengths)])
+        flat, at = np.empty(offset[-1], np.int64), offset.tolist()
+        for n, (left, right) in enumerate(self.rules.tolist()):
+            to = at[n]
+            for part in (left, right):
+                k = part - self.first_rule
+                if k < 0:
+                    flat[to] = part
+                    to += 1
+                else:
+                    size = at[k + 1] - at[k]
+                    flat[to:to + size] = flat[at[k]:at[k + 1]]
+                    to += size
+        size = self.sizes(self.symbols)
+        out = np.repeat(self.symbols, size)
+        rule = np.repeat(self.symbols >= self.first_rule, size)
         within = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
-        out[rule] = self.flat[self.offset[out[rule] - self.first_rule] + within[rule]]
+        out[rule] = flat[offset[out[rule] - self.first_rule] + within[rule]]
         return out.astype("<u4")
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols to ids: rules are replaced by their two parts until none is left, so only
+        rules that occur are looked at."""
+        while True:
+            rule = symbols >= self.first_rule
+            if not rule.any():
+                return symbols.astype("<u4")
+            at = np.cumsum(1 + rule) - 1 - rule  # where each symbol's first part goes
+            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
+            out[at] = symbols
+            parts = self.rules[symbols[rule] - self.first_rule]
+            out[at[rule]], out[at[rule] + 1] = parts[:, 0], parts[:, 1]
+            symbols = out
+
     def tokens(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the block's document number ``doc``."""
         symbols = self.symbols[self.first[doc]:self.first[doc + 1]]
@@ -192,12 +221,24 @@ def block_bytes(doc_ids: list, ids: list[bytes], before: int) -> bytes:
     ])
 
 
-def blocks_of(data: bytes) -> Iterator[Block]:
-    at = 0
-    while at < len(data):
-        block = Block(data, at)
-        yield block
-        at = block.end
+INDEX = np.dtype([("at", "<i8"), ("least", "<i8"), ("greatest", "<i8")])
+LEAST_ID = -(1 << 63)  # where documents without an id stand
+
+
+def block_index(file) -> np.ndarray:
+    """Where the blocks of a file are and which ids they hold, read from its end."""
+    file.seek(file.size() - 8)
+    begin, = struct.unpack("<Q", file.read(8))
+    file.seek(begin)
+    return np.frombuffer(file.read(file.size() - 8 - begin), INDEX)
+
+
+def read_block(file, at: int) -> Block:
+    file.seek(at)
+    _, docs, rules, symbols, width, _, _ = struct.unpack(HEADER, file.read(HEADER_BYTES))
+    length = 9 * docs + 4 * (docs + 1) + 12 * rules + width * symbols
+    file.seek(at)
+    return Block(file.read(HEADER_BYTES + length), 0)
 
 
 @dataclass
@@ -214,23 +255,34 @@ class TokenFileWriter(DataSourceArrowWriter):
         encode, folder = self.encode(), Folder(self.folder)
         part, end = TaskContext.get().partitionId(), np.array([self.end_id], "<u4").tobytes()
         files: list[dict] = []
-        out, doc_ids, ids, pending, blocks, written, size = None, [], [], 0, 0, 0, 0
+        out, doc_ids, ids, pending, written, size = None, [], [], 0, 0, 0
+        blocks: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            nonlocal out, blocks
+            index = np.array(blocks, INDEX)
+            out.write(index.tobytes() + struct.pack("<Q", size))
+            out.close()
+            files[-1].update(
+                ids=written, size=size + index.nbytes + 8, least=int(index["least"].min()),
+                greatest=int(index["greatest"].max()))
+            out, blocks = None, []
 
         def flush() -> None:
-            nonlocal out, doc_ids, ids, pending, blocks, written, size
+            nonlocal out, doc_ids, ids, pending, written, size
             if not ids:
                 return
             if out is None:
                 files.append({"name": folder.new_name(part, ".tokens")})
-                out, blocks, written, size = folder.create(files[-1]["name"]), 0, 0, 0
+                out, written, size = folder.create(files[-1]["name"]), 0, 0
             data = block_bytes(doc_ids, ids, written)
             out.write(data)
-            written, size, blocks = written + pending, size + len(data), blocks + 1
-            files[-1].update(ids=written, size=size)
+            places = [LEAST_ID if d is None else d for d in doc_ids]
+            blocks.append((size, min(places), max(places)))
+            written, size = written + pending, size + len(data)
             doc_ids, ids, pending = [], [], 0
-            if blocks == FILE_BLOCKS:
-                out.close()
-                out = None
+            if len(blocks) == FILE_BLOCKS:
+                close()
 
         for batch in iterator:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -242,7 +294,7 @@ class TokenFileWriter(DataSourceArrowWriter):
                 pending += len(encoded) // 4
         flush()
         if out is not None:
-            out.close()
+            close()
         return Written(part, files)
 
     def commit(self, messages: list[Written]) -> None:
@@ -275,19 +327,12 @@ class TokenFileReader(DataSourceReader):
         if not partition.name:
             return
         with Folder(self.folder).open(partition.name) as file:
-            total, at = file.size(), 0
-            while at < total:
-                file.seek(at)
-                _, docs, rules, symbols, width, _, _ = struct.unpack(HEADER, file.read(HEADER_BYTES))
-                length = 9 * docs + 4 * (docs + 1) + 12 * rules + width * symbols
-                file.seek(at)
-                block = Block(file.read(HEADER_BYTES + length), 0)
-                at += HEADER_BYTES + length
-                yield self._rows(block, partition.before)
+            for at in block_index(file)["at"].tolist():
+                yield self._rows(read_block(file, at), partition.before)
 
     @staticmethod
     def _rows(block: Block, before: int) -> pa.RecordBatch:
-        ids = block.expand(block.symbols)
+        ids = block.all_ids()
         sizes = np.cumsum(block.sizes(block.symbols))
         ends = np.concatenate([[0], sizes])[block.first]
         data = ids.tobytes()
@@ -327,33 +372,42 @@ def write_token_files(
 
     Range partitions keep the order across files; the texts are shuffled once and encoded
     where they arrive.  A null text is an empty one (its end id alone); documents without an
-    id come first, equal ids in the order of their texts, repeated rows are written repeatedly.
-    An empty table gives a manifest without files.  Other columns are ignored.
+    id come first, equal ids in the order of their texts' hashes, by which many rows of one id are
+    cut as well; repeated rows are written repeatedly.  An empty table gives a manifest without
+    files.  Other columns are ignored.
     """
-    docs.sparkSession.dataSource.register(TokenFiles)
+    spark = docs.sparkSession
+    spark.dataSource.register(TokenFiles)
+    order = [F.col("doc_id"), F.xxhash64("text")]
     ordered = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(*order).sortWithinPartitions(*order, "text")
     )
     ordered.write.format("grammar_tokens").mode("append").options(
         tokenizer=tokenizer, end_id=end_id
-    ).save(path)
+    ).save(qualified(spark, path))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids``: each document's ids (bytes, little-endian unsigned 32
     bits) and the number of ids of all documents before it."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("grammar_tokens").load(path)
+    return spark.read.format("grammar_tokens").load(qualified(spark, path))
 
 
 def read_tokens(path: str, doc_id: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Random access from one process: ids ``start`` to ``stop`` of one document."""
+    """Random access from one process: ids ``start`` to ``stop`` of one document, the first of
+    that id.  The manifest tells the file, the file's index the block; of that block the symbols
+    that cover the range are expanded."""
     folder = Folder(path)
-    for file in folder.manifest():
-        with folder.open(file["name"]) as handle:
-            for block in blocks_of(handle.read()):
-                at = np.flatnonzero((block.doc_ids == doc_id) & (block.has_id == 1))
-                if len(at):
-                    return block.tokens(int(at[0]), start, stop)
+    for listed in folder.manifest():
+        if not listed["least"] <= doc_id <= listed["greatest"]:
+            continue
+        with folder.open(listed["name"]) as file:
+            index = block_index(file)
+            for at in index["at"][(index["least"] <= doc_id) & (doc_id <= index["greatest"])].tolist():
+                block = read_block(file, at)
+                own = np.flatnonzero((block.doc_ids == doc_id) & (block.has_id == 1))
+                if len(own):
+                    return block.tokens(int(own[0]), start, stop)
     raise KeyError(doc_id)

@@ -7,9 +7,7 @@ number, boolean, object, array.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.runtime import stage
@@ -62,37 +60,45 @@ def call_levels(calls: DataFrame) -> DataFrame:
     conversation that come first; unknown ids are ignored here.  Sorting by level is a
     topological order.  Calls on a cycle, or behind one, get no level.
 
-    Each round settles the calls whose last open dependency was settled before, so rounds are
-    as many as the longest chain; each writes what is still open, which shrinks.
+    ``steps[k]`` leads from a call to those that 2**k dependencies in a row reach, found from the
+    table before joined with itself, so the tables are as many as the logarithm of the longest
+    chain.  A level is put together from the greatest power of two downward: whoever can still
+    go that many steps does.  On a cycle one can go as far as one likes, so whoever goes as many
+    steps as the conversation has calls stands on or behind one.
     """
     wanted = calls.select(*KEY, F.explode(F.array_distinct("after")).alias("parent"))
-    edges = stage(
-        wanted.join(
-            calls.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]
-        ), "edges",
-    )
-    waits = edges.groupBy(*KEY).agg(F.count("*").alias("waits"))
-    settled = stage(
-        calls.select(*KEY).join(waits, KEY, "left_anti").withColumn("level", F.lit(0)), "level"
-    )
-    levels, pending = [settled], stage(waits, "waits")
-    while True:
-        parents = settled.select("conv_id", F.col("call_id").alias("parent"))
-        arrived = edges.join(parents, ["conv_id", "parent"]).groupBy(*KEY).agg(
-            F.count("*").alias("arrived")
-        )
-        left = stage(
-            pending.join(arrived, KEY, "left").select(
-                *KEY, (F.col("waits") - F.coalesce("arrived", F.lit(0))).alias("waits")
-            ), "waits",
-        )
-        settled = left.where("waits = 0").select(*KEY, F.lit(len(levels)).alias("level"))
-        if settled.isEmpty():
+    edges = wanted.join(calls.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"])
+    sizes = edges.groupBy("conv_id").agg(F.count_distinct("call_id").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    steps = [stage(edges.select(*KEY, "parent"), "steps")] if most else []
+    # all steps together go further than any chain without a cycle
+    while steps and (1 << len(steps)) - 1 <= most:
+        further = steps[-1].select(
+            "conv_id", F.col("call_id").alias("parent"), F.col("parent").alias("far"))
+        reached = stage(
+            steps[-1].join(further, ["conv_id", "parent"])
+            .select(*KEY, F.col("far").alias("parent")).distinct(), "steps")
+        if reached.isEmpty():
             break
-        levels.append(settled)
-        pending = left.where("waits > 0")
-    cyclic = left.select(*KEY, F.lit(None).cast("int").alias("level"))
-    return reduce(DataFrame.unionByName, levels).unionByName(cyclic)
+        steps.append(reached)
+    own = Window.partitionBy(*KEY)
+    at = calls.select(*KEY, F.col("call_id").alias("at"), F.lit(0).cast("bigint").alias("level"))
+    for k in range(len(steps) - 1, -1, -1):
+        onward = steps[k].select("conv_id", F.col("call_id").alias("at"), F.col("parent").alias("next"))
+        at = (
+            at.join(onward, ["conv_id", "at"], "left")
+            .withColumn("goes", F.max(F.col("next").isNotNull()).over(own))
+            .where(F.col("next").isNotNull() | ~F.col("goes"))
+            .select(*KEY, F.coalesce("next", "at").alias("at"),
+                    (F.col("level") + F.when(F.col("goes"), 1 << k).otherwise(0)).alias("level"))
+            .distinct()
+        )
+    reached = at.groupBy(*KEY).agg(F.max("level").alias("level"))
+    # a chain of n calls that wait has n steps at most
+    endless = F.col("level") > F.coalesce("n", F.lit(0))
+    return stage(
+        reached.join(sizes, "conv_id", "left")
+        .select(*KEY, F.when(~endless, F.col("level").cast("int")).alias("level")), "levels")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

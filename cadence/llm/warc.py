@@ -26,6 +26,7 @@ from pyspark.sql.datasource import (
 )
 
 from cadence.llm.storage import Folder
+from cadence.runtime import qualified, quoted
 
 FILE_BYTES = 64 << 20
 """A writing task starts a new file at this size."""
@@ -340,28 +341,26 @@ def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
     Of rows with equal payloads (null: empty) of at least ``least_bytes`` bytes, those with the
     smallest id are responses and the others revisit it; smaller payloads are responses.  Rows
     that share the smallest id are responses all; a null id revisits unless all are null.
-    Existing columns of these names are replaced.
+    Existing columns of these names are replaced, all others stay, whatever their names.
 
     Payloads are grouped by SHA-1 and length; the smallest id is a partial aggregate, and the
     join back may be split where one payload has very many copies.
     """
+    columns = [c for c in pages.columns if c not in ("record_type", "refers_to")]
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    keyed = pages.drop("record_type", "refers_to").withColumns({
-        "__sha": F.unhex(F.sha1(payload)), "__size": F.octet_length(payload),
-    })
+    keyed = pages.select(
+        F.struct(*(F.col(quoted(c)) for c in columns)).alias("page"), F.col(id_col).alias("id"),
+        F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("size"))
     first = (
-        keyed.where(F.col("__size") >= least_bytes)
-        .groupBy(F.col("__sha").alias("__s"), F.col("__size").alias("__n"))
-        .agg(F.min(id_col).alias("__first"))
+        keyed.where(F.col("size") >= least_bytes)
+        .groupBy(F.col("sha").alias("s"), F.col("size").alias("n")).agg(F.min("id").alias("first"))
     )
-    joined = keyed.join(
-        first, (F.col("__sha") == F.col("__s")) & (F.col("__size") == F.col("__n")), "left"
-    )
-    original = F.col("__first").isNull() | F.col(id_col).eqNullSafe(F.col("__first"))
-    return joined.withColumns({
-        "record_type": F.when(original, "response").otherwise("revisit"),
-        "refers_to": F.when(~original, F.col("__first")),
-    }).drop("__sha", "__size", "__s", "__n", "__first")
+    joined = keyed.join(first, (F.col("sha") == F.col("s")) & (F.col("size") == F.col("n")), "left")
+    original = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first"))
+    return joined.select(
+        *(F.col(f"page.{quoted(c)}").alias(c) for c in columns),
+        F.when(original, "response").otherwise("revisit").alias("record_type"),
+        F.when(~original, F.col("first")).alias("refers_to"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -376,14 +375,17 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.col(c).cast(k) if c in records.columns else F.lit(None).cast(k).alias(c)
         for c, k in kinds.items()
     ])
-    chosen.write.format("warc").mode("append").save(path)
+    chosen.write.format("warc").mode("append").save(qualified(records.sparkSession, path))
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives in a folder; filters on header columns reach the reader."""
+    """Records of the archives in a folder; filters on header columns reach the reader.
+
+    For that the session's ``spark.sql.python.filterPushdown.enabled`` is switched on, and stays so.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Warc)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def page_urn(page_id: Column) -> Column:

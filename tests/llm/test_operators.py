@@ -10,12 +10,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadence.llm import simhash as sh
+from cadence.llm import language_id as lid
+from cadence.llm import token_files, tool_calls
 from cadence.llm.components import connected_components
 from cadence.llm.decontamination import contamination, decontaminate
 from cadence.llm.encoding import encoder, tokenizer_json
@@ -105,10 +108,39 @@ def test_fingerprint_column(spark):
     }
 
 
+def next_order(row):
+    """By id, null ids first, then by the hash of the text."""
+    return row[0] is not None, row[0] or 0, np.uint64(xxhash.xxh64_intdigest(row[1], 42)).astype(np.int64)
+
+
+def test_next_rows_of_hot_ids_lie_in_many_ranges(spark):
+    """A third of the rows has one id and a third has none."""
+    ids = [7] * 400 + [None] * 400 + [3 * k for k in range(400)]
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    order = sorted(rows, key=next_order)
+
+    def join(pairs):
+        from pyspark import TaskContext
+
+        for (i, text), (_, following) in pairs:
+            yield i, text, following, TaskContext.get().partitionId()
+
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        data = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        got = map_with_next(data, "doc_id", join, "a bigint, b string, c string, part int").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = [(i, text, order[(k + 1) % len(order)][1]) for k, (i, text) in enumerate(order)]
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
+    sizes = Counter(r.part for r in got)
+    assert len(sizes) >= 10 and max(sizes.values()) <= 2.5 * len(rows) / 12
+
+
 @pytest.mark.parametrize("ids", [[], [7], [3, 3], [None, 5, None, -2, 9], [5 * k for k in range(50)]])
 def test_next_rows(spark, ids):
     rows = [(i, f"t{k}") for k, i in enumerate(ids)]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    order = sorted(rows, key=next_order)
     want = [(a, b, order[(k + 1) % len(order)][1]) for k, (a, b) in enumerate(order)]
 
     def join(pairs):
@@ -147,9 +179,13 @@ def test_contamination(spark, limit):
     texts += [None, "", "--", texts[3]]
     items = [(1, texts[0]), (2, "ab cd, e9"), (2, texts[1]), (None, texts[2]), (4, None), (5, "..")]
     docs = frame(spark, texts).withColumn("found", F.lit("clash"))
+    docs = docs.withColumns({"__row": F.lit(7), "__hits": F.lit("h"), "row": F.lit("r"), "a.b": F.lit(1)})
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = contamination(docs, bench, broadcast_bytes=limit).collect()
+    found = contamination(docs, bench, broadcast_bytes=limit)
+    assert found.columns == [c for c in docs.columns if c != "found"] + ["found"]
+    got = found.collect()
     assert len(got) == len(texts)
+    assert {(r["__row"], r["__hits"], r.row, r["a.b"]) for r in got} == {(7, "h", "r", 1)}
     for r in got:
         want = brute_contamination(texts[r.doc_id], items)
         assert (r.found.n_words, r.found.n_hit, r.found.items) == want
@@ -199,6 +235,37 @@ def test_levels_and_cycles(spark):
                    ("c", "g"): None, ("k", "a"): 0, ("k", "h"): None}
 
 
+def brute_levels(calls):
+    """Longest chains by settling calls one after the other."""
+    known = {(c, i) for c, i, _ in calls}
+    waits = {(c, i): {(c, p) for p in after or [] if (c, p) in known} for c, i, after in calls}
+    levels = {}
+    while True:
+        now = {k: 1 + max((levels[p] for p in ps), default=-1)
+               for k, ps in waits.items() if k not in levels and all(p in levels for p in ps)}
+        if not now:
+            return {k: levels.get(k) for k in waits}
+        levels |= now
+
+
+def test_levels_of_random_graphs_and_a_long_chain(spark, monkeypatch):
+    rng = random.Random(4)
+    calls = [("chain", f"c{k}", [f"c{k - 1}"] if k else None) for k in range(1000)]
+    for conv in range(40):
+        n = rng.randint(1, 12)
+        for k in range(n):
+            backward = rng.random() < 0.8  # the others may close cycles
+            after = [f"c{rng.randrange(k if backward else n)}" for _ in range(rng.randrange(3)) if k or not backward]
+            calls.append((f"v{conv}", f"c{k}", after))
+    staged, write = [], tool_calls.stage
+    monkeypatch.setattr(tool_calls, "stage", lambda df, label: staged.append(label) or write(df, label))
+    data = spark.createDataFrame(calls, "conv_id string, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in call_levels(data).collect()}
+    assert got == brute_levels(calls)
+    assert any(v is None for v in got.values()) and got["chain", "c999"] == 999
+    assert len(staged) <= 12
+
+
 def test_link_tool_calls(spark):
     schemas = {"get": {"n": "integer", "q?": "string", "o?": "object", "a?": "array", "x?": "number"}}
     cases = {
@@ -258,6 +325,78 @@ def test_language(spark):
     assert [r.lang_pred for r in unlearned] == ["und"]
 
 
+def letter_grams(text):
+    """Distinct n-grams of one to four letters of each word between blanks, as texts."""
+    words = re.split(r"[^\w]|[\d_]", (text or "").lower())
+    joined = "".join(f" {w}" for w in words if w) + " "
+    return {joined[k:k + n] for n in range(1, 5) for k in range(len(joined) - n + 1)} if joined != " " else set()
+
+
+def test_grams_are_those_of_letters_between_blanks():
+    grams = lid.Grams()
+    for text in ("The thing's 12 w1th   ÜBER-whom", "a", "  b  ", "漢字 x", "ab ab ab"):
+        assert len(grams(text)) == len(letter_grams(text))
+    assert len(grams("12 !?")) == len(grams(None)) == 0
+
+
+def test_scores_are_those_of_a_dense_kernel_ridge():
+    """All texts are landmarks, so the approximation is the kernel regression itself."""
+    rng = random.Random(2)
+    words = {"aa": "the thing with whom they went there".split(), "bb": "der nicht über schön und wir gehen".split(),
+             "cc": "el niño que está con nosotros hoy".split()}
+    pairs = [(" ".join(rng.choices(words[lang], k=rng.randint(1, 9))), lang) for _ in range(12) for lang in words]
+    texts, labels = [t for t, _ in pairs], [lang for _, lang in pairs]
+    model = lid.fit(texts, labels, landmarks=3 * len(texts))
+    sets = [letter_grams(t) for t in texts]
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    target = np.array([[1.0 if lang == n else -1.0 for n in sorted(words)] for lang in labels])
+    # the ridge weighs the norm in the kernel's space, as it does that of the features
+    dual = np.linalg.solve(k + lid.RIDGE * len(texts) * np.eye(len(texts)), target)
+    grams = lid.Grams()
+    for text in ("the thing went", "schön und der", "que está", "wir went con", "zzz the"):
+        own = np.array([kernel(letter_grams(text), s) for s in sets])
+        assert np.allclose(model.scores([grams(text)])[0], own @ dual, atol=2e-3)
+    # the bound follows from regressions that leave one text out each
+    left_out = []
+    for i in range(len(texts)):
+        rest = [j for j in range(len(texts)) if j != i]
+        part = np.linalg.solve(k[np.ix_(rest, rest)] + lid.RIDGE * len(texts) * np.eye(len(rest)), target[rest])
+        left_out.append((k[i, rest] @ part).max())
+    enough = [v for v, s in zip(left_out, sets) if len(s) >= lid.EVIDENCE]
+    assert model.least == pytest.approx(min(lid.CLAIMED, np.quantile(enough, lid.MISSED)), abs=5e-3)
+
+
+def test_texts_that_no_language_claims(spark):
+    """Other scripts, other languages and gibberish are foreign; nearly all documents are not."""
+    foreign = [
+        "Это русский текст о погоде в Москве и о том, как мы живём", "これは日本語の文章です。今日は天気がいいですね。明日は雨。",
+        "Ζούμε στην Αθήνα και ο καιρός είναι καλός σήμερα", "To jest polskie zdanie o pogodzie i o życiu w mieście",
+        "Tämä on suomenkielinen lause säästä ja elämästä kaupungissa", "asdf qwer zxcv hjkl uiop bnmm tyui",
+        "Bu bir Türkçe cümledir ve hava hakkında",
+    ]
+    rows = [(-1 - k, t, None) for k, t in enumerate(foreign)]
+    rows += [(-100, "ok", None), (-101, "12 !", None), (-102, None, None)]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    docs = given.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    known = {r.doc_id: r.language.known for r in identify(docs, F.lit(True)).collect()}
+    assert not any(known[-1 - k] for k in range(len(foreign)))
+    assert (known[-100], known[-101], known[-102]) == (True, False, False)
+    letters = [r.doc_id for r in given.where("text rlike '\\\\p{L}'").collect()]
+    assert sum(known[k] for k in letters) >= 0.995 * len(letters) and len(letters) > 900
+    unlearned = {r.doc_id: r.language.known for r in identify(docs, F.lit(False)).collect()}
+    assert all(unlearned[k] for k in letters) and not unlearned[-101] and not unlearned[-102]
+
+
+def test_one_repeated_text_leaves_other_languages_to_be_learned(spark):
+    rows = [(7, "der nicht über schön", "bb")] * 400 + [(k, f"the thing with whom {k}", "aa") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert lid.learn(docs, rows=20).languages == ["aa", "bb"]
+
+
 # 6
 
 
@@ -535,6 +674,39 @@ def test_plan_places_every_piece_once():
             assert end <= capacity and sum(3 * n > capacity for _, n in pieces) <= 2
 
 
+def plain_packing(pieces, capacity):
+    """Sequences by the method, piece by piece: large ones paired greedily, small ones best fit."""
+    large = sorted(n for n in pieces if 3 * n > capacity)
+    bins = []
+    while large:
+        own = large.pop()
+        fits = [k for k, n in enumerate(large) if own + n <= capacity]
+        bins.append([own, large.pop(fits[-1])] if fits else [own])
+    for n in sorted((n for n in pieces if 3 * n <= capacity), reverse=True):
+        room = [(capacity - sum(b), k) for k, b in enumerate(bins) if sum(b) + n <= capacity]
+        if room:
+            bins[min(room)[1]].append(n)
+        else:
+            bins.append([n])
+    return bins
+
+
+def test_plan_makes_as_many_sequences_as_piece_by_piece():
+    rng = random.Random(8)
+    for _ in range(500):
+        capacity = rng.choice([3, 10, 30, 64, 100])
+        pieces = [rng.randint(1, capacity) for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.3:
+            pieces += [rng.randint(1, capacity)] * rng.randint(1, 40)
+        made = defaultdict(int)
+        for length, _, n, sequence, _ in plan(Counter(pieces), capacity):
+            for k in range(n):
+                made[sequence + k] += length
+        plain = plain_packing(pieces, capacity)
+        assert len(made) == len(plain)
+        assert sorted(made.values()) == sorted(map(sum, plain))
+
+
 def test_packing(spark):
     texts = corpus()
     got = pack(frame(spark, texts), PATH, capacity=64, end_id=0).collect()
@@ -576,6 +748,59 @@ def test_grammar_expands_to_its_ids():
         assert parts == [ids[:20].tolist(), ids[20:21].tolist(), ids[21:].tolist()]
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(2)
+    cases = [rng.integers(0, 30, 20_000), np.zeros(5000, int), rng.zipf(1.3, 30_000) % 5000,
+             np.tile(rng.integers(0, 900, 700), 40), np.arange(10)]
+    for ids in cases:
+        starts = np.unique(np.concatenate([[0], rng.integers(0, len(ids), len(ids) // 50)]))
+        grammar = build_grammar(ids.astype("<u4"), starts)
+        symbols, opens = grammar.symbols.tolist(), set(grammar.first.tolist())
+        counts = Counter()
+        at = 0
+        while at < len(symbols) - 1:  # occurrences that do not overlap
+            if at + 1 in opens:
+                at += 1
+                continue
+            pair = symbols[at], symbols[at + 1]
+            counts[pair] += 1
+            twin = pair[0] == pair[1] and at + 2 < len(symbols) and symbols[at + 2] == pair[0]
+            at += 2 if twin and at + 2 not in opens else 1
+        assert max(counts.values(), default=0) < 8
+
+
+def test_pairs_that_share_a_slot_do_not_stop_the_rounds(monkeypatch):
+    monkeypatch.setattr(token_files, "SLOTS", 4)
+    ids = np.random.default_rng(3).integers(0, 40, 8000)
+    grammar = build_grammar(ids.astype("<u4"), np.array([0]))
+    pairs = Counter(zip(grammar.symbols.tolist(), grammar.symbols[1:].tolist()))
+    assert max(pairs.values()) < 8 and len(grammar.rules) > 100
+
+
+def test_random_access_reads_one_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 60)
+    monkeypatch.setattr(token_files, "FILE_BLOCKS", 3)
+    rng, out = random.Random(6), token_files.TokenFileWriter(
+        str(tmp_path / "t"), lambda: encoder(tokenizer_json(PATH)), 2)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(0, 40))) for _ in range(80)]
+    ids = [None, *range(-5, 74)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    out.commit([out.write(iter([batch]))])
+    files = token_files.Folder(str(tmp_path / "t")).manifest()
+    assert len(files) > 5
+    opened, read = [], token_files.read_block
+    monkeypatch.setattr(token_files, "read_block", lambda file, at: opened.append(at) or read(file, at))
+    for doc_id, text in zip(ids[1:], texts[1:]):
+        want = [*library_ids(text), 2]
+        start, stop = rng.randint(0, len(want)), rng.randint(0, len(want) + 3)
+        assert read_tokens(str(tmp_path / "t"), doc_id, start, stop).tolist() == want[start:stop]
+        assert len(opened) == 1, doc_id
+        opened.clear()
+    with pytest.raises(KeyError):
+        read_tokens(str(tmp_path / "t"), 999)
+
+
 def test_token_files(spark, tmp_path):
     texts = corpus()
     ids = [3 * k - 20 for k in range(len(texts))]
