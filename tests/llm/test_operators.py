@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from cadence.llm import simhash as sh
 from cadence.llm import language_id as lid
 from cadence.llm import token_files, tool_calls
+from cadence.llm import toxicity as toxicity_module
 from cadence.llm.components import connected_components
 from cadence.llm.decontamination import contamination, decontaminate
 from cadence.llm.encoding import encoder, tokenizer_json
@@ -595,14 +596,20 @@ def test_warc_source(spark, tmp_path):
 
 
 def test_restoring():
-    text = " ".join(["a stupid idiot and a loser went", "the thing that then is there"] * 50)
+    text = " ".join(["a stupid idiot and a loser went", "the thing that then is there",
+                     "a letter for all the good class", "an ass is there"] * 50)
     counts = np.zeros(61 ** 3, np.int64)
     from cadence.llm.toxicity import LETTERS, letter_codes
     codes = letter_codes("  " + "  ".join(text.split()) + "  ")
     np.add.at(counts, (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:], 1)
     restorer = Restorer(letter_costs(counts))
     cases = {"1d10t": "idiot", "$tup1d!!": "stupid", "stuuuupid": "stupid", "l0$er": "loser",
-             "s t u p i d": "stupid", "IDIOT###": "idiot", "thing": "thing", "12.5": "12.5", "": ""}
+             "s t u p i d": "stupid", "IDIOT###": "idiot", "thing": "thing", "12.5": "12.5", "": "",
+             "stuupid": "stupid", "iidiot": "idiot", '"i d i o t"': "idiot", "(i d i o t)": "idiot",
+             "a s s": "ass", "i  d  i  o  t": "idiot", "id-iot": "idiot", "$ t u p i d": "stupid",
+             "i*d*i*o*t": "idiot", "i.d.i.o.t": "idiot", "a i*d*i*o*t went": "a idiot went",
+             "455": "ass", "123456789": "123456789", "2024-01-02": "2024-01-02", "1 2 3 4": "1 2 3 4",
+             "letter all good": "letter all good", "class": "class"}
     assert {k: restorer.text(k) for k in cases} == cases
     assert restorer.text(None) == ""
 
@@ -623,6 +630,37 @@ def test_viterbi_is_the_cheapest_path():
         assert restorer.decode(lattice) == min(paths, key=lambda p: cost(*p))[0]
 
 
+def test_weights_are_the_optimum_of_the_penalised_likelihood():
+    rng = np.random.default_rng(3)
+    rows = [(sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist()), float(n), float(rng.uniform(0, n)))
+            for n in rng.integers(1, 30, 40)]
+    weights, base = toxicity_module.fit_weights(rows, 6)
+
+    def loss(w):
+        total = 0.5 * toxicity_module.RIDGE * (w[:6] ** 2).sum() + 0.5e-3 * w[6] ** 2
+        for present, n, toxic in rows:
+            z = w[6] + w[present].sum()
+            total += n * np.log1p(np.exp(z)) - toxic * z
+        return total
+
+    best = np.append(weights, base)
+    for step in [*np.eye(7), *rng.normal(size=(20, 7))]:
+        for size in (1e-3, -1e-3, 0.1, -0.1):
+            assert loss(best) <= loss(best + size * step) + 1e-9
+
+
+def test_rare_toxic_labels_are_all_learned_from(spark):
+    rng = random.Random(4)
+    plain = "this that there when then other thing long with some more".split()
+    rows = [(k, " ".join(rng.choices(plain, k=12)) + (" vilest" if k % 50 == 0 else "")) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(k, int(k % 50 == 0)) for k, _ in rows], "doc_id int, toxic int")
+    model = toxicity_module.learn_toxicity(docs, labels, rows=100)
+    scores = {r.doc_id: r.s for r in docs.select("doc_id", toxicity(spark, model, F.col("text")).alias("s")).collect()}
+    assert all((scores[k] >= 0.7) == (k % 50 == 0) for k, _ in rows)
+    assert np.mean(list(scores.values())) < 0.1  # the clean ones weigh as much as there are of them
+
+
 def test_toxicity_scores(spark):
     rng = random.Random(9)
     plain = "this that there when then other thing long".split()

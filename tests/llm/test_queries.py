@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadence import llm
@@ -90,6 +91,39 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == every
 
 
+CLASHING = ("language", "score", "found", "row", "__row", "__language", "__score", "__found", "id", "doc",
+            "label", "key", "component", "a.b")
+
+
+def test_stages_keep_clashing_columns_and_long_texts(spark, tmp_path):
+    """Columns with the names that stages use, a text of 300,000 words, repeated and null rows."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices("the thing that was there with some other words of it".split(), k=60))
+             for _ in range(12)]
+    texts += [" ".join(f"the thing number {k} was there" for k in range(60_000)), None, "", texts[0], None]
+    rows = [(k if k % 5 else None, t, "en", "s", 1) for k, t in enumerate(texts)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, kind).withColumns(
+        {f"c{k}": F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1))) for k, c in enumerate(CLASHING)}
+    ).toDF(*names)
+    spark.createDataFrame([(1, "nothing of it")], "item_id bigint, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == names, name
+        out = kept.collect()
+        assert {r.text for r in out} - {None, ""} >= set(texts[1:13]) - {None}, name
+        for r in out:
+            assert [r[c] for c in CLASHING] == [f"{c}-{-1 if r.doc_id is None else r.doc_id}" for c in CLASHING]
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+    packed = dict(corpus_pipeline.STAGES)["packing"]
+    assert packed(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == len({r[0] for r in rows})
+    assert packed(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
 def test_near_duplicates_keep_rows_without_or_with_repeated_ids(spark, tmp_path):
     rng = random.Random(12)
     one, two, three, four, five = (
