@@ -59,6 +59,17 @@ class _Words(dict):
         return ids
 
 
+def forget_words() -> None:
+    """Drop the words this worker remembers.
+
+    Workers are used again by later stages; those that do not encode call this, so that an
+    executor's memory holds what one stage remembers at a time.
+    """
+    module = sys.modules.get("tokenizers")
+    if module is not None:
+        module.__dict__.pop("_cadence_words", None)
+
+
 def encoder(spec: str, letters: bool = True) -> Callable[[str | None], bytes]:
     """A function from a text to the bytes of its ids, for a tokenizer that drops white space.
 

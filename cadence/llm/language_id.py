@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.llm.encoding import forget_words
+
 ORDERS = 4
 SLOTS = 1 << 17
 """N-grams are hashed to so many places."""
@@ -168,6 +170,7 @@ def language(spark, model: LanguageModel, text: Column) -> Column:
 
     @F.arrow_udf(PREDICTED)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_words()
         names, weights, least = sent.value
         model, grams = LanguageModel(names, weights, least), Grams()
         for batch in batches:

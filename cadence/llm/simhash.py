@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.components import connected_components
+from cadence.llm.encoding import forget_words
 from cadence.runtime import quoted, remove, stage, staging_path
 
 BITS, SEED, DISTANCE = 64, 42, 4
@@ -418,6 +419,7 @@ def _compared(words_per_shingle: int, similarity: float):
     the pairs that have the similarity."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         own, one = None, None
         for batch in batches:
             b, block, a = (batch.column(k).to_pylist() for k in range(3))
@@ -513,6 +515,7 @@ def similar_groups(
 
     @F.arrow_udf("struct<fp:binary,words:array<bigint>,size:int,keys:array<bigint>>")
     def prints_of(texts: pa.Array) -> pa.Array:
+        forget_words()
         return pa.array([described(t.as_py()) for t in texts], kind)
 
     spark = docs.sparkSession
