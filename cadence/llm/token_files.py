@@ -50,7 +50,7 @@ SLOTS = 1 << 18
 """Pairs are first counted by a hash, so that only those that may be frequent are sorted."""
 LEAST_COUNT = 8
 """Pairs that occur less often get no rule."""
-SHARE = 4
+SHARE = 16
 """A round replaces pairs that occur at least a so-many-th as often as the most frequent one."""
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
