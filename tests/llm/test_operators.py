@@ -630,6 +630,16 @@ def test_viterbi_is_the_cheapest_path():
         assert restorer.decode(lattice) == min(paths, key=lambda p: cost(*p))[0]
 
 
+def test_plain_words_and_numbers_are_decided_as_by_the_lattice():
+    rng = np.random.default_rng(5)
+    for draw in range(6):
+        restorer = Restorer(letter_costs(rng.integers(0, 2000, 61 ** 3) * (rng.random(61 ** 3) < 0.1 * (draw + 1))))
+        words = ["".join(rng.choice(list("abcdeé漢"), rng.integers(1, 7))) for _ in range(150)]
+        words += ["".join(rng.choice(list("0123456789"), rng.integers(3, 9))) for _ in range(150)]
+        words += [w[:k] + w[k] + w[k:] for w in words[:150] for k in [len(w) // 2]] + ["aab", "baa", "aa", "a"]
+        assert [restorer.restore(w) for w in words] == [restorer.decode(restorer._lattice(w)) for w in words]
+
+
 def test_weights_are_the_optimum_of_the_penalised_likelihood():
     rng = np.random.default_rng(3)
     rows = [(sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist()), float(n), float(rng.uniform(0, n)))
