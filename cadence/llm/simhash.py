@@ -42,6 +42,8 @@ PARTNERS = 256
 """Texts that one sent text is compared with."""
 BROADCAST_NODES = 250_000
 """Nodes whose texts are fetched by a table that every executor gets."""
+NEAREST = 8
+"""Pairs of a node that are tested in the first round over whole buckets; each next takes four times as many."""
 LEAST_LINKED = 20
 """Representatives are tried again while they link more than one node in so many."""
 # additive constants that give one hash several independent words (fixed values)
@@ -354,12 +356,19 @@ class _Candidates:
             for k in range(WIDE_WORDS)
         )
 
-    def _buckets(self, labels: DataFrame, keys: Column, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Entries, and per key with several labels its size, its commonest label and one node of it."""
+    def _buckets(
+        self, labels: DataFrame, keys: Column, turn: int, only: DataFrame | None = None
+    ) -> tuple[DataFrame, DataFrame]:
+        """Entries, and per key with several labels its size, its commonest label and one node of it.
+
+        ``only`` leaves out the keys that it does not have.
+        """
         entries = (
             self.prints.select("node", keys.alias("keys")).join(labels, "node", "left")
             .select(F.explode("keys").alias("key"), "node", F.coalesce("label", "node").alias("label"))
         )
+        if only is not None:
+            entries = entries.join(only, "key", "left_semi")
         counts = entries.groupBy("key", "label").agg(
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("m")
         )
@@ -397,10 +406,21 @@ class _Candidates:
             "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         return others, shared.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
 
-    def between_labels(self, labels: DataFrame) -> DataFrame:
+    def keys_of(self, nodes: DataFrame) -> DataFrame:
+        """``key``: the keys of these nodes, once each, ready for a join."""
+        own = self.prints.join(nodes, "node", "left_semi")
+        keys = self.scratch.put(own.select(F.explode("keys").alias("key")).distinct(), "keys")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys
+
+    def between_labels(self, labels: DataFrame, unfinished: DataFrame | None = None) -> DataFrame:
         """``a, b, bits``: all pairs of nodes with different labels, where ``a`` has
-        another than its bucket's commonest; a pair without such a node has one label."""
-        entries, mains = self._buckets(labels, F.col("keys"), 0)
+        another than its bucket's commonest; a pair without such a node has one label.
+
+        ``unfinished`` has the nodes that some pair not tested so far is of; buckets without any
+        of them are left out.
+        """
+        only = None if unfinished is None else self.keys_of(unfinished)
+        entries, mains = self._buckets(labels, F.col("keys"), 0, only)
         shared = self.scratch.put(
             entries.join(mains.drop("b"), "key").join(self.shape, "node"), "buckets"
         )
@@ -560,10 +580,10 @@ def similar_groups(
     turn = 0
     while test(scratch.put(proposed.nearest_stars(labels, turn), "stars")) * LEAST_LINKED > total:
         turn += 1
-    tested, nearest = spark.createDataFrame([], "a bigint, b bigint"), 8
+    tested, nearest, unfinished = spark.createDataFrame([], "a bigint, b bigint"), NEAREST, None
     while True:
         rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
-        pairs = proposed.between_labels(labels).select(
+        pairs = proposed.between_labels(labels, unfinished).select(
             F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "*"
         ).join(tested.select(F.col("a").alias("low"), F.col("b").alias("high")),
                ["low", "high"], "left_anti")
@@ -572,7 +592,10 @@ def similar_groups(
             F.col("low").alias("a"), F.col("high").alias("b")).distinct(), f"tested-{nearest}")
         scratch.drop("buckets")
         test(now)
-        if pairs.where(F.col("rank") > nearest).isEmpty():
+        # labels only merge, so a pair left for later was proposed now, from a node with more pairs
+        unfinished = scratch.put(
+            pairs.where(F.col("rank") > nearest).select(F.col("a").alias("node")).distinct(), "unfinished")
+        if unfinished.isEmpty():
             break
         tested, nearest = tested.union(now), nearest * 4
     rooted = nodes.join(labels, "node", "left").select(

@@ -508,6 +508,33 @@ def test_similar_groups_join_no_pair_below_the_similarity(spark):
     assert got == dict(enumerate(root))
 
 
+def test_similar_groups_leave_out_finished_buckets(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = []
+    for family in range(3):  # pairs of a family are 0.3 to 0.95 alike, so most buckets stay apart
+        base = [f"v{family}-{rng.randint(0, 10**6)}" for _ in range(200)]
+        for _ in range(30):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randint(1, 12)):
+                words[at] = f"edit{rng.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    monkeypatch.setattr(sh, "NEAREST", 1)
+    monkeypatch.setattr(sh, "LEAST_LINKED", 0)
+    keys_of, rounds = sh._Candidates.keys_of, []
+
+    def seen(self, nodes):
+        rounds.append(nodes.count())
+        return keys_of(self, nodes)
+
+    monkeypatch.setattr(sh._Candidates, "keys_of", seen)
+    got = {r.id: r.component for r in sh.similar_groups(frame(spark, texts)).collect()}
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(196)} for t in texts]
+    want = brute_components(
+        range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert got == want
+    assert len(rounds) >= 2 and rounds[-1] < rounds[0] <= len(texts)
+
+
 def test_similar_groups_deal_a_crowd_into_blocks(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"v{rng.randint(0, 10**6)}" for _ in range(200)]
