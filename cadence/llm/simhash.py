@@ -88,6 +88,7 @@ def simhash_column(text: Column, words_per_shingle: int = 4) -> Column:
 
     @F.arrow_udf("bigint")
     def prints(texts: pa.Array) -> pa.Array:
+        forget_words()
         found = [simhash(t.as_py(), words_per_shingle) for t in texts]
         return pa.array(np.array(found, np.uint64).view(np.int64))
 
@@ -201,7 +202,8 @@ def similar_links(prints: DataFrame) -> DataFrame:
     """
     entries = prints.select("fp").mapInArrow(_segment_keys, "key bigint, fp bigint")
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(entries.join(sizes, "key"), "buckets")
+    # planned sizes do not see how many entries a fingerprint makes; neither side may be broadcast
+    shared = stage(entries.join(sizes.hint("merge"), "key"), "buckets")
     compared = (
         shared.where(F.col("n") <= CROWD).select("key", "fp")
         .repartition("key").sortWithinPartitions("key")
@@ -210,7 +212,7 @@ def similar_links(prints: DataFrame) -> DataFrame:
     crowded = shared.where(F.col("n") > CROWD).select("fp").distinct()
     balls = crowded.mapInArrow(_ball_keys, "key bigint, fp bigint")
     smallest = balls.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n"))
-    star = balls.join(smallest.where("n > 1"), "key").where("fp <> b").select(
+    star = balls.join(smallest.where("n > 1").hint("merge"), "key").where("fp <> b").select(
         F.col("fp").alias("a"), "b"
     )
     return compared.unionByName(star.distinct())

@@ -14,7 +14,7 @@ from cadence.llm.decontamination import decontaminate
 from cadence.llm.language_id import held_out, identify
 from cadence.llm.packing import pack
 from cadence.llm.queries import TOKENIZER
-from cadence.llm.simhash import similar_groups, text_print
+from cadence.llm.simhash import near_duplicate_groups, text_print
 from cadence.llm.toxicity import score_toxicity
 from cadence.runtime import quoted, stage
 
@@ -68,15 +68,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near-duplicates: that of the smallest id, if any has one.
 
-    Groups are connected by shingles of five words at a similarity of 0.8 or more; texts without
-    words, null ones too, are one group.  Rows are told apart by id and text, so rows without an
-    id and rows that repeat one stay wherever their texts differ; of rows that repeat both, one
-    stays.
+    Groups are those of :func:`near_duplicate_groups`: SimHash fingerprints of 64 bits over shingles
+    of four words, linked at up to 4 differing bits.  Texts without words, null ones too, are one
+    group.  Rows are told apart by id and text, so rows without an id and rows that repeat one
+    stay wherever their fingerprints differ; of rows that repeat both, one stays.
     """
     modest_batches(spark)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_print(F.col("text")).alias("print"))
-    groups = stage(similar_groups(
-        docs.select(key.alias("key"), "text"), "key", words_per_shingle=5, similarity=0.8), "groups")
+    groups = stage(near_duplicate_groups(docs.select(key.alias("key"), "text"), "key"), "groups")
     dropped = groups.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
     rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc"), key.alias("id"))
     if not groups.groupBy("id").count().where("count > 1").isEmpty():

@@ -458,6 +458,22 @@ def test_simhash_links(spark, fingerprints_given):
     assert set(comps) == set(close)
 
 
+def test_simhash_entries_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sh, "CROWD", 2)
+    plans, stage = [], sh.stage
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
+    monkeypatch.setattr(sh, "stage", seen)
+    links = sh.similar_links(spark.createDataFrame([(k,) for k in range(12)], "fp bigint"))
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
+    comps = {r.node: r.component for r in connected_components(links).collect()}
+    assert comps == {k: 0 for k in range(12)}
+
+
 def test_components_of_chains(spark):
     rng = random.Random(6)
     chain = list(range(0, 60))

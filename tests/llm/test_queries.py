@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadence import llm
+from cadence.llm.simhash import near_duplicate_groups
 from check import connect, differences
 from tests.llm.test_operators import brute_contamination
 
@@ -136,6 +137,19 @@ def test_near_duplicates_keep_rows_without_or_with_repeated_ids(spark, tmp_path)
         [(1, one), (None, two), (None, three), (7, four), (7, five)], key=str)
 
 
+def test_near_duplicates_are_those_of_the_fingerprint_operator(spark, tmp_path):
+    """Texts with one long repeated part and different ends have few shingles in common as sets."""
+    rng = random.Random(14)
+    line = "the same line of seven words again "
+    texts = [line * 200 + " ".join(f"w{k}-{j}" for j in range(12)) for k in range(6)]
+    texts += [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {r.component for r in near_duplicate_groups(docs).collect()}
+    assert len(want) == 5
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == want
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
