@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 import cadence as cd
 from cadence.plans.registry import query, table
-from cadence.runtime import staging_path
+from cadence.runtime import spread, staging_path
 
 
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
@@ -426,7 +426,8 @@ def yaml_documents(spark, folder):
     text = _yaml_text("c_custkey", "c_name", "c_acctbal")
     repeated = F.concat(text, F.lit("key: again\n"))
     text = F.when(F.col("c_mktsegment") == "BUILDING", repeated).otherwise(text)
-    docs = table(spark, folder, "customer").select(
+    customers = spread(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+    docs = customers.select(
         "c_custkey",
         cd.parse_yaml(text, on_error="row")["error"].contains("'key'").alias("hit"),
         cd.parse_yaml(text, strict=False)["doc"].alias("doc"),

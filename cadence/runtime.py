@@ -50,6 +50,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """Deal rows evenly over at least ``per_core`` tasks a core, before slow work on each row.
+
+    A compact file is one split however many rows it holds, and one task would work on all.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(df.rdd.getNumPartitions(), per_core * cores))
+
+
 @contextmanager
 def temporary_stages(spark: SparkSession) -> Iterator[None]:
     """Drop what is staged inside the block at its end, for jobs that store their result."""

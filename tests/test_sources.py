@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cadence as cd
+from cadence.plans import QUERIES
 from cadence.runtime import staging_root
 
 YAML = {
@@ -65,6 +66,11 @@ def test_yaml_column(spark):
     assert rows[2].doc is None and rows[2].error is None
 
 
+def test_yaml_documents_of_one_split_are_dealt_over_the_cores(spark):
+    docs = QUERIES["yaml_documents"](spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
