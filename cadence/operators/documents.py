@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.json_text import OBJECT, as_object
@@ -183,27 +184,32 @@ def _merge_config(user_rows: DataFrame, defaults: DataFrame, row_id: list[str],
 
 def _merge_own_defaults(user_rows: DataFrame, defaults: DataFrame, row_id: list[str],
                         sep: str) -> DataFrame:
-    at = columns([*row_id, "path"])
-    prefixes, is_node = path_prefixes("path", sep), F.col("value") == "{}"
-    user_rows = user_rows.select(*at, "value").where("path is not null")
-    defaults = defaults.select(*at, "value").where("path is not null")
-
-    # every path the document has something at or below, and whether a leaf ends there
-    nodes = (
-        user_rows.select(*columns(row_id), "path", is_node.alias("__node"), F.explode(prefixes).alias("__at"))
-        .groupBy(*columns(row_id), "__at")
-        .agg(F.max((F.col("path") == F.col("__at")) & ~F.col("__node")).alias("__leaf"))
-    )
-    probes = defaults.select(*at, F.explode(prefixes).alias("__at"))
-    blocked = (
-        probes.join(nodes, [*row_id, "__at"])
-        .where(F.col("__leaf") | (F.col("path") == F.col("__at")))
-        .select(*at)
+    """Rows of both sides meet at their places (row id, prefix of a path), then come together again.
+
+    Both are sorted windows, so no side of a join is held, whatever the planner takes its size for.
+    """
+    ids, given, is_node = columns(row_id), F.col("__given"), F.col("value") == "{}"
+
+    def side(df: DataFrame, is_default: bool) -> DataFrame:
+        return df.select(*ids, "path", "value", F.lit(is_default).alias("__given")).where("path is not null")
+
+    rows = side(user_rows, False).unionByName(side(defaults, True))
+    no_id = reduce(Column.__or__, [c.isNull() for c in ids])  # NULL is no document to be met
+    apart = rows.where(no_id).where(given | F.col("value").isNotNull())
+
+    at_end = F.col("path") == F.col("__at")
+    place = Window.partitionBy(*ids, "__at")
+    met = (
+        rows.where(~no_id).withColumn("__at", F.explode(path_prefixes("path", sep)))
+        .withColumn("__used", F.max(~given).over(place))
+        .withColumn("__leaf", F.coalesce(F.max(~given & at_end & ~is_node).over(place), F.lit(False)))
+        .withColumn("__filled", F.max(given & ~at_end).over(place))
     )
-    added = defaults.join(blocked, [*row_id, "path"], "left_anti")
+    # a default is blocked by anything at its path, and by leaves above it
+    blocked = F.max(F.col("__used") & (at_end | F.col("__leaf"))).over(
+        Window.partitionBy(*ids, "path", "__given"))
     # a document with a {} has nothing around it that could block a default below it
-    filled = probes.where(F.col("path") != F.col("__at")).select(
-        *columns(row_id), F.col("__at").alias("path")
-    )
-    empty = user_rows.where(is_node).join(filled, [*row_id, "path"], "left_anti")
-    return user_rows.where(~is_node).unionByName(empty).unionByName(added)
+    own = F.col("value").isNotNull() & ~(is_node & F.col("__filled"))
+    merged = met.withColumn("__blocked", blocked).where(at_end).where(
+        F.when(given, ~F.col("__blocked")).otherwise(own))
+    return merged.unionByName(apart, allowMissingColumns=True).select(*ids, "path", "value")

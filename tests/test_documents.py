@@ -109,6 +109,20 @@ def test_merge_each_documents_own_defaults(spark):
         assert merge(user, default) == want
 
 
+def test_own_defaults_hold_no_side_of_a_join(spark):
+    users = spark.createDataFrame(
+        [(1, "a", "5"), (2, "a", "{}"), (3, "k", "1"), (3, "k", "1"), (4, "a.b", None), (None, "k", "{}")],
+        "id long, path string, value string")
+    own = [(i, p, "d") for i in (1, 2, 3, 4, None) for p in ("a.b", "k.x", "k.x")]
+    got = cd.merge_defaults_long(users, spark.createDataFrame(own, users.schema), "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    kx = [(i, "k.x", "d") for i in (1, 2, 4, None) for _ in range(2)]
+    want = [(1, "a", "5"), (2, "a.b", "d"), (3, "a.b", "d"), (3, "k", "1"), (3, "k", "1"),
+            (None, "k", "{}"), (None, "a.b", "d"), *kx]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("seed", [2, 3, 4])
 def test_merge_one_configuration(spark, seed, monkeypatch):
     monkeypatch.setattr("cadence.operators.documents.CONFIG_BLOCK", 2)
