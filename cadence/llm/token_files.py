@@ -36,7 +36,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
-from cadence.llm.encoding import encoder, tokenizer_json
+from cadence.llm.encoding import Encoder, encoder, tokenizer_json
 from cadence.llm.storage import Folder
 from cadence.runtime import qualified
 
@@ -248,7 +248,7 @@ class Written(WriterCommitMessage):
 
 
 class TokenFileWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, encode: Callable[[], Callable], end_id: int):
+    def __init__(self, folder: str, encode: Callable[[], Encoder], end_id: int):
         self.folder, self.encode, self.end_id = folder, encode, end_id
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -285,8 +285,8 @@ class TokenFileWriter(DataSourceArrowWriter):
                 close()
 
         for batch in iterator:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                encoded = encode(text.as_py()) + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode.each(batch.column(1))):
+                encoded = own + end
                 if pending and pending + len(encoded) // 4 > BLOCK_IDS:
                     flush()
                 doc_ids.append(doc_id)

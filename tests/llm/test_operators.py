@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from cadence.llm import simhash as sh
 from cadence.llm import language_id as lid
-from cadence.llm import token_files, tool_calls
+from cadence.llm import encoding, token_files, tool_calls
 from cadence.llm import toxicity as toxicity_module
 from cadence.llm.components import connected_components
 from cadence.llm.decontamination import contamination, decontaminate
@@ -74,6 +74,27 @@ def test_encoder_equals_library():
         assert encode(text) == as_bytes(tok.encode(text, add_special_tokens=False).ids), text
 
 
+def test_encoder_of_arrays_equals_library(monkeypatch):
+    tok = Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    letters = "aAéÉßªµÿ×÷Σς İı'́​ \x0b\x0c\x1c\x85\xa0\n\t\r01½漢!?.,`$<>|\x00s're<|endoftext|>"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2000)]
+    texts += ["<|endoftext|> a", "abc<|endoftext|>!", "it's its' its'. x'd", "ÉTÉ!!", "a,\u0301b", *corpus()]
+    monkeypatch.setattr(encoding, "SLICE_BYTES", 300)
+    rows = pa.array([None, *texts, None])
+    for plain in (True, False):
+        got = list(encoder(tokenizer_json(PATH), letters=plain).each(rows))
+        assert len(got) == len(rows)
+        for text, ids in zip(rows.to_pylist(), got):
+            assert ids == as_bytes(library_ids_of(tok, text)), text
+        assert got[5:40] == list(encoder(tokenizer_json(PATH), letters=plain).each(rows.slice(5, 35)))
+        assert list(encoder(tokenizer_json(PATH), letters=plain).each(rows.slice(0, 0))) == []
+
+
+def library_ids_of(tok, text):
+    return tok.encode(text or "", add_special_tokens=False).ids
+
+
 # 1
 
 
@@ -892,6 +913,20 @@ def test_random_access_reads_one_block(spark, tmp_path, monkeypatch):
         read_tokens(str(tmp_path / "t"), 999)
 
 
+def test_token_files_encode_a_word_once_a_batch_when_none_is_remembered(tmp_path, monkeypatch):
+    monkeypatch.setattr(encoding, "WORDS_KEPT", 0)
+    encoding.forget_words()
+    encoded, encode = Counter(), encoding._Words.encode
+    monkeypatch.setattr(encoding._Words, "encode", lambda self, word: encoded.update([word]) or encode(self, word))
+    out = token_files.TokenFileWriter(str(tmp_path / "t"), lambda: encoder(tokenizer_json(PATH)), 2)
+    texts = ["Stone stone, stone!!! STONE"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    out.commit([out.write(iter([batch]))])
+    assert read_tokens(str(tmp_path / "t"), 7).tolist() == [*library_ids(texts[7]), 2]
+    assert encoded == {"stone": 1, ",": 1, "!!!": 1}
+
+
 def test_token_files(spark, tmp_path):
     texts = corpus()
     ids = [3 * k - 20 for k in range(len(texts))]
