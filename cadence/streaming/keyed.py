@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,43 +25,90 @@ from cadence.sources.manifests import Entry, Manifest, claim, commit, read_manif
 from cadence.streaming.incremental import MERGE_BATCHES, store_batch
 
 WHOLE_CLOCKS = 10  # micro-batches whose changed clocks are put together with all others
-_CLOCK = "position bigint, last_index bigint, last_micros bigint"
+STATE_BUCKETS = 4096
+"""Groups of keys whose clocks a streaming throttle keeps together, each in one call of Python."""
+_CLOCKS = (
+    "buckets int, ids array<string>, positions array<bigint>, last_indexes array<bigint>, last_micros array<bigint>"
+)
+_ID, _BUCKET = "__id", "__bucket"
 _VERSION = "__version"
 
 
+def _plain(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether keys are equal to Spark just when they are written alike."""
+    kinds = (T.IntegralType, T.BooleanType, T.DateType, T.DecimalType)
+    types = [df.select(c).schema[0].dataType for c in columns(keys)]
+    return all(isinstance(t, kinds) or t == T.StringType() for t in types)
+
+
+def _in_order(rows: pd.DataFrame, codes: np.ndarray, times: np.ndarray, ties: Sequence[str]) -> np.ndarray:
+    """Offsets of rows by key, time and ties; the rest as they came."""
+    order = np.lexsort([times, codes])
+    if ties and ((np.diff(codes[order]) == 0) & (np.diff(times[order]) == 0)).any():
+        tied = rows[list(ties)].reset_index(drop=True).sort_values(list(ties), kind="stable").index.to_numpy()
+        order = tied[np.lexsort([times[tied], codes[tied]])]
+    return order
+
+
 def stream_throttle(stream: DataFrame, keys: str | Sequence[str], time: str,
                     ties: Sequence[str] = (), step_spec: str = "::",
                     seconds: float | None = None, iters: int | None = None,
-                    reset_index: bool = True) -> DataFrame:
+                    reset_index: bool = True, buckets: int | None = STATE_BUCKETS) -> DataFrame:
     """Streaming form of ``throttle``; append mode.
 
     A key's rows are put in order within a micro-batch and taken as they come across
     micro-batches.  The state is one clock per key and stays for good.  One task takes
     a key's share of a micro-batch, so bound those at the source; for large backlogs or
     keys with a large share use ``throttle_job``.
+
+    Keys are dealt by their hash over ``buckets``, whose rows Python takes together and whose
+    clocks are one state, since a call costs milliseconds and a further key of it a fraction.
+    A micro-batch writes the clocks of all keys of the buckets it touches: take more buckets for
+    more shuffle partitions, or where micro-batches touch few of very many keys.  A checkpoint
+    keeps its number of buckets.  With None, and for keys with members other than whole
+    numbers, decimals, strings, booleans and dates, each key is a group by itself.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rule = make_rule(step_spec, seconds, iters, reset_index)
     out_schema = stream.schema
-    order = [TIME, *ties]
+    if buckets is not None and not _plain(stream, keys):
+        buckets = None
 
     def advance(_key: tuple, frames: Iterator[pd.DataFrame],
                 state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(order, kind="stable")
-        clock = Clock()
+        parts = list(frames)
+        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+        clocks: dict[str, Clock] = {}
         if state.exists:
-            clock.position, clock.last_index, last = state.get
-            clock.last_micros = None if pd.isna(last) else int(last)
-        kept = fire(rows[TIME].to_numpy(), clock, rule)
-        state.update((clock.position, clock.last_index, clock.last_micros))
+            made_for, *known = state.get
+            if made_for != (buckets or 0):
+                raise ValueError(f"the checkpoint was made for {made_for} buckets, not {buckets or 0}")
+            clocks = {i: Clock(*clock) for i, *clock in zip(*known)}
+        codes, ids = pd.factorize(rows[_ID])
+        times = rows[TIME].to_numpy()
+        order = _in_order(rows, codes, times, ties)
+        times = times[order]
+        begins = np.flatnonzero(np.diff(codes[order], prepend=-1)).tolist()
+        kept: list[int] = []
+        for key_id, begin, end in zip(ids, begins, [*begins[1:], len(rows)]):
+            clock = clocks.setdefault(key_id, Clock())
+            kept += [begin + f for f in fire(times[begin:end], clock, rule)]
+        state.update((
+            buckets or 0, list(clocks), [c.position for c in clocks.values()],
+            [c.last_index for c in clocks.values()], [c.last_micros for c in clocks.values()],
+        ))
         if kept:
-            yield rows.iloc[kept][out_schema.names]
-
-    return (
-        stream.withColumn(TIME, micros_of(stream, time))
-        .where(F.col(TIME).isNotNull())
-        .groupBy(*columns(keys))
-        .applyInPandasWithState(advance, out_schema, _CLOCK, "append", GroupStateTimeout.NoTimeout)
+            yield rows.iloc[order[kept]][out_schema.names]
+
+    timed = stream.withColumn(TIME, micros_of(stream, time)).where(F.col(TIME).isNotNull())
+    if buckets is None:
+        grouped = timed.withColumn(_ID, F.lit("")).groupBy(*columns(keys))
+    else:
+        written = [c.cast("string").alias(f"k{n}") for n, c in enumerate(columns(keys))]
+        bucket = F.pmod(F.xxhash64(*columns(keys)), F.lit(buckets))
+        grouped = timed.withColumns({_ID: F.to_json(F.struct(*written)), _BUCKET: bucket}).groupBy(_BUCKET)
+    return grouped.applyInPandasWithState(
+        advance, out_schema, _CLOCKS, "append", GroupStateTimeout.NoTimeout
     )
 
 

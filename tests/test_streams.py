@@ -253,3 +253,34 @@ def test_batches_pile_up_until_a_commit(spark, tmp_path, spec, commits):
     pending.flush(spark)
     pending.flush(spark)
     assert got == commits
+
+
+@pytest.mark.parametrize(("make", "groups"), [
+    (lambda k: (k, None), 5), (lambda k: (None if k % 9 == 0 else k, str(k % 2)), 5),
+    (lambda k: (k, ["", None, '"', "null", "a,b"][k % 5]), 5), (lambda k: (k % 40, float("nan")), 40),
+], ids=["whole", "null", "strings", "doubles"])
+def test_clocks_of_many_keys_are_few_states(spark, tmp_path, make, groups):
+    rng, now, rows = random.Random(8), 0, []
+    for ident in range(1200):
+        now += rng.choice([0, 0, 1, 40])
+        rows.append((*make(rng.randrange(200)), now, ident))
+    schema = f"a long, b {'double' if groups == 40 else 'string'}, t long, id long"
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ck"))
+
+    def run(part, buckets):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        fired = cd.stream_throttle(stream, ["a", "b"], "t", ["id"], seconds=2000, buckets=buckets)
+        job = cd.incremental_job(fired, lambda b: b, checkpoint, out)
+        job.awaitTermination()
+        return job
+
+    for part in (rows[:700], rows[700:]):
+        job = run(part, 5)
+    assert job.recentProgress[0].stateOperators[0].numRowsTotal == groups
+    want = cd.throttle(spark.createDataFrame(rows, schema), ["a", "b"], "t", ["id"], seconds=2000)
+    got = cd.read_batches(spark, out)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+    if groups == 5:
+        with pytest.raises(Exception, match="made for 5 buckets"):
+            run(rows[:100], 4)
